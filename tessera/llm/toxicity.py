@@ -2,7 +2,8 @@
 
 1. Lexicon entries (words and word beginnings) are mined from a bounded sample of labelled rows: counted in Spark, the most
    telling ones kept.
-2. Each entry, and each of a few patterns, is a voter that votes toxic, clean or abstains. A generative label model estimates
+2. Each entry, each of a few patterns and the given label is a voter that votes toxic, clean or abstains. A generative model
+   estimates
    every voter's accuracy by expectation maximisation and the voters' correlations given the label; correlated voters share
    their weight. It gives each sampled row a posterior label.
 3. A linear classifier is trained on the posterior labels; it alone scores texts.
@@ -72,7 +73,19 @@ def mine(sample: DataFrame) -> list[str]:
     sums = map_columns(sample, count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / F.lit(n1)) / ((F.col("clean") + F.lit(0.5)) / F.lit(n0))
     best = sums.where(F.col("toxic") >= LEAST_ROWS).where(lift >= LEAST_LIFT).orderBy(F.desc(F.col("toxic") * F.log(lift)), "entry").limit(MOST_ENTRIES)
-    return [r[0] for r in best.select("entry").collect()]
+    return pruned([tuple(r) for r in best.select("entry", "toxic", "clean").collect()])
+
+
+def pruned(rows: list[tuple[str, int, int]]) -> list[str]:
+    """The entries of (entry, toxic rows, clean rows) without those that say no more than another: a beginning of which one
+    longer entry has nearly all toxic rows, and no more clean ones; an entry of which a shorter beginning is as pure."""
+    out = []
+    for e, toxic, clean in rows:
+        longer = any(o != e and o[2:].startswith(e[2:]) and (len(o) > len(e) or o[0] == "w") and t >= 0.9 * toxic and c <= clean for o, t, c in rows)
+        shorter = any(o[0] == "p" and len(o) < len(e) and e[2:].startswith(o[2:]) and t * (clean + 1) >= toxic * (c + 1) and t >= 1.2 * toxic for o, t, c in rows)
+        if not longer and not shorter:
+            out.append(e)
+    return out
 
 
 @dataclass
@@ -191,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST_ROWS) -
     x = np.zeros((len(rows["toxic"]), size), np.float32)
     for k, found in enumerate(rows["found"]):
         x[k, found] = 1
-    q, _, _ = label_model(votes(x, len(names)), np.where(np.array(rows["toxic"]) == 1, 0.9, 0.1))
+    y = np.where(np.array(rows["toxic"]) == 1, 1, -1).astype(np.int8)
+    q, _, _ = label_model(np.concatenate([votes(x, len(names)), y[:, None]], 1), 0.5 + 0.4 * y)
     model.weights, model.bias = _regression(x.astype(np.float64), q)
     return model
 
