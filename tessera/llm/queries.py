@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, toxicity
+from . import bpe, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_quality": quality.op3_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
