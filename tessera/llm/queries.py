@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, simhash, toxicity
+from . import bpe, chat, decontaminate, pii, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_quality": quality.op3_quality,
+    "op4_chat": chat.op4_chat,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
+    "op10_urls": urls.op10_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL}
