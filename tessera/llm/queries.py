@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, quality, simhash, tokenfile, toxicity, urls
+from . import bpe, chat, decontaminate, pii, quality, simhash, substrings, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.op3_quality,
     "op4_chat": chat.op4_chat,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_substrings": substrings.op6_substrings,
     "op7_token_planes": tokenfile.op7_token_planes,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
