@@ -1,4 +1,125 @@
-"""Queries of the numeric kernels."""
+"""Queries of the numeric kernels. SQL can't say most of them; tests hold them against closed forms."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.functions import kernels as K
+from tessera.operators import points as P
+from tessera.operators import tiles as T
+from tessera.plans.views import pixels, residuals, table
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(name, sql=None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r(c, n=5):
+    return F.round(F.col(c), n) + 0.0
+
+
+def _patches(spark, d, shift=0):
+    """The raster's rows by 64 as patches of bytes' range; every row belongs to one."""
+    p = pixels(spark, d).select((F.col("row") / 64).cast("long").alias("patch"), (F.col("row") % 64).alias("row"), ((F.col("col") + shift) % 64).alias("col"), ((F.col("v") + 1) * 100 + 1).alias("v"))
+    return T.pack_rows(p, "patch", 64, 64)
+
+
+def _summary(df):
+    """A row per patch: mean and deviation of its values."""
+    return T.long_form(df, "patch").groupBy("patch").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).select("patch", r("mean").alias("mean"), r("sd").alias("sd"))
+
+
+@query("clahe")
+def clahe(spark, d):
+    return _summary(T.equalised(_patches(spark, d)))
+
+
+@query("unsharp")
+def unsharp(spark, d):
+    return _summary(T.sharpened(_patches(spark, d)))
+
+
+@query("phase_congruency")
+def phase_congruency(spark, d):
+    return _summary(T.structural_maps(_patches(spark, d)))
+
+
+@query("structural_gradient")
+def structural_gradient(spark, d):
+    return _summary(T.structural_maps(_patches(spark, d), "gradient"))
+
+
+@query("phase_corr")
+def phase_corr(spark, d):
+    return T.phase_shift(T.paired(_patches(spark, d), _patches(spark, d, 3), "patch"), "patch").select("patch", r("dx", 2).alias("dx"), r("dy", 2).alias("dy"), r("response", 3).alias("response"))
+
+
+@query("ecc_refine")
+def ecc_refine(spark, d):
+    smooth = lambda df: T.each_patch(df, lambda a: K.gaussian(a, 2.0))
+    return T.subpixel(T.paired(smooth(_patches(spark, d)), smooth(_patches(spark, d)), "patch"), "patch").select("patch", r("ox", 3).alias("ox"), r("oy", 3).alias("oy"), r("score", 3).alias("score"))
+
+
+@query("dense_match")
+def dense_match(spark, d):
+    return T.matched(T.paired(_patches(spark, d), _patches(spark, d, 3), "patch"), "patch", lambda a, b: K.grid_matcher(a, b, 32, 8)).groupBy("patch").agg(F.count("*").alias("n"))
+
+
+@query("hough_circles")
+def hough_circles(spark, d):
+    return T.found_circles(_patches(spark, d), "patch", 5, 14, 8).groupBy("patch").agg(F.count("*").alias("n"))
+
+
+@query("hull_area")
+def hull_area(spark, d):
+    return T.hull_shares(residuals(spark, d), "sx", "sy", 4_000_000.0, ["supp"]).select("supp", r("share").alias("share"))
+
+
+@query("ransac_tiles")
+def ransac_tiles(spark, d):
+    return T.robust_inliers(residuals(spark, d).select("supp", "sx", "sy", "rx", "ry"), "supp", 0.8).groupBy("supp").agg(F.count("*").alias("n"))
+
+
+@query("ransac_affine")
+def ransac_affine(spark, d):
+    model, ok = T.ransac_by_rows(residuals(spark, d), 0.8)
+    m = np.zeros((2, 3)) if model is None else model
+    return ok.agg(F.count("*").alias("inliers")).select("inliers", *(F.round(F.lit(float(v)), 3).alias(n) for n, v in zip("abcdef", m.ravel(), strict=True)))
+
+
+@query("tps_cv")
+def tps_cv(spark, d):
+    e = residuals(spark, d).withColumn("err", F.hypot("dx", "dy"))
+    kept = P.stratified_consensus(e, "sy", "err", ["okey", "line"])
+    return T.cross_validated(kept).agg(F.sum("n").alias("n"), F.sqrt(F.sum("sum_sq") / F.sum("n")).alias("rmse")).select("n", r("rmse").alias("rmse"))
+
+
+@query("warp_block")
+def warp_block(spark, d):
+    tiles = _patches(spark, d).select(F.lit("image").alias("image_id"), (F.col("patch") * 64).cast("int").alias("row_off"), F.lit(0).alias("col_off"), "h", "w", "dtype", "px")
+    height = 64 * tiles.count()
+    out = T.warp(tiles, lambda p: p + np.array([1.5, -0.25]), height, 64, block=128, order=3)
+    return _summary(out.withColumn("patch", F.col("row_off").cast("long")))
+
+
+@query("poly_fit")
+def poly_fit(spark, d):
+    m = P.poly_moments(residuals(spark, d), (F.col("sy") - 1000) / 500, [F.col("dx"), F.col("dy")], 2).first()
+    px, py = P.solve_moments(m, 2, 2)
+    return spark.range(1).select(*(F.round(F.lit(float(v)), 4).alias(f"{n}{k}") for n, c in (("px", px), ("py", py)) for k, v in enumerate(c)))
+
+
+@query("event_stream_retention", "WITH o AS (SELECT user_id AS job_id, ts, event_id, event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT job_id, ts, event_id, title FROM o WHERE rn <= 40")
+def event_stream_retention(spark, d):
+    from tessera.streaming.telemetry import batch_retention
+
+    return batch_retention(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("title")), 40)
