@@ -19,7 +19,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import long_array, new_folder, raw_texts, table, written
 
 MAGIC, BLOCK, LEVEL = b"TPLANES1", 1 << 16, 1
-#: Words whose ids a worker keeps.
-MOST_WORDS = 700_000
+#: Pre-tokens of a generation whose ids a worker keeps; it keeps two.
+MOST_WORDS = 300_000
 
 # ---------------------------------------------------------------- planes
 
@@ -139,16 +138,26 @@ def read_docs(file) -> Iterator[tuple[int | None, list[bytes]]]:
 
 # ---------------------------------------------------------------- encoding
 
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts of these characters alone are plain: composing them changes nothing and lowering them keeps their number.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's pre-tokens in lowered plain text.
+_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in vocabularies of byte-level BPE."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(more)) for b in range(256)]
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each different word once.
+    """Encodes with the tokenizers library, each different pre-token once.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so a text's ids are those of its words one
-    after another. New words go to the library together; where a word has plain characters only, its number of pre-tokens is
-    known and each ends in an id of a vocabulary entry with the end-of-word mark, which tells the words' ids apart."""
+    The tokenizer drops white space and encodes pre-tokens apart, so a plain text's ids are those of its pre-tokens one after
+    another. New ones go to the library's model together, in its byte letters; each one's ids end in a vocabulary entry with the
+    end-of-word mark, which tells them apart. Words with other characters go to the whole tokenizer. Of the known ones the
+    newest MOST_WORDS, and those used since as many came in, are kept."""
 
     _held: tuple = (None, None)
 
@@ -158,10 +167,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
+        parts = json.loads(model) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merger = Tokenizer.from_str(json.dumps(parts))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, shared) -> WordEncoder:
@@ -169,41 +183,39 @@ class WordEncoder:
             cls._held = (shared, cls(shared.value))
         return cls._held[1]
 
-    def _alone(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, new: Iterable[bytes]) -> None:
-        plain, other = [], []
-        for w in new:
-            s = w.decode()
-            (plain if len(w) < 200 and _PLAIN.fullmatch(s) and "<|" not in s else other).append((w, s))
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(s for _, s in part)], add_special_tokens=False)[0].ids, "<u4")
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Makes pre-tokens of plain text known."""
+        new = []
+        for t in tokens:
+            if (ids := self.older.get(t)) is None:
+                new.append(t)
+            else:
+                self.known[t] = ids
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(self.ends[ids])
-            upto = np.cumsum([len(_PRE_TOKENS.findall(s.lower())) for _, s in part])
-            if len(last) != upto[-1]:
-                self._alone([w for w, _ in part])
-                continue
-            data, start = ids.tobytes(), 0
-            for (w, _), end in zip(part, (4 * (last[upto - 1] + 1)).tolist(), strict=True):
-                self.known[w] = data[start:end]
-                start = end
-        for k in range(0, len(other), 256):
-            self._alone([w for w, _ in other[k : k + 256]])
+            if len(last) != len(part):
+                raise ValueError("a pre-token's ids have no end")
+            data, ends = ids.tobytes(), (4 * (last + 1)).tolist()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        words = text.split()
-        known = self.known
+        s = text.decode()
+        if not _PLAIN.fullmatch(s):
+            return b"".join([self.encode(w) if _PLAIN.fullmatch(w.decode()) else self._whole(w.decode()) for w in text.split()])
+        tokens = _PRE_TOKENS.findall(s.lower())
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(self.known.__getitem__, tokens))
         except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            self.learn(set(words).difference(known))
-            return b"".join([known[w] for w in words])
+            if len(self.known) > MOST_WORDS:
+                self.known, self.older = {}, self.known
+            self.learn(set(tokens).difference(self.known))
+            return b"".join(map(self.known.__getitem__, tokens))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # ---------------------------------------------------------------- tables
