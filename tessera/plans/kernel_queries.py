@@ -118,8 +118,8 @@ def poly_fit(spark, d):
     return spark.range(1).select(*(F.round(F.lit(float(v)), 4).alias(f"{n}{k}") for n, c in (("px", px), ("py", py)) for k, v in enumerate(c)))
 
 
-@query("event_stream_retention", "WITH o AS (SELECT user_id AS job_id, ts, event_id, event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT job_id, ts, event_id, title FROM o WHERE rn <= 40")
+@query("event_stream_retention", "WITH o AS (SELECT user_id AS job_id, ts, event_id, event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT job_id, event_id, title FROM o WHERE rn <= 40")
 def event_stream_retention(spark, d):
     from tessera.streaming.telemetry import batch_retention
 
-    return batch_retention(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("title")), 40)
+    return batch_retention(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("title")), 40).drop("ts")
