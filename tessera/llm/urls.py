@@ -16,6 +16,9 @@ from .common import table, written
 #: (verdict, host, path); a rule fits its host and all subdomains, where the url's path starts with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ROUNDS, WRITE_EACH, DAMPING, MOST_DISTRUST = 8, 4, 0.85, 0.5
+#: A host with over this share of all pages is common (so there are 1 / HOT_SHARE such hosts at most); its pages are dealt to
+#: SALTS tasks in joins by host.
+HOT_SHARE, SALTS = 1 / 1000, 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,11 +38,27 @@ def _rules_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return ends.join(named, "suffix").groupBy("host").agg(F.collect_list("r").alias("rules"))
 
 
-def judged_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def common_hosts(pages: DataFrame) -> DataFrame:
+    """The hosts with over HOT_SHARE of pages: a thousand at most."""
+    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg((F.sum("n") * F.lit(HOT_SHARE)).alias("most"))
+    return counts.join(F.broadcast(total), F.col("n") > F.col("most")).select("host", F.lit(True).alias("common"))
+
+
+def joined_by_host(pages: DataFrame, hosts: DataFrame, common: DataFrame) -> DataFrame:
+    """pages left joined with hosts (a row per host) on host: rows of common hosts meet a copy of their host's row in SALTS
+    places."""
+    few = F.broadcast(common)  # bounded by 1 / HOT_SHARE rows
+    dealt = pages.join(few, "host", "left").withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))).otherwise(0)).drop("common")
+    copies = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(hosts.join(few, "host", "left").withColumn("salt", F.explode(copies)).drop("common"), ["host", "salt"], "left").drop("salt")
+
+
+def judged_by_rules(pages: DataFrame, rules: DataFrame, common: DataFrame) -> DataFrame:
     """pages (with host, path) with rule and its verdict, null where none fits; of those that fit, the longest."""
     known = _rules_of(pages.select("host").distinct(), rules)
     best = F.array_max(F.filter(F.coalesce("rules", F.array().cast("array<struct<size:int,path:string,rule:string,verdict:string>>")), lambda r: F.startswith(F.col("path"), r["path"])))
-    return pages.join(known, "host", "left").withColumn("best", best).select(*pages.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
+    return joined_by_host(pages, known, common).withColumn("best", best).select(*pages.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -75,7 +94,8 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     an empty host and path. A page under no rule is blocked if its host has more distrust than trust (their share over
     MOST_DISTRUST), else allowed, also where nothing reaches its host."""
     cut = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    ruled = written(judged_by_rules(cut, rules), "ruled-pages")
+    common = written(common_hosts(cut), "common-hosts")
+    ruled = written(judged_by_rules(cut, rules, common), "ruled-pages")
     hosts = ruled.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"), F.count("*").alias("n"))
     hosts = written(hosts.where("host != ''"), "hosts")
     trusted = (F.col("allowed") > 0) | (F.col("blocked") == 0)
@@ -86,7 +106,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     scores = spread(edges, seeds)
     bad = F.col("distrust") > F.lit(MOST_DISTRUST) * (F.col("trust") + F.col("distrust"))
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))
-    joined = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
+    joined = joined_by_host(ruled, scores, common).withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
 
