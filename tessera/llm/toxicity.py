@@ -148,8 +148,8 @@ def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.
     """(posterior of toxic, voters' accuracies, weights by correlation) of votes v.
 
     Each voter has rates of its three votes under either label. Expectation maximisation starts from the posterior start.
-    After it, voters whose votes correlate given the label (residual correlation over 0.2) share weight: one divided by one
-    plus the sum of these correlations; then posteriors are found anew."""
+    Voters whose votes correlate given the label (residual correlation over 0.2, and over what chance gives few rows) share weight: one divided by one plus the sum
+    of these correlations, found from the first posteriors and again halfway."""
     kinds = np.stack([v == k for k in (-1, 0, 1)], 2).astype(np.float64)
     q, share = start.astype(np.float64), np.ones(v.shape[1])
     rate = np.zeros((2, v.shape[1], 3))
@@ -157,13 +157,15 @@ def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.
         for y, w in ((1, q), (0, 1 - q)):
             rate[y] = (np.einsum("i,ijk->jk", w, kinds) + 0.5) / (w.sum() + 1.5)
         prior = np.clip(q.mean(), 0.01, 0.99)
-        if r == rounds - 2 and v.shape[1] > 1:
+        if r in (0, rounds // 2) and v.shape[1] > 1:
             expected = q[:, None] * (rate[1, :, 2] - rate[1, :, 0]) + (1 - q)[:, None] * (rate[0, :, 2] - rate[0, :, 0])
             rest = v - expected
-            rest = rest / np.maximum(rest.std(0), 1e-9)
-            c = np.abs(rest.T @ rest) / len(v)
+            rest = rest - rest.mean(0)
+            spread = rest.std(0)
+            rest = np.where(spread > 0.02, rest / np.maximum(spread, 0.02), 0.0)  # what the label explains is no correlation
+            c = np.minimum(np.abs(rest.T @ rest) / len(v), 1.0)
             np.fill_diagonal(c, 0)
-            share = 1 / (1 + np.where(c > 0.2, c, 0).sum(1))
+            share = 1 / (1 + np.where(c > 0.2 + 4 / math.sqrt(len(v)), c, 0).sum(1))
         odds = np.log(rate[1]) - np.log(rate[0])
         z = math.log(prior / (1 - prior)) + np.einsum("ijk,jk,j->i", kinds, odds, share)
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
