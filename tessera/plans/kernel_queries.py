@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
+from tessera.operators import georeference as G
 from tessera.operators import points as P
 from tessera.operators import tiles as T
 from tessera.plans.views import pixels, residuals, table
@@ -123,3 +124,40 @@ def event_stream_retention(spark, d):
     from tessera.streaming.telemetry import batch_retention
 
     return batch_retention(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("title")), 40).drop("ts")
+
+
+@query("trap_verdicts")
+def trap_verdicts(spark, d):
+    return G.judged_traps(spark)
+
+
+@query("global_inliers")
+def global_inliers(spark, d):
+    return G.global_inliers(residuals(spark, d), 2000, 0.8).agg(F.count("*").alias("n"))
+
+
+def _image(spark, d):
+    tiles = _patches(spark, d).select(F.lit("image").alias("image_id"), (F.col("patch") * 64).cast("int").alias("row_off"), F.lit(0).alias("col_off"), "h", "w", "dtype", "px")
+    return tiles, 64 * tiles.count()
+
+
+@query("harmonised_average")
+def harmonised_average(spark, d):
+    tiles, height = _image(spark, d)
+    out = G.harmonised(tiles, (1.0, 0.0, -1.0, float(height)), G.Grid(0.0, float(height), 4.0, 16, height // 4), "average", 128)
+    return _summary(out.withColumn("patch", F.col("row_off").cast("long")))
+
+
+@query("gcp_warp")
+def gcp_warp(spark, d):
+    tiles, height = _image(spark, d)
+    per = 180 / np.pi / 1_737_400.0
+    gcps = spark.createDataFrame([(float(x), float(y), x * per, -y * per) for x in (0, 32, 64) for y in (0, height // 2, height)], "col double, row double, lon double, lat double")
+    out = G.by_control_points(tiles, gcps, G.Grid(0.0, 0.0, 1.0, 64, height), block=128)
+    return _summary(out.withColumn("patch", F.col("row_off").cast("long")))
+
+
+@query("thumbnail_drift")
+def thumbnail_drift(spark, d):
+    t = G.thumbnail_drift(residuals(spark, d).where("okey % 50 = 0").orderBy("okey", "line"), 0.25, 8000)
+    return spark.createDataFrame([(None, None, None)] if t is None else [(round(t.dx, 3), round(t.dy, 3), t.inliers)], "dx double, dy double, inliers long")

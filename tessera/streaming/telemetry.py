@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +16,18 @@ EVENTS = "job_id long, ts timestamp_ntz, event_id long, title string"
 PROGRESS = (5, 18, 20, 35, 38, 63, 65, 80, 82, 97)
 
 
+def emit(spark: SparkSession, path: str, job_id: int, stage: int, title: str, message: str = "", details: dict | None = None) -> None:
+    """Appends a stage's event to the events of a folder, which readStream can follow. A run goes on if that fails."""
+    row = spark.range(1).select(
+        F.lit(job_id).cast("long").alias("job_id"), F.localtimestamp().alias("ts"), F.unix_micros(F.current_timestamp()).alias("event_id"), F.lit(title).alias("title"),
+        F.lit(PROGRESS[min(stage, len(PROGRESS) - 1)]).alias("progress_pct"), F.lit(message).alias("message"), F.to_json(F.create_map(*(F.lit(str(x)) for kv in (details or {"stage": stage}).items() for x in kv))).alias("details"),
+    )
+    try:
+        row.coalesce(1).write.mode("append").parquet(path)
+    except (AnalysisException, Py4JJavaError):
+        return
+
+
 def batch_retention(events: DataFrame, most: int = 40) -> DataFrame:
     newest = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= most).drop("rn")
