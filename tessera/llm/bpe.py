@@ -7,7 +7,6 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -97,24 +96,6 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_columns(tokens.select("id", "ids"), run, f"id {tokens.select('id').dtypes[0][1]}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): what encode() gives for each row of docs and what decode() makes
-    of it, in one pass. The ids are hashed as little-endian unsigned 32-bit integers."""
-    coder = _coder(docs.sparkSession, path, pattern)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec, n, hashes, decoded = coder(), [], [], []
-        for text in texts(batch.column(1)):
-            ids = codec.encode(text)
-            n.append(len(ids))
-            hashes.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), long_array(n), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.select("doc_id").dtypes[0][1]
-    return map_columns(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -122,7 +103,20 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), *default_vocabulary())
+    """Per document the number of ids, their digest (little-endian unsigned 32-bit integers), and that of what they decode to."""
+    path, pattern = default_vocabulary()
+    coder, tokens = _coder(spark, path, pattern), encode(table(spark, sf_dir, "documents"), path, pattern)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec, n, hashes, decoded = coder(), [], [], []
+        for ids in batch.column(1):
+            held = ids.values.to_numpy(zero_copy_only=False)
+            n.append(len(held))
+            hashes.append(hashlib.sha256(held.astype("<u4").tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(held.tolist())).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column(0), long_array(n), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_columns(tokens, run, f"doc_id {tokens.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_columns, raw_texts, table, written
@@ -191,7 +191,9 @@ def links(distinct: DataFrame) -> DataFrame:
         row, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[row].view(np.int64), pa.int64())], names=["key", "fp"])
 
-    filed = map_columns(distinct.select("fp"), file, "key long, fp long").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    every = map_columns(distinct.select("fp"), file, "key long, fp long")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    filed = every.join(shared, "key")
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = (

@@ -16,7 +16,6 @@ Words are compared as 64-bit hashes; a window found is compared with its first c
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +251,7 @@ def marks(docs: DataFrame, most_units: int = MOST_UNITS, shard_words: int = SHAR
     distinct = units.select("key", "words", *hashes, "doc_id").groupBy("key", "words", "h1", "h2").agg(F.min("doc_id").alias("first"))
     dealt = distinct.select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).alias("shard"), "words", "first", "h1", "h2")
 
-    firsts = dealt.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_search(t.to_batches())), schema=_FOUND), "h1 long, h2 long, firsts array<long>")
+    firsts = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_search(t.to_batches())), schema=_FOUND), "h1 long, h2 long, firsts array<long>")
     places = units.select("doc_id", "tie", "start", *hashes).join(firsts, ["h1", "h2"])
     hit = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
     return places.select("doc_id", "tie", hit.alias("s")).where("size(s) > 0").groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("s")).alias("starts"))
@@ -282,27 +281,22 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the repeated words gone; kept words joined by one space."""
+    """(doc_id, n_words, n_removed, text) of each row of docs (doc_id, text): the text without repeated words, those that are
+    kept joined by one space. A null text has no words; rows with the same doc_id are rows of one document, each with its own
+    result; a null doc_id is smaller than none and keeps all."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [b" ".join(kept_words(t, s)[1]).decode() for t, s in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return map_columns(marked(docs), run, "doc_id long, text string")
-
-
-def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document n_words, n_removed and the digest of the kept words. A null text has no words; rows with the same doc_id are
-    rows of one document, each with its own result; a null doc_id is smaller than none and keeps all."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, gone, digest = [], [], []
+        n, gone, out = [], [], []
         for text, starts in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             size, kept = kept_words(text, starts)
             n.append(size)
             gone.append(size - len(kept))
-            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), long_array(n), long_array(gone), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            out.append(b" ".join(kept).decode())
+        return pa.RecordBatch.from_arrays([batch.column(0), long_array(n), long_array(gone), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+
+    return map_columns(marked(docs.select(F.col("doc_id").cast("long"), "text")), run, "doc_id long, n_words long, n_removed long, text string")
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return map_columns(marked(docs), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document n_words, n_removed and the digest of the kept words."""
+    return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

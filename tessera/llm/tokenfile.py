@@ -14,7 +14,6 @@ import json
 import os
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -253,32 +252,31 @@ def write_files(docs: DataFrame, folder: str, model: str, end_id: int = 1, bits:
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, a task for each file."""
+    """(doc_id, start, ids binary) of each document in the files: its ids as little-endian 32-bit integers, and how many ids all
+    documents before it have. A task for each file, which holds a block and a few documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{path}/{name}") as file:
-                    rows: list[tuple] = []
+                    rows, size = [], 0
                     for doc, parts in read_docs(file):
-                        crc, n = 0, 0
-                        for p in parts:
-                            crc, n = zlib.crc32(p, crc), n + len(p) // 4
-                        rows.append((doc, start, n, crc))
-                        start += n
-                        if len(rows) == 10_000:
+                        ids = b"".join(parts)
+                        rows.append((doc, start, ids))
+                        start, size = start + len(ids) // 4, size + len(ids)
+                        if len(rows) == 10_000 or size > 1 << 24:
                             yield _rows(rows)
-                            rows = []
+                            rows, size = [], 0
                     if rows:
                         yield _rows(rows)
 
     files = max(1, manifest.count())
-    return manifest.select("file", "start").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(files).mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(2)), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "start", "ids"])
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,4 +285,5 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         model = f.read()
     folder = new_folder(spark, "token-planes")
-    return read_files(write_files(table(spark, sf_dir, "documents"), folder, model), folder)
+    back = read_files(write_files(table(spark, sf_dir, "documents"), folder, model), folder)
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -41,8 +41,7 @@ def _rules_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def common_hosts(pages: DataFrame) -> DataFrame:
     """The hosts with over HOT_SHARE of pages: a thousand at most."""
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg((F.sum("n") * F.lit(HOT_SHARE)).alias("most"))
-    return counts.join(F.broadcast(total), F.col("n") > F.col("most")).select("host", F.lit(True).alias("common"))
+    return counts.where(F.col("n") > HOT_SHARE * pages.count()).select("host", F.lit(True).alias("common"))
 
 
 def joined_by_host(pages: DataFrame, hosts: DataFrame, common: DataFrame) -> DataFrame:
@@ -100,8 +99,8 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = written(hosts.where("host != ''"), "hosts")
     trusted = (F.col("allowed") > 0) | (F.col("blocked") == 0)
     share = hosts.select("host", trusted.cast("double").alias("a"), (2 * F.col("blocked") > F.col("n")).cast("double").alias("b"))
-    total = share.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    seeds = share.join(F.broadcast(total)).select("host", F.coalesce(F.try_divide("a", "sa"), F.lit(0.0)).alias("trust"), F.coalesce(F.try_divide("b", "sb"), F.lit(0.0)).alias("distrust"))
+    all_a, all_b = (x or 0.0 for x in share.agg(F.sum("a"), F.sum("b")).first())
+    seeds = share.select("host", (F.col("a") / max(all_a, 1.0)).alias("trust"), (F.col("b") / max(all_b, 1.0)).alias("distrust"))
     edges = host_edges(pages.select(host(F.col("url")).alias("host"), "html"), hosts)
     scores = spread(edges, seeds)
     bad = F.col("distrust") > F.lit(MOST_DISTRUST) * (F.col("trust") + F.col("distrust"))
