@@ -104,6 +104,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "n_equal", "n_window_equal")
 
 
+_ENOUGH = " ".join(f"WHEN n = {n} THEN {n - tolerance(n)}" for n in range(4, WINDOW))
+
+#: The same by shared runs of four words, which any window with enough equal words has (items of four words and more).
+OP5_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS v FROM benchmark),
+    dg AS (SELECT doc_id, p, concat_ws(' ', w[p], w[p + 1], w[p + 2], w[p + 3]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d)),
+    bg AS (SELECT item_id, p, concat_ws(' ', v[p], v[p + 1], v[p + 2], v[p + 3]) AS g FROM (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS p FROM b)),
+    c AS (SELECT DISTINCT doc_id, item_id, dg.p - bg.p AS diagonal FROM dg JOIN bg USING (g)),
+    i AS (SELECT doc_id, item_id, diagonal, len(v) AS n, w, v, unnest(range(1, len(v) + 1)) AS k FROM c JOIN d USING (doc_id) JOIN b USING (item_id)),
+    e AS (SELECT doc_id, item_id, diagonal, n, k, CASE WHEN k + diagonal >= 1 AND w[k + diagonal] = v[k] THEN 1 ELSE 0 END AS eq FROM i),
+    s AS (SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS win FROM e),
+    m AS (SELECT doc_id, item_id, diagonal, n, sum(eq) AS total, max(win) FILTER (k <= greatest(n - {WINDOW}, 0) + 1) AS best FROM s GROUP BY ALL)
+    SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_words, CAST(max(total) AS BIGINT) AS n_equal, CAST(max(best) AS BIGINT) AS n_window_equal
+    FROM m WHERE best >= CASE {_ENOUGH} ELSE {WINDOW - MOST_DIFFERENT} END GROUP BY doc_id, item_id"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that hold no benchmark item, with all their columns."""
     found = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("__held_id")).distinct()

@@ -300,3 +300,14 @@ def removed(docs: DataFrame) -> DataFrame:
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document n_words, n_removed and the digest of the kept words."""
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The same by the windows' whole texts.
+OP6_SQL = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    k AS (SELECT doc_id, s, array_to_string(ws[s:s + {WINDOW - 1}], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS s FROM w)),
+    f AS (SELECT t, min(doc_id) AS first_id FROM k GROUP BY t),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WINDOW})) AS i FROM k JOIN f USING (t) WHERE first_id < doc_id),
+    g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+    FROM w LEFT JOIN g USING (doc_id)"""
