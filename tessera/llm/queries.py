@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": urls.op10_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op6_substrings": substrings.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op6_substrings": substrings.OP6_SQL, "op10_urls": urls.OP10_SQL}

@@ -115,4 +115,33 @@ def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "pages"), rules_table(spark))
+    out = judged(table(spark, sf_dir, "pages"), rules_table(spark))
+    return out.withColumns({k: F.round(k, 9) for k in ("trust", "distrust")})
+
+
+def _sql(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+    """The same for DuckDB, each round a table of its own."""
+    rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    steps, last = [], "start"
+    for k in range(rounds):
+        steps.append(f"""r{k} AS (SELECT kind, host, sum(r) AS r FROM (SELECT kind, w.dst AS host, {damping} * r * w AS r FROM {last} JOIN w ON w.kind = {last}.kind AND w.src = {last}.host
+            UNION ALL SELECT kind, host, {1 - damping} * s FROM seeds) GROUP BY kind, host)""".replace("SELECT kind, w.dst", "SELECT w.kind, w.dst"))
+        last = f"r{k}"
+    return f"""WITH rules(verdict, host, path) AS (VALUES {rows}),
+    p AS (SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    fits AS (SELECT page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) AS k FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+    ruled AS (SELECT p.page_id, p.host, p.path, rule, verdict FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (page_id)),
+    h AS (SELECT host, bool_or(coalesce(verdict = 'allow', false)) OR NOT bool_or(coalesce(verdict = 'block', false)) AS a, 2 * count(*) FILTER (verdict = 'block') > count(*) AS b FROM ruled WHERE host <> '' GROUP BY host),
+    links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s>]+)', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM p),
+    up AS (SELECT h.host AS src, q.host AS dst FROM h JOIN h q ON q.host = regexp_extract(h.host, '^[^.]*\\.(.+)$', 1)),
+    e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS n FROM (SELECT src, dst FROM links WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) GROUP BY src, dst),
+    both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+    w AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM both_ways),
+    seeds AS (SELECT 'trust' AS kind, host, CAST(1 AS DOUBLE) / (SELECT count(*) FROM h WHERE a) AS s FROM h WHERE a UNION ALL SELECT 'distrust', host, CAST(1 AS DOUBLE) / (SELECT count(*) FROM h WHERE b) FROM h WHERE b),
+    start AS (SELECT kind, host, s AS r FROM seeds), {", ".join(steps)},
+    sc AS (SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS distrust FROM {last} GROUP BY host)
+    SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > {MOST_DISTRUST} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict,
+        round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM ruled LEFT JOIN sc ON sc.host = ruled.host"""
+
+
+OP10_SQL = _sql()
