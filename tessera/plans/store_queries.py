@@ -165,7 +165,7 @@ def label_scrape(spark, d):
 @query("footprint_lookup", "SELECT s_suppkey AS product_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 0.5 WHEN s_suppkey % 3 = 1 THEN s_suppkey - 0.25 END::DOUBLE AS ul_lat FROM supplier")
 def footprint_lookup(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("product_id"))
-    cache = s.where("product_id % 3 = 0").select("product_id", *(F.col("product_id") + F.lit(0.5) for _ in ())).withColumns({c: (F.col("product_id") + 0.5).cast("double") for c in L.CORNERS})
+    cache = s.where("product_id % 3 = 0").withColumns({c: (F.col("product_id") + 0.5).cast("double") for c in L.CORNERS})
     cells = F.concat(*(F.concat(F.lit(f"<td>{c}</td><td> "), (F.col("product_id") - 0.25).cast("string"), F.lit("</td>")) for c in L.CORNERS))
     scraped = L.table_cells(s.where("product_id % 3 = 1").select("product_id", cells.alias("html")))
     return L.footprints(s, cache, scraped).select("product_id", "ul_lat")

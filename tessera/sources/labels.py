@@ -99,7 +99,7 @@ def table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def footprints(products: DataFrame, cache: DataFrame, scraped: DataFrame) -> DataFrame:
     """products (product_id) with the corners of a cache, or else of scraped pages (product_id, cells), or null."""
-    from_page = scraped.select("product_id", *(F.get(F.array(F.col("cells")[c]), 0).try_cast("double").alias(f"p_{c}") for c in CORNERS))
+    from_page = scraped.select("product_id", *(F.try_element_at("cells", F.lit(c)).try_cast("double").alias(f"p_{c}") for c in CORNERS))
     held = products.join(cache.select("product_id", *CORNERS), "product_id", "left").join(from_page, "product_id", "left")
     return held.select(*products.columns, *(F.coalesce(c, f"p_{c}").alias(c) for c in CORNERS))
 
