@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, half_even, horner
+from tessera.operators.quantiles import exact_percentiles
 
 # ---------------------------------------------------------------- spread over the scene
 
@@ -41,7 +42,10 @@ def active_cells(valid_pixels: DataFrame, rows: int, cols: int, height: int, wid
 # ---------------------------------------------------------------- robust filters
 
 
-def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), passes: bool = False) -> DataFrame:
+    """med_* of each column. passes: over a whole table too large for one aggregate's state, by passes of binned counts."""
+    if passes and not by:
+        return df.sparkSession.range(1).select(*(F.lit(exact_percentiles(df, c, (0.5,))[0]).cast("double").alias(f"med_{c}") for c in columns))
     return df.groupBy(*by).agg(*(F.median(c).alias(f"med_{c}") for c in columns))
 
 
@@ -50,12 +54,12 @@ def _beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
 
 
-def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
-    """Rows within max(factor * MAD, floor) of the median on all columns."""
-    held = _beside(df, medians(df, columns, by), by)
+def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = (), passes: bool = False) -> DataFrame:
+    """Rows within max(factor * MAD, floor) of the median on all columns; passes as for medians()."""
+    held = _beside(df, medians(df, columns, by, passes), by)
     away = held.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns})
-    spread = away.groupBy(*by).agg(*(F.median(f"dev_{c}").alias(f"mad_{c}") for c in columns))
-    kept = _beside(away, spread, by)
+    devs = medians(away, [f"dev_{c}" for c in columns], by, passes)
+    kept = _beside(away, devs.withColumnsRenamed({f"med_dev_{c}": f"mad_{c}" for c in columns}), by)
     for c in columns:
         kept = kept.where(F.col(f"dev_{c}") <= F.greatest(F.lit(factor) * F.col(f"mad_{c}"), F.lit(floor)))
     return kept.select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, valid
+from tessera.operators.quantiles import exact_percentiles
 
 #: Fixed values of the push-frame instrument's colour mode: lines of a frame, and the lines of each band in it, by index and by
 #: wavelength in nm.
@@ -80,12 +81,18 @@ def to_byte(v: Column) -> Column:
     return clamp(v, 0.0, 255.0).cast("int")
 
 
-def percentile_stretch(df: DataFrame, low: float = 0.02, high: float = 0.98, least: int = 100, by: Sequence[str] = (), high_of_all: bool = False) -> DataFrame:
+def percentile_stretch(df: DataFrame, low: float = 0.02, high: float = 0.98, least: int = 100, by: Sequence[str] = (), high_of_all: bool = False, passes: bool = False) -> DataFrame:
     """v from its low to its high percentile as a byte (u8): percentiles of valid values, the high one of all values if
-    high_of_all. Groups with under least valid values are only clipped."""
+    high_of_all. Groups with under least valid values are only clipped. passes: a whole table's percentiles by passes of binned
+    counts, where one aggregate's state can't hold its different values."""
     q = lambda x, share: F.percentile(x, F.lit(share))
     ok = F.when(valid("v"), F.col("v"))
-    stats = df.groupBy(*by).agg(q(ok, low).alias("lo"), q(F.col("v") if high_of_all else ok, high).alias("hi"), F.count(ok).alias("n"))
+    if passes and not by:
+        only = df.where(valid("v"))
+        (lo,), (hi,) = exact_percentiles(only, "v", (low,)), exact_percentiles(df if high_of_all else only, "v", (high,))
+        stats = df.agg(F.count(ok).alias("n")).select(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), "n")
+    else:
+        stats = df.groupBy(*by).agg(q(ok, low).alias("lo"), q(F.col("v") if high_of_all else ok, high).alias("hi"), F.count(ok).alias("n"))
     held = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
     scaled = clamp((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6), 0.0, 1.0) * 255.0
     return held.select(*df.columns, F.when(F.col("n") < least, to_byte(F.coalesce(F.col("v"), F.lit(0.0)))).otherwise(F.floor(scaled)).cast("int").alias("u8"))

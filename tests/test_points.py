@@ -97,3 +97,16 @@ def test_partitioning_does_not_matter(spark):
     one, many = (spark.createDataFrame(rows, cols).repartition(k) for k in (1, 7))
     a, b = (P.drift_regression(d).first().asDict() for d in (one, many))
     assert a == pytest.approx(b)
+
+
+def test_passes_give_the_same(spark):
+    from tessera.operators import rasters as R
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.standard_t(2, (3000, 2)))], "k int, dx double, dy double")
+    ids = lambda d: sorted(r["k"] for r in d.collect())
+    assert ids(P.mad_inliers(df, ["dx", "dy"], 0.1, 2.0, passes=True)) == ids(P.mad_inliers(df, ["dx", "dy"], 0.1, 2.0))
+    px = df.select("k", F.col("dx").alias("v"))
+    for flag in (False, True):
+        a, b = (sorted(map(tuple, R.percentile_stretch(px, high_of_all=flag, passes=p).collect())) for p in (False, True))
+        assert a == b
