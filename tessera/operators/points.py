@@ -148,23 +148,23 @@ def tile_grid(spark: SparkSession, height: int, width: int, size: int, step: int
     none is left the whole image is the tile. Where the last two cores of an axis would overlap, the later one begins where the
     earlier ends."""
 
-    def axis(n: int) -> list[tuple[int, int, int, int]]:
+    def axis(n: int) -> list[tuple[int, int, int, int, int]]:
         margin = max(0, (size - step) // 2)
         starts = [s for s in range(0, n, step) if min(s + size, n) - s >= least] or [0]
         out, last = [], 0
         for s in starts:
-            e = min(s + size, n) if len(starts) > 1 or s else min(size, n) if n >= least else n
+            e = min(s + size, n)
             c0, c1 = (0 if s == 0 else s + margin), (n if e >= n or s == starts[-1] else e - margin)
             c0 = max(c0, last)
             last = max(last, c1)
-            out.append((s, e, c0, c1))
+            out.append((len(out), s, e, c0, c1))
         return out
 
     ys, xs = axis(height), axis(width)
-    cols = ("0", "1", "core0", "core1")
+    cols = ("i", "0", "1", "core0", "core1")
     frame = lambda rows, a: spark.createDataFrame(rows, ", ".join(f"{a}{c} int" for c in cols))
     tiles = frame(ys, "y").crossJoin(F.broadcast(frame(xs, "x")))
-    return tiles.withColumn("tile_id", (F.dense_rank().over(Window.orderBy("y0", "x0")) - 1).cast("int"))
+    return tiles.withColumn("tile_id", F.col("yi") * len(xs) + F.col("xi")).drop("yi", "xi")
 
 
 def fixed_grid(spark: SparkSession, height: int, width: int, rows: int, cols: int) -> DataFrame:

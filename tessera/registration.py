@@ -37,6 +37,7 @@ class RunConfig:
     grid_cols: int = 4
     tile_size: int = 1600
     step_size: int = 1200
+    search_padding: int = 64
     patch: int = 64
     most_points: int = 800
     target_rmse: float = 0.5
@@ -199,13 +200,25 @@ def windows_of(tiles: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key).applyInPandas(cut, f"{key} {kind}, h int, w int, dtype string, px binary")
 
 
+def search_padding(drift: Coarse, config: RunConfig, height: int) -> int:
+    """How far around its predicted place a tile is searched: farther the less sure, the larger or the longer the drift is."""
+    base = config.search_padding
+    if drift.confidence < 0.05:
+        return min(max(base, 700), 1200)
+    if drift.confidence < 0.15:
+        return min(max(base, 500), 1000)
+    if np.hypot(*drift.intercept) > 800 or height > 8000:
+        return min(1200, max(base, 600, int(0.04 * height)))
+    return base
+
+
 def match(source: DataFrame, reference: DataFrame, shape: tuple[int, int], ref_shape: tuple[int, int], drift: Coarse, config: RunConfig, matcher=K.grid_matcher) -> DataFrame:
     """Tie points (tile_id, sx, sy, rx, ry, score): tiles against their search windows, a similarity per tile, and each point kept by
     the one tile whose core holds it."""
     spark, (h, w) = source.sparkSession, shape
     size, step = (min(config.tile_size, 1200), 800) if max(h, ref_shape[0]) > 3500 and config.step_size > 800 else (config.tile_size, config.step_size)
     grid = P.tile_grid(spark, h, w, size, step)
-    windows = P.search_windows(grid, drift.slope, drift.intercept, 64, *ref_shape)
+    windows = P.search_windows(grid, drift.slope, drift.intercept, search_padding(drift, config, max(h, ref_shape[0])), *ref_shape)
     boxes = windows.select("tile_id", "y0", "y1", "x0", "x1")
     searched = windows.select("tile_id", F.col("wy0").cast("int").alias("y0"), F.col("wy1").cast("int").alias("y1"), F.col("wx0").cast("int").alias("x0"), F.col("wx1").cast("int").alias("x1"))
 
