@@ -7,6 +7,7 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -70,18 +71,25 @@ def _coder(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
     return lambda: Codec.of(shared, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids array<int>), a row for each of docs. A null text has no ids; an id may be null or repeat; rows stay
-    apart. Other columns are not read."""
-    coder = _coder(docs.sparkSession, path, pattern)
+def _encoded(coder: Callable[[], Codec]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Batches (id, text) to batches (id, ids); a document's ids are Python integers only while it is encoded."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = coder()
-        ids = pa.array([codec.encode(x) for x in texts(batch.column(1))], pa.list_(pa.int32()))
+        codec, parts = coder(), [np.zeros(0, np.int32)]
+        for text in texts(batch.column(1)):
+            parts.append(np.array(codec.encode(text), np.int32))
+        offsets = np.cumsum([len(p) for p in parts]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, ids array<int>), a row for each of docs. A null text has no ids; an id may be null or repeat; rows stay
+    apart. Other columns are not read."""
     kind = docs.select(id_col).dtypes[0][1]
-    return map_columns(docs.select(id_col, text_col), run, f"id {kind}, ids array<int>")
+    return map_columns(docs.select(id_col, text_col), _encoded(_coder(docs.sparkSession, path, pattern)), f"id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -103,20 +111,23 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the number of ids, their digest (little-endian unsigned 32-bit integers), and that of what they decode to."""
+    """Per document the number of ids, their digest (little-endian unsigned 32-bit integers), and that of what they decode to.
+    Digests are taken where the ids are made, batch by batch."""
     path, pattern = default_vocabulary()
-    coder, tokens = _coder(spark, path, pattern), encode(table(spark, sf_dir, "documents"), path, pattern)
+    coder = _coder(spark, path, pattern)
+    encoded = _encoded(coder)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec, n, hashes, decoded = coder(), [], [], []
-        for ids in batch.column(1):
+        codec, tokens, n, hashes, decoded = coder(), encoded(batch), [], [], []
+        for ids in tokens.column(1):
             held = ids.values.to_numpy(zero_copy_only=False)
             n.append(len(held))
             hashes.append(hashlib.sha256(held.astype("<u4").tobytes()).hexdigest())
             decoded.append(hashlib.sha256(codec.decode(held.tolist())).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), long_array(n), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([tokens.column(0), long_array(n), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_columns(tokens, run, f"doc_id {tokens.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return map_columns(docs, run, f"doc_id {docs.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
