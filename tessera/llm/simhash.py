@@ -94,11 +94,14 @@ def error_patterns() -> np.ndarray:
 def codeword_index() -> np.ndarray:
     """For each 23-bit word the 12-bit index of the codeword that it decodes to: the codeword's upper bits (8 M entries, from
     the rule above, 2 bytes each)."""
-    words = np.arange(1 << 23, dtype=np.int64)
-    syndromes = np.zeros(1 << 23, np.int64)
-    for bit in range(23):
-        syndromes ^= np.where(words >> bit & 1, _remainder(np.array([1 << bit]))[0], 0)
-    return ((words ^ error_patterns()[syndromes]) >> 11).astype(np.uint16)
+    units, errors, out = [int(_remainder(np.array([1 << bit]))[0]) for bit in range(23)], error_patterns().astype(np.int32), np.empty(1 << 23, np.uint16)
+    for start in range(0, 1 << 23, 1 << 18):  # in parts, so that a worker needs little besides the table
+        words = np.arange(start, start + (1 << 18), dtype=np.int32)
+        syndromes = np.zeros(1 << 18, np.int32)
+        for bit, unit in enumerate(units):
+            syndromes ^= (words >> bit & 1) * np.int32(unit)
+        out[start : start + (1 << 18)] = (words ^ errors[syndromes]) >> 11
+    return out
 
 
 def segment_keys(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
