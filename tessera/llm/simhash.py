@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near
 from .common import map_columns, raw_texts, table, written
 from .components import components
 
@@ -251,9 +252,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the row with the smallest doc_id of each component, with all its columns. Of rows that repeat that
-    doc_id one stays; of a component whose ids are all null, one row per fingerprint's class stays."""
-    found = clusters(docs)
+    """The pipeline's stage: the row with the smallest doc_id of each component of near-duplicates (near.clusters: five-word
+    shingles, similarity of 0.8 and more), with all its columns. Of rows that repeat that doc_id one stays; of a component whose
+    ids are all null, one row per class stays."""
+    found = near.clusters(docs)
     kept = found.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n")).select(F.col("id").alias("__kept_id"), F.col("n").alias("__kept_n"))
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]))
     once = joined.where("__kept_n = 1").select(*[docs[c] for c in docs.columns])
