@@ -1,8 +1,9 @@
 """Personal data: patterns, and a semi-Markov conditional random field for what the patterns miss.
 
 The field scores whole candidate segments (their digits, shape, separators, checksum and the words before them), and dynamic
-programming over segments of bounded length chooses boundaries and kinds together. It runs on the neighbourhoods of digits,
-'@' and a spelled-out 'dot' alone: a candidate without one of them has no feature that could make it an entity.
+programming over segments of bounded length (assigned secrets and keys: of any length) chooses boundaries and kinds together. It
+runs on the neighbourhoods of digits, '@', a bracketed 'at', a spelled-out 'dot', assigned secrets and key prefixes alone: a
+candidate without one of them has no feature that could make it an entity.
 """
 
 from __future__ import annotations
@@ -76,13 +77,15 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- the field
 
-#: Bounds of an entity, in tokens and code points.
+#: Bounds of an entity, in tokens and code points; whole matches of _UNBOUNDED shapes are candidates beyond them.
 MOST_TOKENS, MOST_CHARS = 24, 96
 #: Code points around a trigger that the field looks at.
 AROUND = 64
 
-_TRIGGER = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto)\b", re.I)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\S\n]+|\n|[^\w\s]|_")
+_TRIGGER = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto)\b|[\(\[]\s?at\s?[\)\]]", re.I)
+_TOKEN = re.compile(r"[^\W_]+|[^\S\n]+|\n|[^\w\s]|_")
+_RUN = re.compile(r"[^\W_]*+")
+_UNBOUNDED = ("assigned", "key_like")
 _AT = r"(?:@|\s?[\(\[]\s?at\s?[\)\]]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\(\[]\s?(?:dot|\.)\s?[\)\]]\s?|\sdot\s)"
 _SHAPES = {
@@ -142,6 +145,12 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], dict[int, list[
                 break
             if not blank[j - 1] and (facts := _facts(text, edges[i], edges[j])):
                 out.setdefault(j, []).append((i, facts))
+    at = {e: k for k, e in enumerate(edges)}
+    for shape in _UNBOUNDED:
+        for m in _SHAPES[shape].finditer(text, lo, hi):
+            i, j = at.get(m.start()), at.get(m.end())
+            if i is not None and j is not None and (j - i > MOST_TOKENS or edges[j] - edges[i] > MOST_CHARS) and (facts := _facts(text, edges[i], edges[j])):
+                out.setdefault(j, []).append((i, facts))
     return edges, out
 
 
@@ -258,12 +267,17 @@ def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), by kind and then start. Spans that the field finds over a base span are that one's."""
     base = base_spans(text)
     islands: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    found = [m.span() for m in _TRIGGER.finditer(text)]
+    for shape in _UNBOUNDED:
+        found += [m.span() for m in _SHAPES[shape].finditer(text)]
+    for a, b in sorted(found):
+        lo, hi = max(0, a - AROUND), min(len(text), b + AROUND)
         if islands and lo <= islands[-1][1]:
-            islands[-1][1] = hi
+            islands[-1][1] = max(hi, islands[-1][1])
         else:
             islands.append([lo, hi])
+        if text[islands[-1][1] - 1].isalnum():  # an alphanumeric run isn't cut
+            islands[-1][1] = _RUN.match(text, islands[-1][1]).end()
     taken = sorted((s, e) for _, s, e in base)
     more, k = [], 0
     for lo, hi in islands:
