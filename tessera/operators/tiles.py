@@ -165,13 +165,16 @@ def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool =
 
 
 def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, sample: int = 2000, seed: int = 7) -> tuple[np.ndarray | None, DataFrame]:
-    """(model, inliers) over points that don't fit one task: hypotheses come from a small seeded sample, which also picks the
-    eight best; those score all points by one aggregation (a counter for each); the best is fitted to its inliers by sums."""
-    held = points.orderBy(F.xxhash64("sx", "sy", "rx", "ry", F.lit(seed))).limit(sample).select("sx", "sy", "rx", "ry").toPandas().to_numpy()
+    """(model, inliers) over points that don't fit one task: hypotheses are drawn from a small seeded sample of different points;
+    all score all points by one aggregation (a counter for each); the best is fitted to its inliers by sums."""
+    places = points.select("sx", "sy", "rx", "ry").distinct()
+    held = places.orderBy(F.xxhash64("sx", "sy", "rx", "ry", F.lit(seed)), "sx", "sy", "rx", "ry").limit(sample).toPandas().to_numpy()
     if len(held) < 3:
         return None, points.limit(0)
     rng, models = np.random.default_rng(seed), []
-    for _ in range(hypotheses):
+    for _ in range(20 * hypotheses):  # degenerate triples are drawn again
+        if len(models) == hypotheses:
+            break
         pick = rng.choice(len(held), 3, replace=False)
         if abs(np.linalg.det(np.column_stack([held[pick, :2], np.ones(3)]))) > 1e-6:
             models.append(K.fit_affine(held[pick, :2], held[pick, 2:]))
@@ -182,8 +185,6 @@ def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, s
         a, b, c, d, e, f = (F.lit(float(v)) for v in m.ravel())
         return F.hypot(a * F.col("sx") + b * F.col("sy") + c - F.col("rx"), d * F.col("sx") + e * F.col("sy") + f - F.col("ry"))
 
-    near = [int((np.hypot(*(K.applied(m, held[:, :2]) - held[:, 2:]).T) <= threshold).sum()) for m in models]
-    models = [models[k] for k in np.argsort(near, kind="stable")[::-1][:8]]
     counts = points.agg(*(F.count_if(error(m) <= threshold).alias(f"h{k}") for k, m in enumerate(models))).first()
     best = models[int(np.argmax(counts))]
     ok = points.where(error(best) <= threshold)
