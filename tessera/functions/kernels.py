@@ -224,7 +224,7 @@ def grid_matcher(a: np.ndarray, b: np.ndarray, patch: int = 64, step: int = 48,
     return m[:, :2], m[:, 2:4], m[:, 4]
 
 
-def circles(image: np.ndarray, smallest: int = 15, largest: int = 60, least_votes: int = 25, step: int = 2) -> np.ndarray:
+def circles(image: np.ndarray, smallest: int = 15, largest: int = 200, least_votes: int = 25, step: int = 2) -> np.ndarray:
     """(cx, cy, r) rows: circles by gradient voting. Edge pixels vote for centres along their gradient, for each radius; of the
     accumulator's local maxima those with votes enough stay, strongest first, apart by twice the smallest radius."""
     x = image.astype(float)
@@ -243,10 +243,10 @@ def circles(image: np.ndarray, smallest: int = 15, largest: int = 60, least_vote
             ok = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
             np.add.at(acc, (cy[ok], cx[ok]), 1)
         acc = gaussian(acc, 1.0) * 2 * np.pi
-        for _ in range(8):
+        while True:
             k = int(np.argmax(acc))
             cy, cx = divmod(k, w)
-            if acc[cy, cx] < least_votes:
+            if acc[cy, cx] < max(least_votes, 1):  # without a vote there is no centre
                 break
             found.append((acc[cy, cx] / r, cx, cy, r))
             acc[max(0, cy - r) : cy + r + 1, max(0, cx - r) : cx + r + 1] = 0

@@ -114,7 +114,7 @@ def matched(pairs: DataFrame, key: str, matcher: Callable = K.grid_matcher) -> D
     return _pairs(pairs, key, "sx double, sy double, rx double, ry double, score double", run)
 
 
-def found_circles(patches: DataFrame, key: str, smallest: int = 15, largest: int = 60, least_votes: int = 25) -> DataFrame:
+def found_circles(patches: DataFrame, key: str, smallest: int = 15, largest: int = 200, least_votes: int = 25) -> DataFrame:
     """(key, cx, cy, r) of the circles in each patch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
