@@ -26,8 +26,8 @@ class RunConfig:
     sensor_src: str = "OHRC"
     sensor_ref: str = "NAC"
     method: str = "dense"
-    structural_method: str = "phase_congruency"
-    coarse_method: str = "auto"
+    structural_method: str = "none"
+    coarse_method: str = "fft"
     poly_degree: int = 2
     tps_smoothing: float = 0.05
     warp_order: int = 3
@@ -51,8 +51,8 @@ class RunConfig:
                 raise ValueError(f"{name} must be in [{lo}, {hi}]")
         if not 0 < self.ransac_threshold <= 100:
             raise ValueError("ransac_threshold must be in (0, 100]")
-        if self.coarse_method not in ("auto", "fft", "crater") or self.structural_method not in ("phase_congruency", "gradient"):
-            raise ValueError("unknown coarse or structural method")
+        if self.coarse_method != "fft" or self.structural_method != "none":  # others aren't part of the run
+            raise ValueError("the run has the coarse_method fft and the structural_method none only")
 
 
 @dataclass
