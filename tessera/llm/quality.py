@@ -76,14 +76,14 @@ def line_facts(line: str, words: list[str], seen: bool) -> list[str]:
         out.append("varied" if 3 * different > 2 * n else "some_varied" if 3 * different > n else "same")
     end = words[-1][-1]
     out.append("end:" + ("stop" if end in ".!?…»\"'”)" else "comma" if end in ",;:" else "open"))
-    digits = sum(any(map(str.isdigit, w)) for w in words) if n < 400 else 0
+    digits = sum(any(map(str.isdigit, w)) for w in words)
     if 3 * digits > n:
         out.append("numbers")
     if line[:1].isupper():
         out.append("capital")
     if seen:
         out.append("seen")
-    if n < 40 and _LEGAL.search(line):
+    if 40 * len(_LEGAL.findall(line)) > n:  # one is enough in a line under 40 words, a long line needs as many by length
         out.append("legal")
     return out
 
