@@ -15,7 +15,9 @@ from .common import table, written
 
 #: (verdict, host, path); a rule fits its host and all subdomains, where the url's path starts with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: ROUNDS is what op10's SQL fixes; elsewhere ranks are settled to TOLERANCE, or refused after MOST_ROUNDS.
 ROUNDS, WRITE_EACH, DAMPING, MOST_DISTRUST = 8, 4, 0.85, 0.5
+TOLERANCE, MOST_ROUNDS = 1e-4, 1000
 #: A host with over this share of all pages is common (so there are 1 / HOT_SHARE such hosts at most); its pages are dealt to
 #: SALTS tasks in joins by host.
 HOT_SHARE, SALTS = 1 / 1000, 64
@@ -70,25 +72,39 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(up.withColumn("n", F.lit(1.0))).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("n"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _settled(before: DataFrame, rank: DataFrame) -> bool:
+    """No host is new and no rank has changed by over TOLERANCE of itself."""
+    old = before.withColumnRenamed("r", "old")
+    moved = rank.join(old, ["kind", "host"], "left").where(F.col("old").isNull() | (F.abs(F.col("r") - F.col("old")) > TOLERANCE * F.col("r")))
+    return moved.isEmpty()
+
+
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of seeds (host, trust, distrust; each summing up to 1 or 0): PageRank with the seeds as
-    teleport, trust along edges and distrust against them. A round is a join and an aggregation of hosts' edges."""
+    teleport, trust along edges and distrust against them. A round is a join and an aggregation of hosts' edges. Without rounds
+    it goes on until the ranks are settled, and fails if MOST_ROUNDS don't settle them."""
     one_way = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = one_way.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     weighted = written(one_way.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "host-edges")
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "s")).where("s > 0")
     start = written(start, "host-seeds")
-    rank = start.withColumnRenamed("s", "r")
-    for k in range(rounds):
+    rank = before = start.withColumnRenamed("s", "r")
+    for k in range(MOST_ROUNDS if rounds is None else rounds):
         sent = rank.withColumnRenamed("host", "src").join(weighted, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("r") * F.col("w")).alias("r"))
         rank = sent.unionByName(start.select("kind", "host", ((1 - damping) * F.col("s")).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         if k % WRITE_EACH == WRITE_EACH - 1:
             rank = written(rank, "host-ranks")
+            if rounds is None and _settled(before, rank):
+                break
+            before = rank
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(part("trust"), part("distrust"))
 
 
-def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), a row for each of pages (page_id, url, html). A null url has
     an empty host and path. A page under no rule is blocked if its host has more distrust than trust (their share over
     MOST_DISTRUST), else allowed, also where nothing reaches its host."""
@@ -102,7 +118,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     all_a, all_b = (x or 0.0 for x in share.agg(F.sum("a"), F.sum("b")).first())
     seeds = share.select("host", (F.col("a") / max(all_a, 1.0)).alias("trust"), (F.col("b") / max(all_b, 1.0)).alias("distrust"))
     edges = host_edges(pages.select(host(F.col("url")).alias("host"), "html"), hosts)
-    scores = spread(edges, seeds)
+    scores = spread(edges, seeds, rounds)
     bad = F.col("distrust") > F.lit(MOST_DISTRUST) * (F.col("trust") + F.col("distrust"))
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))
     joined = joined_by_host(ruled, scores, common).withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
@@ -115,7 +131,7 @@ def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "pages"), rules_table(spark))
+    out = judged(table(spark, sf_dir, "pages"), rules_table(spark), ROUNDS)  # its SQL fixes the rounds
     return out.withColumns({k: F.round(k, 9) for k in ("trust", "distrust")})
 
 
