@@ -7,12 +7,14 @@ whatever stands around them. The steps, each over all rows:
 2. runs of windows with a key that is left become units of text, which go to the shard of their key with the smallest doc_id
    that has them; equal units are one. Of a key with over MOST_UNITS units each window goes by its own hash instead, so no
    passage, however common, and whatever surrounds its copies, gathers in one shard;
-3. a shard indexes its units: blocks of BLOCK words are the symbols, the Burrows-Wheeler transform of all block sequences lies in
-   a wavelet matrix, and backward search, all windows of the streamed units at once, gives each window's interval in the suffix
-   order: all places where it stands, and so the smallest doc_id;
-4. a window whose smallest doc_id is smaller than its document's is marked, and documents drop the words under marks.
+3. a shard's units, as numbers of its words, are indexed (fmindex), and streamed through the index: matching statistics give at
+   each word how far the text from there on stands in a unit of a smaller doc_id too; where that is WINDOW words and more the
+   word is reported, in intervals;
+4. these are the starts of the repeated windows of the unit's first document; of any later document with the unit all are.
+   Documents drop the words under them.
 
-Words are compared as 64-bit hashes; a window found is compared with its first copy word by word."""
+Hashes choose keys and shards only, so equal hashes of different words cost time and change nothing: the index holds words by
+exact number, and units meet their results by SHA-256."""
 
 from __future__ import annotations
 
@@ -20,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_array, map_columns, mixed, raw_texts, span_hashes, table, word_bounds, written
+from .common import long_array, map_columns, mixed, raw_texts, table, written
+from .fmindex import Index, matching_statistics
 
-WINDOW, ANCHOR, BLOCK = 50, 12, 25
-#: Units of one key that stay together, and words that a shard indexes (about 100 bytes each while it is built).
-MOST_UNITS, SHARD_WORDS = 20_000, 1_000_000
+WINDOW, ANCHOR = 50, 12
+#: Windows of a unit, units of one key that stay together, and words that a shard indexes (about 200 bytes each).
+MOST_WINDOWS, MOST_UNITS, SHARD_WORDS = 512, 20_000, 1_000_000
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -60,107 +64,23 @@ def window_keys(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -
     return sliding_min(run_hashes(words, anchor), window - anchor + 1).view(np.int64)
 
 
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    starts, ends = word_bounds(data)
-    return span_hashes(data, starts, ends), starts, ends
-
-
-# ---------------------------------------------------------------- the index
-
-
-class WaveletMatrix:
-    """Symbols by bit planes, each packed to 64-bit words with the number of ones before every word: ranks take a step for
-    each plane, for many places at once."""
-
-    def __init__(self, symbols: np.ndarray, size: int):
-        self.levels, self.n = [], len(symbols)
-        for bit in range(max(1, int(size - 1).bit_length()) - 1, -1, -1):
-            ones = (symbols >> bit & 1).astype(bool)
-            padded = np.zeros((len(ones) // 64 + 1) * 64, bool)
-            padded[: len(ones)] = ones
-            packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.int32)
-            self.levels.append((bit, packed, before, int(len(ones) - ones.sum())))
-            symbols = np.concatenate([symbols[~ones], symbols[ones]])
-
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before its place."""
-        at, first = place.astype(np.int64), np.zeros(len(place), np.int64)
-        for bit, packed, before, zeros in self.levels:
-            ones = (symbol >> bit & 1).astype(bool)
-
-            def ones_before(x: np.ndarray, packed=packed, before=before) -> np.ndarray:
-                word = x >> 6
-                mask = (np.uint64(1) << (x & 63).astype(np.uint64)) - np.uint64(1)
-                return before[word] + np.bitwise_count(packed[word] & mask)
-
-            a, f = ones_before(at), ones_before(first)
-            at, first = np.where(ones, zeros + a, at - a), np.where(ones, zeros + f, first - f)
-        return at - first
-
-
-class Index:
-    """A compressed FM-index of word sequences, for windows of a fixed number of words.
-
-    Every place with block words left in its sequence is a suffix, and is followed by the place block words on. Suffixes are
-    sorted by as many blocks as a window has; what they sort beyond that makes no difference to patterns of that length."""
-
-    def __init__(self, words: np.ndarray, ends: np.ndarray, window: int = WINDOW, block: int = BLOCK):
-        """words: the sequences' word hashes, one after another; ends: where each ends."""
-        assert window % block == 0
-        self.window, self.block, self.depth = window, block, window // block
-        n = len(words)
-        end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-        place = np.arange(n)
-        hashes = np.zeros(n, np.uint64)
-        hashes[: max(0, n - block + 1)] = run_hashes(words, block)
-        self.places = np.flatnonzero(place + block <= end)
-        symbols, names = np.unique(hashes[self.places], return_inverse=True)
-        self.name = np.zeros(n + window + 1, np.int64)  # 0: no block
-        self.name[self.places] = names + 1
-        size = len(symbols) + 1
-        ahead = [self.name[self.places]] + [np.where(self.places + (k + 1) * block <= end[self.places], self.name[self.places + k * block], 0) for k in range(1, self.depth)]
-        order = np.lexsort(ahead[::-1])
-        self.suffixes = self.places[order]
-        start = np.concatenate([[0], ends])[:-1]
-        begin = np.repeat(start, np.diff(np.concatenate([[0], ends])))
-        back = self.suffixes - block
-        self.transform = WaveletMatrix(np.where(back >= begin[self.suffixes], self.name[back], 0), size)
-        self.count = np.concatenate([[0], np.cumsum(np.bincount(self.name[self.places], minlength=size))])
-        last = self.places[self.places + 2 * block > end[self.places]]
-        self.final = np.bincount(self.name[last], minlength=size)
-        self.windows = np.flatnonzero(place + window <= end)
-
-    def search(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of suffixes that begin with each window: backward search by block."""
-        c = self.name[starts + (self.depth - 1) * self.block]
-        lo, hi = self.count[c], self.count[c + 1]
-        for k in range(self.depth - 2, -1, -1):
-            c = self.name[starts + k * self.block]
-            base = self.count[c] + self.final[c]
-            lo, hi = base + self.transform.rank(c, lo), base + self.transform.rank(c, hi)
-        return lo, hi
-
-
-def first_ids(words: np.ndarray, ends: np.ndarray, ids: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> list[np.ndarray]:
-    """For each sequence, for each of its windows, the smallest of ids over all sequences that have it."""
-    index = Index(words, ends, window, block)
-    starts = index.windows
-    sequence = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*[index.search(starts[k : k + 100_000]) for k in range(0, len(starts), 100_000)], strict=True) if len(starts) else ((), ())))
-    found, which = np.unique(lo, return_index=True)  # intervals of windows are the same or apart
-    at = ids[sequence[index.suffixes]]
-    edges = np.stack([found, hi[which]], 1).reshape(-1)
-    least = np.minimum.reduceat(np.append(at, np.iinfo(np.int64).max), edges)[::2] if len(found) else np.zeros(0, np.int64)
-    owner = np.searchsorted(found, lo)
-    copy = starts[which][owner]
-    for k in range(0, len(starts), 50_000):
-        reach = np.arange(window)
-        if not (words[starts[k : k + 50_000, None] + reach] == words[copy[k : k + 50_000, None] + reach]).all():
-            raise ValueError("two different windows have the same hash")
-    counts = np.bincount(sequence[starts], minlength=len(ends))
-    return np.split(least[owner], np.cumsum(counts)[:-1])
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def repeated(units: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each unit (words joined by one space) the intervals [from, to) of its words at which its matching statistics against
+    the units with smaller ids are window and more."""
+    words = b" ".join(units).split()
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    sizes = np.array([u.count(b" ") + 1 for u in units])
+    ends = np.cumsum(sizes)
+    found = matching_statistics(Index(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), ends, ids)) >= window
+    change = np.diff(np.concatenate([[False], found, [False]]).astype(np.int8))
+    begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)  # a unit's last words reach no window, so none joins two
+    of = np.searchsorted(ends, begin, side="right")
+    spans = np.stack([begin, end], 1) - (ends - sizes)[of][:, None]
+    return np.split(spans, np.cumsum(np.bincount(of, minlength=len(units)))[:-1])
 
 
 # ---------------------------------------------------------------- tables
@@ -171,7 +91,7 @@ _UNIT = "key long, doc_id long, tie long, start long, n long, words binary"
 def _keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     docs, ties, keys = [], [], []
     for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-        found = np.unique(window_keys(_words(text)[0]))
+        found = np.unique(window_keys(_hashes(text.split())))
         docs.append(np.full(len(found), doc))
         ties.append(np.full(len(found), tie))
         keys.append(found)
@@ -180,15 +100,17 @@ def _keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def _units(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Runs of windows with one key that is among the document's kept keys."""
+    """Runs of at most MOST_WINDOWS windows with one key that is among the document's kept keys."""
     rows: list[tuple] = []
     for doc, tie, text, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-        words, starts, ends = _words(text)
-        keys = window_keys(words)
+        words = text.split()
+        keys = window_keys(_hashes(words))
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(cut, len(keys)))
         for s, n in zip(cut[good := np.isin(keys[cut], kept)].tolist(), size[good].tolist(), strict=True):
-            rows.append((int(keys[s]), doc, tie, s, n, b" ".join(text[starts[s] : ends[s + n + WINDOW - 2]].split())))
+            for at in range(s, s + n, MOST_WINDOWS):
+                m = min(MOST_WINDOWS, s + n - at)
+                rows.append((int(keys[s]), doc, tie, at, m, b" ".join(words[at : at + m + WINDOW - 1])))
     return _unit_batch(rows)
 
 
@@ -206,34 +128,26 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             for _, doc, tie, start, n, text in zip(*(c.to_pylist() for c in batch.slice(chunk, 1000).columns), strict=True):
                 words = text.split()
-                keys = run_hashes(_words(text)[0], WINDOW).view(np.int64).tolist()
+                keys = run_hashes(_hashes(words), WINDOW).view(np.int64).tolist()
                 rows += [(keys[k], doc, tie, start + k, 1, b" ".join(words[k : k + WINDOW])) for k in range(n)]
             if rows:
                 yield _unit_batch(rows)
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard's units (words, first id, the unit's two hashes) through its index."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    units = pa.Table.from_batches(rows).combine_chunks()
-    texts = units.column("words").to_pylist()
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    starts, ends = word_bounds(data)
-    words = span_hashes(data, starts, ends)
-    sizes = np.array([t.count(b" ") + 1 for t in texts])
-    found = first_ids(words, np.cumsum(sizes), units.column("first").to_numpy())
-    values = np.concatenate(found)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-    out = pa.RecordBatch.from_arrays([units.column("h1").combine_chunks(), units.column("h2").combine_chunks(), lists], names=["h1", "h2", "firsts"])
-    yield from (out.slice(k, 5000) for k in range(0, out.num_rows, 5000))
+def _search(shard: pa.Table) -> pa.Table:
+    """One shard's units (words, first id, digest) through its index."""
+    found = repeated(shard.column("words").to_pylist(), shard.column("first").to_numpy())
+    lists = pa.array([[{"a": a, "b": b} for a, b in x.tolist()] for x in found], _SPANS)
+    return pa.table([shard.column("digest"), shard.column("first"), lists], schema=_FOUND)
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_FOUND = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("spans", _SPANS)])
 
 
 def marks(docs: DataFrame, most_units: int = MOST_UNITS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, tie, starts): the windows (by their first word) of docs (doc_id, tie, text) that start in a document with a
-    smaller doc_id too. Rows with null ids have no marks and mark nothing."""
+    """(doc_id, tie, starts array<struct<a, b>>): the windows (intervals of their first words) of docs (doc_id, tie, text) that
+    start in a document with a smaller doc_id too. Rows with null ids have no marks and mark nothing."""
     rows = docs.where("doc_id is not null")
     keys = written(map_columns(rows.select("doc_id", "tie", "text"), _keys, "doc_id long, tie long, key long"), "window-keys")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
@@ -245,30 +159,27 @@ def marks(docs: DataFrame, most_units: int = MOST_UNITS, shard_words: int = SHAR
         flagged = units.join(often, "key", "left")
         singles = flagged.where("often").drop("often").mapInArrow(_single, _UNIT)
         units = written(flagged.where("often is null").drop("often").unionByName(singles), "units")
-    hashes = [F.xxhash64("words", F.lit(k)).alias(f"h{k}") for k in (1, 2)]
+    digest = F.unhex(F.sha2("words", 256)).alias("digest")
     words = units.select((F.sum("n") + (WINDOW - 1) * F.count("*")).alias("n")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    distinct = units.select("key", "words", *hashes, "doc_id").groupBy("key", "words", "h1", "h2").agg(F.min("doc_id").alias("first"))
-    dealt = distinct.select(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).alias("shard"), "words", "first", "h1", "h2")
-
-    firsts = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(_search(t.to_batches())), schema=_FOUND), "h1 long, h2 long, firsts array<long>")
-    places = units.select("doc_id", "tie", "start", *hashes).join(firsts, ["h1", "h2"])
-    hit = F.filter(F.transform("firsts", lambda f, k: F.when(f < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull())
-    return places.select("doc_id", "tie", hit.alias("s")).where("size(s) > 0").groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("s")).alias("starts"))
-
-
-_FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("firsts", pa.list_(pa.int64()))])
-
-
-def kept_words(text: bytes, starts: list[int] | None) -> tuple[int, list[bytes]]:
-    """(number of words, those that no marked window covers)."""
+    distinct = units.groupBy("key", "words").agg(F.min("doc_id").alias("first"))
+    dealt = distinct.select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "words", "first", digest)
+    found = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_search, "digest binary, first long, spans array<struct<a:long,b:long>>")
+    places = units.select("doc_id", "tie", "start", "n", digest).join(found, "digest")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    own = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))
+    moved = F.transform(own, lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    return places.select("doc_id", "tie", moved.alias("s")).where("size(s) > 0").groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("s")).alias("starts"))
+
+
+def kept_words(text: bytes, starts: list[dict] | None) -> tuple[int, list[bytes]]:
+    """(number of words, those that no window with a marked start covers)."""
     words = text.split()
     if not starts:
         return len(words), words
-    change = np.zeros(len(words) + WINDOW + 1, np.int64)
-    s = np.unique(starts)
-    change[s] += 1
-    change[s + WINDOW] -= 1
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, [s["a"] for s in starts], 1)
+    np.add.at(change, [s["b"] + WINDOW - 1 for s in starts], -1)
     bare = np.cumsum(change)[: len(words)] == 0
     return len(words), [words[k] for k in np.flatnonzero(bare).tolist()]
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, components, decontaminate, queries, simhash, substrings, toxicity, urls
+from tessera.llm import chat, components, decontaminate, fmindex, queries, simhash, substrings, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, fingerprint string, component_id string, starts string"
@@ -115,24 +115,50 @@ def test_decontamination_stage(spark):
 # ---------------------------------------------------------------- substrings
 
 
-@pytest.mark.parametrize("block", [5, 10, 25, 50])
-def test_index_against_all_windows(block):
-    rng = random.Random(block)
-    base = [np.array([rng.randrange(3) for _ in range(200)], np.uint64) for _ in range(3)]
-    rows = [np.concatenate([b[(a := rng.randrange(150)) : a + rng.randrange(1, 60)] for b in rng.choices(base, k=rng.randint(1, 5))]) for _ in range(50)]
-    ids, first = np.array([rng.randrange(1000) for _ in rows]), {}
+def brute_statistics(rows, ids):
+    """Longest match at each place with a row of a smaller id, by trying all."""
+    out = []
     for x, i in zip(rows, ids, strict=True):
-        for k in range(len(x) - 49):
-            first[tuple(x[k : k + 50])] = min(first.get(tuple(x[k : k + 50]), 9999), i)
-    got = substrings.first_ids(np.concatenate(rows), np.cumsum([len(x) for x in rows]), ids, 50, block)
-    assert [o.tolist() for o in got] == [[first[tuple(x[k : k + 50])] for k in range(len(x) - 49)] for x in rows]
+        others = [y for y, j in zip(rows, ids, strict=True) if j < i]
+        for p in range(len(x)):
+            out.append(max((next((k for k in range(len(x) - p + 1) if x[p : p + k + 1] != y[q : q + k + 1] or p + k >= len(x)), 0) for y in others for q in range(len(y))), default=0))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_matching_statistics(seed):
+    rng = random.Random(seed)
+    kinds = rng.choice((1, 2, 3, 20))
+    rows = [[rng.randrange(kinds) for _ in range(rng.randint(1, 30))] for _ in range(rng.randint(1, 9))]
+    rows += [rng.choice(rows)[rng.randrange(8) :] or [0] for _ in range(4)]
+    ids = np.array([rng.randrange(6) for _ in rows])
+    _, words = np.unique([w for x in rows for w in x], return_inverse=True)
+    index = fmindex.Index(words, np.cumsum([len(x) for x in rows]), ids)
+    assert fmindex.matching_statistics(index).tolist() == brute_statistics(rows, ids)
 
 
 def test_wavelet_ranks():
-    symbols = np.random.default_rng(0).integers(0, 37, 1000)
-    matrix = substrings.WaveletMatrix(symbols, 37)
+    symbols = np.minimum(np.random.default_rng(0).geometric(0.2, 1000), 30)
+    tree = fmindex.WaveletTree(symbols, 37)
     at, what = np.arange(0, 1001, 7), np.arange(0, 1001, 7) % 37
-    assert matrix.rank(what, at).tolist() == [int((symbols[:p] == c).sum()) for c, p in zip(what, at, strict=True)]
+    assert tree.rank(what, at).tolist() == [int((symbols[:p] == c).sum()) for c, p in zip(what, at, strict=True)]
+    packed, bits = sum(len(x[0]) for x in tree.levels), np.bincount(symbols, minlength=37)
+    share = bits[bits > 0] / 1000
+    assert packed * 64 < 1000 * (1.2 - (share * np.log2(share)).sum()) + 64 * len(tree.levels)  # near the entropy
+
+
+def test_words_alike_but_for_their_hash_stay(spark):
+    """Two long words whose polynomial hashes agree whatever the base (Thue and Morse) are different words."""
+    bit = [bin(k).count("1") & 1 for k in range(2048)]
+    a, b = ("".join("ab"[x] for x in bit), "".join("ba"[x] for x in bit))
+    rest = " ".join(f"w{k}" for k in range(49))
+    got = substrings.removed(docs_of(spark, [(1, a + " " + rest), (2, b + " " + rest), (3, a + " " + rest)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (3, 50)]
+
+
+def test_long_periodic_text(spark):
+    rows = [(1, "a b " * 3000), (2, "x " + "b a " * 3000)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.removed(docs_of(spark, rows)).collect()) == [(1, 0), (2, 6000)]
 
 
 def brute_removed(rows):
