@@ -1,9 +1,10 @@
 """Personal data: patterns, and a semi-Markov conditional random field for what the patterns miss.
 
 The field scores whole candidate segments (their digits, shape, separators, checksum and the words before them), and dynamic
-programming over segments of bounded length (assigned secrets and keys: of any length) chooses boundaries and kinds together. It
-runs on the neighbourhoods of digits, '@', a bracketed 'at', a spelled-out 'dot', assigned secrets and key prefixes alone: a
-candidate without one of them has no feature that could make it an entity.
+programming over segments of bounded length (assigned secrets and keys: of any length) chooses boundaries and kinds together.
+Every candidate, which is what has a shape or seven digits, holds a digit, '@', a bracketed 'at' or dot, a spelled-out 'dot', or is
+an assigned secret or a key; so the field runs on their neighbourhoods, as wide as a candidate may be, and finds what it would
+find in the whole text.
 """
 
 from __future__ import annotations
@@ -79,17 +80,18 @@ def base_spans(text: str) -> list[Span]:
 
 #: Bounds of an entity, in tokens and code points; whole matches of _UNBOUNDED shapes are candidates beyond them.
 MOST_TOKENS, MOST_CHARS = 24, 96
-#: Code points around a trigger that the field looks at.
-AROUND = 64
 
-_TRIGGER = re.compile(r"[0-9@]+|\b(?:dot|punkt|punto)\b|[\(\[]\s?at\s?[\)\]]", re.I)
+_TRIGGER = re.compile(r"[\d@]+|\bdot\b|[\(\[]\s?(?:at|dot|\.)\s?[\)\]]", re.I)
 _TOKEN = re.compile(r"[^\W_]+|[^\S\n]+|\n|[^\w\s]|_")
-_RUN = re.compile(r"[^\W_]*+")
+_RUN = re.compile(r"[^\W_]++|[^\S\n]++|")
 _UNBOUNDED = ("assigned", "key_like")
-_AT = r"(?:@|\s?[\(\[]\s?at\s?[\)\]]\s?|\sat\s)"
-_DOT = r"(?:\.|\s?[\(\[]\s?(?:dot|\.)\s?[\)\]]\s?|\sdot\s)"
+_AT = r"(?:@|\s?[\(\[]\s?at\s?[\)\]]\s?)"
+_SAID_DOT = r"(?:\s?[\(\[]\s?(?:dot|\.)\s?[\)\]]\s?|\sdot\s)"
+_DOT = rf"(?:\.|{_SAID_DOT})"
+_NAME = r"[A-Za-z0-9-]+"
 _SHAPES = {
-    "email_like": re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,8}}", re.I),
+    # An 'at' without a mark needs its dots spelled out too: 'look at example.com' is no address.
+    "email_like": re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?:{_AT}{_NAME}(?:{_DOT}{_NAME})*{_DOT}|\sat\s{_NAME}(?:{_SAID_DOT}{_NAME})*{_SAID_DOT})[A-Za-z]{{2,8}}", re.I),
     "ip_like": re.compile(rf"\d{{1,3}}(?:{_DOT}\d{{1,3}}){{3}}", re.I),
     "card_like": re.compile(r"\d{4}(?:([ ./_-]{1,3})\d{4})(?:\1\d{4}){1,2}(?:\1\d{1,3})?|\d{13,19}|\d{4}[ .-]\d{6}[ .-]\d{5}"),
     "phone_like": re.compile(r"(?:(?:\+|00)\d{1,3}[ ./-]?)?(?:\(\d{2,4}\)[ ./-]?|\d{2,4}[ ./-])\d{3,4}[ ./-]\d{4}"),
@@ -109,7 +111,7 @@ _BEFORE = {
 def _facts(text: str, start: int, end: int) -> list[str] | None:
     """The features of a candidate segment, or None if it can't be an entity."""
     span = text[start:end]
-    digits = sum(c.isdigit() for c in span)
+    digits = sum(map(str.isdecimal, span))
     found = [k for k, shape in _SHAPES.items() if shape.fullmatch(span)]
     if not found and digits < 7:
         return None
@@ -263,26 +265,33 @@ def trained(sentences: int = 400, rounds: int = 6, seed: int = 11) -> Weights:
     return weights
 
 
-def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), by kind and then start. Spans that the field finds over a base span are that one's."""
-    base = base_spans(text)
-    islands: list[list[int]] = []
+def islands(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that hold all candidates: MOST_CHARS around each trigger, and whole unbounded shapes. Their edges are
+    edges of the text's tokens."""
     found = [m.span() for m in _TRIGGER.finditer(text)]
     for shape in _UNBOUNDED:
         found += [m.span() for m in _SHAPES[shape].finditer(text)]
+    out: list[list[int]] = []
     for a, b in sorted(found):
-        lo, hi = max(0, a - AROUND), min(len(text), b + AROUND)
-        if islands and lo <= islands[-1][1]:
-            islands[-1][1] = max(hi, islands[-1][1])
+        lo, hi = max(0, a - MOST_CHARS), min(len(text), b + MOST_CHARS)
+        if lo and (run := _RUN.match(text, lo - 1)).end() > lo:  # no candidate begins so far before its trigger
+            lo = run.end()
+        hi = max(hi, _RUN.match(text, hi - 1).end())  # a run of letters and digits, or of blanks, isn't cut
+        if lo >= hi:
+            continue
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
         else:
-            islands.append([lo, hi])
-        if text[islands[-1][1] - 1].isalnum():  # an alphanumeric run isn't cut
-            islands[-1][1] = _RUN.match(text, islands[-1][1]).end()
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
+def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans), by kind and then start. Spans that the field finds over a base span are that one's."""
+    base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
     more, k = [], 0
-    for lo, hi in islands:
-        while lo > 0 and text[lo].isalnum() and text[lo - 1].isalnum() and hi - lo < 4 * MOST_CHARS:
-            lo -= 1
+    for lo, hi in islands(text):
         for kind, s, e in decode(text, lo, hi, weights):
             while k < len(taken) and taken[k][1] <= s:
                 k += 1
@@ -321,7 +330,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the numbers of base spans by kind, their digest, and all spans."""
+    """Per row of documents the numbers of base spans by kind, their digest, and all spans. A null text is empty: no span, and the
+    digest of nothing. Repeated and null ids have a row each; an empty table gives none; other columns are not read."""
     found = spans(table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -345,6 +355,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: texts redacted, n_chars (code points) following them where there is such a column."""
+    """The pipeline's stage: every row with its text redacted, and n_chars (code points) following it where there is such a
+    column. Null texts stay null; repeated rows stay; all other columns, whatever their names, are as they were."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
