@@ -22,6 +22,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share of the words that content lines must hold.
 LEAST_CONTENT = 0.5
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile("[#*$%&|<>]")
 _LEGAL = re.compile(r"rights reserved|copyright|©|licen[sc]ed? |cookie|privacy|terms of|subscribe|sign (?:in|up)|log ?in|click here|read more|https?://", re.I)
 
@@ -190,7 +191,7 @@ def sequence_facts(lines: list[str]) -> tuple[list[list[str]], list[int]]:
     seen: set[str] = set()
     facts, sizes = [], []
     for line in lines:
-        if words := line.split():
+        if words := _WORDS.findall(line):
             facts.append(line_facts(line, words, line in seen))
             sizes.append(len(words))
             seen.add(line)
@@ -236,5 +237,6 @@ def assessed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the counts, base_failed and the verdict kept."""
+    """Per row of documents the counts, base_failed and the verdict kept. A null text has no words, has failed and isn't kept;
+    repeated and null ids have a row each; an empty table gives none; other columns are not read."""
     return assessed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
