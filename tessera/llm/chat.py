@@ -32,8 +32,10 @@ def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     Null roles and texts are empty; a null conv_id is a conversation of its own; turns go by turn (null first), and of equal
     turns by role and text; repeated rows are turns each. The mask's runs cover the formatted text, none of them empty; the
     texts of loss_role, and nothing of the template, are under the loss."""
-    rows = turns.select("conv_id", "turn", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    kept_apart = F.transform("turns", lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text")))
+    talks = talks.select("conv_id", kept_apart.alias("turns"))
     n = F.size("turns")
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("turns", k)["role"] != F.get("turns", k - 1)["role"]))
     begun = talks.select("conv_id", "turns", starts.alias("starts"))
@@ -80,6 +82,8 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and conversation -1, what is read back from its formatted text. Null roles and texts are empty; a null
+    conv_id is a conversation; ties go as in formatted(); without rows -1 alone is left."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
