@@ -138,11 +138,31 @@ def read_docs(file) -> Iterator[tuple[int | None, list[bytes]]]:
 # ---------------------------------------------------------------- encoding
 
 #: Texts of these characters alone are plain: composing them changes nothing and lowering them keeps their number.
+#: They hold for vocabularies whose JSON says so; of others the whole tokenizer takes every text.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 #: The tokenizer's pre-tokens in lowered plain text.
 _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
+#: Fixed values of the tokenizer's JSON that the two patterns above follow.
+_FOLLOWED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_FOLLOWED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+
+
+def follows(model: dict) -> bool:
+    """Whether a tokenizer's JSON cuts texts as _PLAIN and _PRE_TOKENS say, and marks the ends of words."""
+    return all(model.get(k) == v for k, v in _FOLLOWED.items()) and all(model["model"].get(k) == v for k, v in _FOLLOWED_MODEL.items())
+
+
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in vocabularies of byte-level BPE."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -155,8 +175,9 @@ class WordEncoder:
 
     The tokenizer drops white space and encodes pre-tokens apart, so a plain text's ids are those of its pre-tokens one after
     another. New ones go to the library's model together, in its byte letters; each one's ids end in a vocabulary entry with the
-    end-of-word mark, which tells them apart. Words with other characters go to the whole tokenizer. Of the known ones the
-    newest MOST_WORDS, and those used since as many came in, are kept."""
+    end-of-word mark, which tells them apart. Words with other characters go to the whole tokenizer, and so do whole texts with a
+    string of an added token, and all texts if the vocabulary's JSON isn't as follows() wants it. Of the known pre-tokens the newest
+    MOST_WORDS, and those used since as many came in, are kept."""
 
     _held: tuple = (None, None)
 
@@ -165,8 +186,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
-        parts = json.loads(model) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        parts = json.loads(model)
+        self.apart = follows(parts)
+        added = [re.escape(t["content"]) for t in parts.get("added_tokens") or []]
+        self.added = re.compile("|".join(added), re.I) if added else None
+        if not self.apart:
+            return
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.merger = Tokenizer.from_str(json.dumps(parts))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -202,6 +228,8 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         s = text.decode()
+        if not self.apart or (self.added and self.added.search(s)):
+            return self._whole(s)
         if not _PLAIN.fullmatch(s):
             return b"".join([self.encode(w) if _PLAIN.fullmatch(w.decode()) else self._whole(w.decode()) for w in text.split()])
         tokens = _PRE_TOKENS.findall(s.lower())
@@ -280,6 +308,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of documents, read back from the files, where its ids start, how many there are, and their checksum. A null text
+    has the end id alone; repeated and null ids have a row each; an empty table gives none and no file."""
     import public_tokenizers
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
