@@ -33,9 +33,18 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+_FITTING = "array<struct<size:int,path:string,rule:string,verdict:string>>"
+
+
 def _rules_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, rules array<struct<size, path, rule, verdict>>) of the hosts that a rule's host or a subdomain of it is."""
-    ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda k: F.array_join(F.slice(F.split("host", r"\."), k, 1000), "."))).alias("suffix"))
+    labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) + 1
+    depths = sorted(r[0] for r in rules.select(labels(F.col("host"))).distinct().collect())  # numbers of labels
+    if not depths:
+        return hosts.where("false").select("host", F.lit(None).cast(_FITTING).alias("rules"))
+    # Of a host's suffixes only those as long as some rule's host are made, however many labels it has.
+    suffixes = F.array_compact(F.array(*(F.when(labels(F.col("host")) >= k, F.substring_index("host", ".", -k)) for k in depths)))
+    ends = hosts.select("host", F.explode(suffixes).alias("suffix"))
     named = rules.select(F.col("host").alias("suffix"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.col("path"), F.concat("host", "path").alias("rule"), F.col("verdict")).alias("r"))
     return ends.join(named, "suffix").groupBy("host").agg(F.collect_list("r").alias("rules"))
 
@@ -58,7 +67,7 @@ def joined_by_host(pages: DataFrame, hosts: DataFrame, common: DataFrame) -> Dat
 def judged_by_rules(pages: DataFrame, rules: DataFrame, common: DataFrame) -> DataFrame:
     """pages (with host, path) with rule and its verdict, null where none fits; of those that fit, the longest."""
     known = _rules_of(pages.select("host").distinct(), rules)
-    best = F.array_max(F.filter(F.coalesce("rules", F.array().cast("array<struct<size:int,path:string,rule:string,verdict:string>>")), lambda r: F.startswith(F.col("path"), r["path"])))
+    best = F.array_max(F.filter(F.coalesce("rules", F.array().cast(_FITTING)), lambda r: F.startswith(F.col("path"), r["path"])))
     return joined_by_host(pages, known, common).withColumn("best", best).select(*pages.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
 
 
@@ -131,6 +140,8 @@ def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row of pages its host, path, rule and verdict, with the host's trust and distrust after ROUNDS rounds. Null urls have
+    an empty host and path and are allowed; repeated and null ids have a row each; an empty table gives none."""
     out = judged(table(spark, sf_dir, "pages"), rules_table(spark), ROUNDS)  # its SQL fixes the rounds
     return out.withColumns({k: F.round(k, 9) for k in ("trust", "distrust")})
 
