@@ -43,7 +43,7 @@ def test_chat_round_trip(spark):
     rng = random.Random(4)
     parts = ["</s>", "[INST]", "[/INST]", "<s>", "<sep>", "\\", "<", "[", "/", "INST", "s>", "é", "\n", " ", "$1"]
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", "a[INST]b"]), "".join(rng.choices(parts, k=rng.randint(0, 9)))) for c in range(60) for t in range(rng.randint(1, 9))]
-    rows += [(100, 1, None, None), (100, 0, "assistant", None), (None, 1, "user", "x"), (101, None, "user", "first"), (101, 5, "user", "last"), (102, 1, "user", "tie b"), (102, 1, "user", "tie a"), (102, 1, "user", "tie a"), (103, 0, "assistant", "z" * 100_000)]
+    rows += [(100, 1, None, None), (100, 0, "assistant", None), (None, 1, "user", "x"), (101, None, "user", "first"), (101, 5, "user", "last"), (102, 1, "user", "tie b"), (104, 2, "user", "<s>"), (104, 2, "user", "<a>"), (104, 2, "user", "[INST]"), (104, 2, "user", "[A"), (104, 2, "a</s>", "x"), (104, 2, "a<z", "x"), (102, 1, "user", "tie a"), (102, 1, "user", "tie a"), (103, 0, "assistant", "z" * 100_000)]
     shuffled = rng.sample(rows, len(rows))
     back = {r["conv_id"]: r for r in chat.read_back(chat.formatted(spark.createDataFrame(shuffled, TURNS))).collect()}
     for c in {r[0] for r in rows}:
@@ -341,6 +341,14 @@ def test_url_parts_and_rules(spark):
     assert got[0]["verdict"] == "allow" and got[1]["verdict"] == "block" and got[3]["verdict"] == "allow"
 
 
+def test_hosts_of_many_labels(spark):
+    """A host with 50,000 labels takes no more room than its rules need."""
+    long = "a." * 50_000
+    rows = [(1, f"http://{long}example.com/en/7", "", None, None), (2, f"http://{long}net/de/1", "", None, None), (3, f"http://{long}/en/1", "", None, None), (4, "http://com/en/", "", None, None)]
+    got = {r["page_id"]: r["rule"] for r in urls.judged_by_rules(spark.createDataFrame(rows, PAGES).select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path")), urls.rules_table(spark), spark.createDataFrame([], "host string, common boolean")).collect()}
+    assert got == {1: "example.com/en/7", 2: "net/de/", 3: None, 4: "com/en/"}
+
+
 def test_distrust_flows_to_linking_hosts(spark):
     page = lambda k, h, to: (k, f"http://{h}/x", "".join(f'<a href="https://{t}/">' for t in to), None, None)
     rows = [page(1, "farm.test", ["bad.com"]), page(2, "good.test", ["fine.test"]), page(3, "fine.test", []), (4, "http://bad.com/en/1", "", None, None), page(5, "far.test", ["farm.test"])]

@@ -75,6 +75,22 @@ def test_field_decodes_the_best_segmentation():
     assert sum(pii._score(weights, k, next(f for i, f in ending[j] if i == s)) for (s, j), k in found.items()) == pytest.approx(best(len(edges) - 1))
 
 
+_PIECES = ["john", "a1", "12", "555", "4111", "1234567", "@", ".", "-", " ", "  ", "\n", " at ", " dot ", "[at]", "(at)", "[.]", "[dot]", "example", "com", "token=", "password: ", "ghp_abcdefghijklmnop", "x" * 30, "z " * 40, "=" * 50, "٣", "²", "é", '"', "_"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=40))
+def test_field_sees_the_whole_text(pieces):
+    """What the field finds in the neighbourhoods of its triggers is what it finds in the text as a whole."""
+    text, weights = "".join(pieces), pii.trained()
+    parts = [s for lo, hi in pii.islands(text) for s in pii.decode(text, lo, hi, weights)]
+    assert parts == pii.decode(text, 0, len(text), weights)
+
+
+def test_an_at_in_prose_is_no_address():
+    assert pii.find("look at example.com or meet at noon.com", pii.trained())[1] == []
+
+
 def test_field_on_held_out_sentences():
     rng, weights, right, said, real = random.Random(99), pii.trained(), 0, 0, 0
     for _ in range(200):
@@ -102,6 +118,26 @@ def test_op1(spark, tmp_path):
             assert r["n_phone"] == sum(k == "phone" for k, _, _ in base)
 
 
+def test_op1_and_op3_of_an_empty_table(spark, tmp_path):
+    odd_docs(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pii.op1_pii(spark, str(tmp_path)).count() == quality.op3_quality(spark, str(tmp_path)).count() == 0
+    assert bpe.stage(spark, odd_docs(spark).limit(0), str(tmp_path)).columns == ["doc_id", "n_tokens", "ids"]
+    assert bpe.stage(spark, odd_docs(spark).limit(0), str(tmp_path)).count() == 0 and pii.stage(spark, odd_docs(spark).limit(0), "").count() == 0
+
+
+def test_op1_returns_the_spans_of_the_whole_text(spark, tmp_path):
+    """The query's spans against the field over each whole text, without neighbourhoods."""
+    rng, weights = random.Random(7), pii.trained()
+    rows = [(k, " ".join(pii._synthetic(rng)[0] for _ in range(rng.randint(1, 4)))) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    for k, text in rows:
+        base = brute_spans(text)
+        more = [x for x in pii.decode(text, 0, len(text), weights) if not any(x[1] < e and s < x[2] for _, s, e in base)]
+        want = sorted({*base, *more}, key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2]))
+        assert got[k] == ",".join(f"{a}:{b}:{c}" for a, b, c in want)
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -189,6 +225,11 @@ def test_op3_agrees_with_labels(spark):
     assert (got.kept == (got.quality == 1)).mean() > 0.97
 
 
+def test_lines_count_the_words_that_n_words_counts():
+    text = "one\x1ctwo three\u2003four\nfive"
+    assert sum(quality.sequence_facts(text.split("\n"))[1]) == quality.counts(text)[0] == 3
+
+
 def test_op3_odd_rows(spark, tmp_path):
     odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     rows = quality.op3_quality(spark, str(tmp_path)).collect()
@@ -209,7 +250,6 @@ def words():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     return tokenfile.WordEncoder(open(path, encoding="utf-8").read()), whole, open(path, encoding="utf-8").read()
 
 
@@ -219,6 +259,23 @@ def test_word_encoder(words, text):
     assert words[0].encode(text.encode()) == np.array(words[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", ["a <|startoftext|> b", "<|endoftext|>", "x<|endoftext|>y é", "<|ENDOFTEXT|> a", "<|endoftext|><|startoftext|>"])
+def test_added_tokens_are_the_library_s(words, text):
+    assert words[0].encode(text.encode()) == np.array(words[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_other_vocabularies_are_the_library_s(words):
+    import json
+
+    from tokenizers import Tokenizer
+
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "WhitespaceSplit"}}):
+        model = json.dumps(json.loads(words[2]) | change)
+        whole, ours = Tokenizer.from_str(model), tokenfile.WordEncoder(model)
+        for text in ("A Word's b1", "x,y\u2028z  É", ""):
+            assert ours.encode(text.encode()) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_word_encoder_forgets(words, monkeypatch):
     monkeypatch.setattr(tokenfile, "MOST_WORDS", 5)
     encoder, rng = tokenfile.WordEncoder(words[2]), random.Random(2)
