@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, half_even, horner
-from tessera.operators.quantiles import exact_percentiles
+from tessera.operators.quantiles import by_passes, exact_percentiles, grouped_percentiles
 
 # ---------------------------------------------------------------- spread over the scene
 
@@ -42,10 +43,14 @@ def active_cells(valid_pixels: DataFrame, rows: int, cols: int, height: int, wid
 # ---------------------------------------------------------------- robust filters
 
 
-def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), passes: bool = False) -> DataFrame:
-    """med_* of each column. passes: over a whole table too large for one aggregate's state, by passes of binned counts."""
-    if passes and not by:
-        return df.sparkSession.range(1).select(*(F.lit(exact_percentiles(df, c, (0.5,))[0]).cast("double").alias(f"med_{c}") for c in columns))
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
+    """med_* of each column. passes: by passes of binned counts, for groups too large for one aggregate's state; unless told, large
+    tables go that way."""
+    if by_passes(df, passes):
+        if not by:
+            return df.sparkSession.range(1).select(*(F.lit(exact_percentiles(df, c, (0.5,))[0]).cast("double").alias(f"med_{c}") for c in columns))
+        each = [grouped_percentiles(df, c, (0.5,), by).withColumnRenamed("q0", f"med_{c}") for c in columns]
+        return reduce(lambda a, b: a.join(b, list(by)), each)
     return df.groupBy(*by).agg(*(F.median(c).alias(f"med_{c}") for c in columns))
 
 
@@ -54,7 +59,7 @@ def _beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
 
 
-def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = (), passes: bool = False) -> DataFrame:
+def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """Rows within max(factor * MAD, floor) of the median on all columns; passes as for medians()."""
     held = _beside(df, medians(df, columns, by, passes), by)
     away = held.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns})
@@ -83,14 +88,15 @@ def drift_filter(df: DataFrame, slope: tuple[float, float], intercept: tuple[flo
     return _beside(flagged, enough, ()).where("near or not enough").select(*df.columns)
 
 
-def stratified_consensus(df: DataFrame, y: str, err: str, tiebreak: Sequence[str], bins: int = 6, floor: float = 0.80, ceiling: float = 1.80, least: int = 6, most: int = 25) -> DataFrame:
+def stratified_consensus(df: DataFrame, y: str, err: str, tiebreak: Sequence[str], bins: int = 6, floor: float = 0.80, ceiling: float = 1.80, least: int = 6, most: int = 25, passes: bool | None = None) -> DataFrame:
     """Along y in equal-width bins, the rows with the smallest err: those within a cutoff of median and MAD, at least least and
     at most most in each bin. bin and rank_in_bin are added."""
     span = df.agg(F.min(y).alias("y0"), F.max(y).alias("y1"))
     held = _beside(df, span, ()).withColumn("bin", F.coalesce(clamp(F.floor(F.try_divide(F.col(y) - F.col("y0"), (F.col("y1") - F.col("y0")) / bins)), 0, bins - 1), F.lit(0)).cast("int"))
-    med = held.groupBy("bin").agg(F.median(err).alias("med"))
-    away = held.join(F.broadcast(med), "bin")  # a row for each bin
-    mad = away.groupBy("bin").agg(F.median(F.abs(F.col(err) - F.col("med"))).alias("mad"))
+    many = by_passes(df, passes)
+    med = medians(held, [err], ["bin"], many).withColumnRenamed(f"med_{err}", "med")
+    away = held.join(F.broadcast(med), "bin").withColumn("__dev", F.abs(F.col(err) - F.col("med")))  # a row for each bin
+    mad = medians(away, ["__dev"], ["bin"], many).withColumnRenamed("med___dev", "mad")
     ranked = away.join(F.broadcast(mad), "bin").withColumn("rank_in_bin", F.row_number().over(Window.partitionBy("bin").orderBy(err, *tiebreak)))
     cut = clamp(F.col("med") + 1.5 * 1.4826 * F.col("mad"), floor, ceiling)
     return ranked.where(((F.col(err) <= cut) | (F.col("rank_in_bin") <= least)) & (F.col("rank_in_bin") <= most)).select(*df.columns, "bin", "rank_in_bin")
@@ -102,24 +108,43 @@ def spike_filter(df: DataFrame, err: str, most: float = 1.15, least: int = 15, a
     return kept if kept.count() >= least else df.orderBy(err, *tiebreak).limit(again)
 
 
+#: Rows of a bucket that uniform_subsample() aims at, and its most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 4096
+
+
 def uniform_subsample(df: DataFrame, order: Sequence[str], most: int = 800) -> DataFrame:
-    """Rows floor(i * N / most) for i < most in the given order; all rows if there are no more.
+    """Rows floor(i * N / most) for i < most in the given order; all rows if there are no more. Rows that the order doesn't tell
+    apart go by a hash of all they hold.
 
-    Ranks come from range partitions: each partition's size gives its first rank, so no task sorts all rows."""
+    A row's bucket is what its keys say between fixed bounds, found by binary search, and its rank is its bucket's first rank, from
+    counts, plus its place in the bucket: neither depends on how the rows are partitioned. The bounds come from a small sample and
+    only need to be about even."""
     n = df.count()
     if n <= most:
         return df
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    within = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1)
-    sizes = sorted((r[0], r[1]) for r in within.groupBy("__p").count().collect())  # a row for each partition
+    hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    ranked = df.withColumn("__tie", F.xxhash64(*hashable))
+    keys = [*order, "__tie"]
+    levels = min(MOST_BUCKETS, -(-n // BUCKET_ROWS)).bit_length() - 1 if n > BUCKET_ROWS else 0
+    buckets = 1 << levels
+    bucket = F.lit(0)
+    if levels:
+        rows = sorted((r["k"] for r in ranked.select(F.struct(*keys).alias("k")).sample(min(1.0, 30.0 * buckets / n), seed=1).collect()), key=lambda r: [(x is not None, x) for x in r])
+        if len(rows) >= buckets:
+            kind = ranked.select(F.struct(*keys).alias("k")).dtypes[0][1]
+            bounds = F.array(*(F.struct(*(F.lit(v) for v in rows[len(rows) * k // buckets])).cast(kind) for k in range(1, buckets)))
+            bucket = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(levels)))), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.struct(*keys), at + step).otherwise(at))
+    held = ranked.withColumn("__b", bucket)
     first, starts = 0, []
-    for p, size in sizes:
-        starts.append((p, first))
+    for b, size in sorted((r[0], r[1]) for r in held.groupBy("__b").count().collect()):  # a row for each bucket
+        starts.append((b, first))
         first += size
-    at = F.create_map(*(F.lit(v) for pair in starts for v in pair))[F.col("__p")] + F.col("__k")
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(*keys)) - 1
+    at = F.create_map(*(F.lit(v) for pair in starts for v in pair))[F.col("__b")] + place
+    ranks = held.withColumn("__r", at.cast("long"))
     # Rank r is taken if r = floor(i n / most) for an i; the only i that can be is ceil(r most / n).
-    i = F.ceil(at * F.lit(most) / F.lit(n))
-    return within.where((i < most) & (F.floor(i * F.lit(n) / F.lit(most)) == at)).select(*df.columns)
+    i = F.ceil(F.col("__r") * F.lit(most) / F.lit(n))
+    return ranks.where((i < most) & (F.floor(i * F.lit(n) / F.lit(most)) == F.col("__r"))).select(*df.columns)
 
 
 def border_reject(df: DataFrame, half: int, source: tuple[int, int], reference: tuple[int, int]) -> DataFrame:
@@ -143,30 +168,46 @@ def ecc_threshold(source: Column, reference: Column) -> Column:
 # ---------------------------------------------------------------- tiles
 
 
+def axis_tiles(n: int, size: int, step: int, least: int = 200) -> list[tuple[int, int, int, int, int]]:
+    """(index, start, end, core's start, core's end) of an axis's overlapping tiles. Tiles smaller than least are left out; if none is
+    left the whole axis is one. Where the last two cores would overlap, the later one begins where the earlier ends."""
+    margin = max(0, (size - step) // 2)
+    starts = [s for s in range(0, n, step) if min(s + size, n) - s >= least] or [0]
+    out, last = [], 0
+    for s in starts:
+        e = min(s + size, n)
+        c0, c1 = (0 if s == 0 else s + margin), (n if e >= n or s == starts[-1] else e - margin)
+        c0 = max(c0, last)
+        last = max(last, c1)
+        out.append((len(out), s, e, c0, c1))
+    return out
+
+
 def tile_grid(spark: SparkSession, height: int, width: int, size: int, step: int, least: int = 200) -> DataFrame:
-    """Overlapping tiles with exclusive cores, from sequences of starts. Tiles smaller than least on an axis are left out; if
-    none is left the whole image is the tile. Where the last two cores of an axis would overlap, the later one begins where the
-    earlier ends."""
-
-    def axis(n: int) -> list[tuple[int, int, int, int, int]]:
-        margin = max(0, (size - step) // 2)
-        starts = [s for s in range(0, n, step) if min(s + size, n) - s >= least] or [0]
-        out, last = [], 0
-        for s in starts:
-            e = min(s + size, n)
-            c0, c1 = (0 if s == 0 else s + margin), (n if e >= n or s == starts[-1] else e - margin)
-            c0 = max(c0, last)
-            last = max(last, c1)
-            out.append((len(out), s, e, c0, c1))
-        return out
-
-    ys, xs = axis(height), axis(width)
+    """Overlapping tiles with exclusive cores: the tiles of both axes."""
+    ys, xs = axis_tiles(height, size, step, least), axis_tiles(width, size, step, least)
     cols = ("i", "0", "1", "core0", "core1")
     frame = lambda rows, a: spark.createDataFrame(rows, ", ".join(f"{a}{c} int" for c in cols))
-    tiles = frame(ys, "y").crossJoin(F.broadcast(frame(xs, "x")))
+    tiles = frame(ys, "y").crossJoin(F.broadcast(frame(xs, "x")))  # one axis's tiles
     return tiles.withColumn("tile_id", F.col("yi") * len(xs) + F.col("xi")).drop("yi", "xi")
 
 
+def in_core(points: DataFrame, size: int, step: int, height: int, width: int, least: int = 200) -> DataFrame:
+    """points (sx, sy), each with the one tile of tile_grid() (tile_id) whose core holds it; those that none holds are left out.
+    An axis's tile is guessed by arithmetic and is that one or one beside it, so nothing is joined."""
+
+    def tile(v: str, n: int) -> tuple[Column, int]:
+        tiles, margin = axis_tiles(n, size, step, least), max(0, (size - step) // 2)
+        low, high = (F.array(*(F.lit(float(t[k])) for t in tiles)) for k in (3, 4))
+        guess = F.floor((F.col(v) - margin) / F.lit(float(step))).cast("int")
+        guess = clamp(guess, 0, len(tiles) - 1).cast("int")
+        held = F.filter(F.array(guess - 1, guess, guess + 1), lambda k: (k >= 0) & (F.get(low, k) <= F.col(v)) & (F.col(v) < F.get(high, k)))
+        return F.get(held, 0), len(tiles)
+
+    (ty, _), (tx, across) = tile("sy", height), tile("sx", width)
+    return points.withColumn("tile_id", ty * across + tx).where("tile_id is not null")
+
+
 def fixed_grid(spark: SparkSession, height: int, width: int, rows: int, cols: int) -> DataFrame:
     """rows x cols tiles; the last of a row or column takes what is left."""
     cells = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
@@ -212,9 +253,14 @@ def padding(confidence: Column, drift: Column, height: Column, base: int = 200)
 # ---------------------------------------------------------------- drift
 
 
-def drift_regression(df: DataFrame, row: str = "sy", by: Sequence[str] = ()) -> DataFrame:
-    """Slope and intercept of the offsets (dx, dy) on a row, with the number of points, means and medians."""
+def drift_regression(df: DataFrame, row: str = "sy", by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
+    """Slope and intercept of the offsets (dx, dy) on a row, with the number of points, means and medians (as medians() finds them)."""
     dx, dy = F.col("rx") - F.col("sx"), F.col("ry") - F.col("sy")
+    if by_passes(df, passes):
+        held = df.withColumns({"dx": dx, "dy": dy})
+        med = medians(held, ["dx", "dy"], by, True).withColumnsRenamed({"med_dx": "dx_median", "med_dy": "dy_median"})
+        lines = held.groupBy(*by).agg(F.count("*").alias("n"), *(f(c, row).alias(f"{c}_{n}") for c in ("dx", "dy") for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))))
+        return _beside(lines, med, by)
     return df.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.regr_slope(dx, F.col(row)).alias("dx_slope"), F.regr_intercept(dx, F.col(row)).alias("dx_intercept"),
@@ -240,12 +286,13 @@ def strip_samples(spark: SparkSession, height: int, strips: int = 10, patch: int
 
 
 def arbitrate(strips: DataFrame, agreement: float = 30.0, dominance: float = 2.0, least_votes: int = 4, forced: bool = False) -> DataFrame:
-    """Per strip which of two offsets counts: votes (vdx, vdy, votes) or Fourier (fdx, fdy, response)."""
+    """Per strip which of two offsets counts: votes (vdx, vdy, votes) where they are forced, agree with the other or are many;
+    else Fourier (fdx, fdy, response)."""
     apart = F.hypot(F.col("vdx") - F.col("fdx"), F.col("vdy") - F.col("fdy"))
     enough = F.col("votes") >= least_votes
     method = F.when(F.lit(forced) & enough, "votes").when(enough & (apart <= agreement), "agreed").when(F.col("votes") >= dominance * least_votes, "votes_dominant").otherwise("fourier")
     out = strips.withColumn("method_used", method)
-    fourier = F.col("method_used").isin("fourier", "agreed")
+    fourier = F.col("method_used") == "fourier"
     return out.withColumns({"dx": F.when(fourier, F.col("fdx")).otherwise(F.col("vdx")), "dy": F.when(fourier, F.col("fdy")).otherwise(F.col("vdy"))})
 
 
@@ -295,17 +342,23 @@ def layer_rmse(df: DataFrame, dx: Column, dy: Column) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def residual_stats(df: DataFrame, clip: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
+def residual_stats(df: DataFrame, clip: float = 3.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """Of residuals (dx, dy): medians, MADs, inliers within clip of the median, and RMSE, mean and maximum of the distance over
     inliers (all points where there are none)."""
-    held = _beside(df, medians(df, ("dx", "dy"), by), by).withColumn("dist", F.hypot("dx", "dy"))
+    many = by_passes(df, passes)
+    held = _beside(df, medians(df, ("dx", "dy"), by, many), by).withColumn("dist", F.hypot("dx", "dy"))
     inlier = F.hypot(F.col("dx") - F.col("med_dx"), F.col("dy") - F.col("med_dy")) <= clip
     held = held.withColumn("inlier", inlier)
     pick = lambda f, x: F.coalesce(f(F.when(F.col("inlier"), x)), f(x))
+    mads = {"mad_dx": F.abs(F.col("dx") - F.col("med_dx")), "mad_dy": F.abs(F.col("dy") - F.col("med_dy"))}
+    if many:
+        away = medians(held.withColumns(mads), list(mads), by, True).withColumnsRenamed({f"med_{c}": c for c in mads})
+        held, mad = _beside(held, away, by), [F.first(c).alias(c) for c in mads]
+    else:
+        mad = [F.median(x).alias(c) for c, x in mads.items()]
     return held.groupBy(*by).agg(
         F.count("*").alias("total_count"), F.count_if("inlier").alias("inlier_count"),
-        F.first("med_dx").alias("median_dx"), F.first("med_dy").alias("median_dy"),
-        F.median(F.abs(F.col("dx") - F.col("med_dx"))).alias("mad_dx"), F.median(F.abs(F.col("dy") - F.col("med_dy"))).alias("mad_dy"),
+        F.first("med_dx").alias("median_dx"), F.first("med_dy").alias("median_dy"), *mad,
         F.sqrt(pick(F.avg, F.col("dist") * F.col("dist"))).alias("rmse"), pick(F.avg, F.col("dist")).alias("mean_err"), pick(F.max, F.col("dist")).alias("max_err"),
     )
 
@@ -352,9 +405,9 @@ def override_counts(stats: DataFrame, model: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- votes
 
 
-def radius_votes(source: DataFrame, reference: DataFrame, most_offset: float, bin_size: float = 4.0, tolerance: float = 0.25) -> DataFrame:
+def radius_votes(source: DataFrame, reference: DataFrame, most_offset: float, bin_size: float = 4.0, tolerance: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
     """Votes for offsets (bx, by, votes) by pairs of circles (cx, cy, r) whose radii differ by up to tolerance of the larger and
-    that lie less than most_offset apart on both axes.
+    that lie less than most_offset apart on both axes; by: keys that both circles of a pair share.
 
     Both sides are keyed by the radius's logarithmic bucket and by a grid cell most_offset wide; one side also visits the
     neighbouring buckets and cells, which hold every circle that can pair. So the pairs come from an equi-join, not from a
@@ -362,24 +415,25 @@ def radius_votes(source: DataFrame, reference: DataFrame, most_offset: float, bi
     to at least 1."""
     width = -np.log(1 - tolerance)
     bucket = lambda r: F.floor(F.log(F.greatest(r, F.lit(1.0 - tolerance))) / F.lit(float(width))).cast("int")
-    s = source.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").cast("double").alias("ar"))
-    t = reference.select(F.col("cx").alias("bx0"), F.col("cy").alias("by0"), F.col("r").cast("double").alias("br"))
+    s = source.select(*by, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").cast("double").alias("ar"))
+    t = reference.select(*by, F.col("cx").alias("bx0"), F.col("cy").alias("by0"), F.col("r").cast("double").alias("br"))
     grid = lambda v: F.floor(v / F.lit(float(most_offset)))
     near = F.array(*(F.struct((bucket(F.col("ar")) + d).alias("k"), (grid(F.col("ax")) + i).alias("gx"), (grid(F.col("ay")) + j).alias("gy")) for d in (-1, 0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    s = s.select("ax", "ay", "ar", F.inline(near))
+    s = s.select(*by, "ax", "ay", "ar", F.inline(near))
     t = t.withColumns({"k": bucket(F.col("br")), "gx": grid(F.col("bx0")), "gy": grid(F.col("by0"))})
     dx, dy = F.col("bx0") - F.col("ax"), F.col("by0") - F.col("ay")
-    pairs = s.join(t, ["k", "gx", "gy"]).where((F.abs(F.col("ar") - F.col("br")) <= tolerance * F.greatest("ar", "br", F.lit(1.0))) & (F.abs(dx) < most_offset) & (F.abs(dy) < most_offset))
+    pairs = s.join(t, [*by, "k", "gx", "gy"]).where((F.abs(F.col("ar") - F.col("br")) <= tolerance * F.greatest("ar", "br", F.lit(1.0))) & (F.abs(dx) < most_offset) & (F.abs(dy) < most_offset))
     n = int(2 * most_offset / bin_size)
     place = lambda d: F.least(F.floor((d + most_offset) / bin_size), F.lit(n - 1)).cast("int")
-    return pairs.groupBy(place(dx).alias("bx"), place(dy).alias("by")).agg(F.count("*").alias("votes"))
+    return pairs.groupBy(*by, place(dx).alias("bx"), place(dy).alias("by")).agg(F.count("*").alias("votes"))
 
 
-def vote_peak(votes: DataFrame, most_offset: float, bin_size: float = 4.0) -> DataFrame:
-    """The middle of the fullest bin; of equal ones the first by row, then column."""
-    best = votes.orderBy(F.desc("votes"), "by", "bx").limit(1)
+def vote_peak(votes: DataFrame, most_offset: float, bin_size: float = 4.0, by: Sequence[str] = ()) -> DataFrame:
+    """The middle of the fullest bin (of each by); of equal ones the first by row, then column."""
+    order = F.struct(F.col("votes"), (-F.col("by")).alias("by"), (-F.col("bx")).alias("bx"))
+    best = votes.groupBy(*by).agg(F.max(order).alias("b")).where("b is not null").select(*by, F.col("b.votes").alias("votes"), (-F.col("b.by")).alias("by"), (-F.col("b.bx")).alias("bx"))
     middle = lambda k: -most_offset + F.col(k) * bin_size + bin_size / 2.0
-    return best.select(middle("bx").alias("dx"), middle("by").alias("dy"), "votes")
+    return best.select(*by, middle("bx").alias("dx"), middle("by").alias("dy"), "votes")
 
 
 def match_groups(df: DataFrame, size: int = 1200, margin: int = 250) -> DataFrame:

@@ -4,9 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
+#: Rows up to which Spark's exact aggregate, whose state is a group's different values, is used.
+MOST_HELD = 20_000_000
+
+
+def by_passes(df: DataFrame, passes: bool | None) -> bool:
+    """Whether percentiles of df are to be found by passes of counts: as told, or from MOST_HELD rows on. Both ways are exact."""
+    return df.count() > MOST_HELD if passes is None else passes
+
+
+def grouped_percentiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str], bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """(by, q0, q1, ...): each group's linearly interpolated percentiles of non-null values; nulls are a key as others.
+
+    For each group and rank, counts by equal-width bin locate the rank's bin, whose bounds are the next pass's, until no bin holds
+    over most values or all its values are equal. A pass is one aggregation with map-side combining (a row for each group, rank and
+    bin); the last one counts the bins' different values. Values of a group never meet in one state, however large it is."""
+    keys = [f"__by{i}" for i in range(len(by))]
+    v = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    spans = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    at = lambda s: F.lit(float(s)) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at(s)), F.ceil(at(s))) for s in shares))))
+    wanted = spans.select(*keys, F.explode(ranks).alias("rank"), "a", "b", F.lit(0).cast("long").alias("before"), F.col("n").alias("size"))
+    wanted = written(wanted, "ranks")
+
+    def inside() -> DataFrame:
+        w = wanted.select(*(F.col(k).alias(f"w{k}") for k in keys), "rank", "a", "b", "before")
+        met = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"w{k}")) for k in keys), F.lit(True))
+        return v.join(w, met & (F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).drop(*(f"w{k}" for k in keys))
+
+    for _ in range(64):
+        if wanted.where((F.col("size") > most) & (F.col("a") < F.col("b"))).isEmpty():
+            break
+        k = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("v") - F.col("a"), (F.col("b") - F.col("a")) / bins)))
+        counts = inside().groupBy(*keys, "rank", "before", F.coalesce(k, F.lit(0)).alias("k")).agg(F.count("*").alias("size"), F.min("v").alias("a"), F.max("v").alias("b"))
+        up_to = F.sum("size").over(Window.partitionBy(*keys, "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = counts.withColumn("upto", up_to + F.col("before"))
+        hit = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("size") <= F.col("rank"))
+        wanted = written(placed.where(hit).select(*keys, "rank", "a", "b", (F.col("upto") - F.col("size")).alias("before"), "size"), "ranks")
+    values = inside().groupBy(*keys, "rank", "before", "v").agg(F.count("*").alias("size"))
+    up_to = F.sum("size").over(Window.partitionBy(*keys, "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+    found = values.withColumn("upto", up_to).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("size") <= F.col("rank")))
+    held = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("m"))  # two ranks for each share
+    sizes = spans.select(*(F.col(k).alias(f"s{k}") for k in keys), "n")
+    joined = held.join(sizes, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys), F.lit(True)))
+    low, high = (lambda s: F.col("m")[F.floor(at(s))]), (lambda s: F.col("m")[F.ceil(at(s))])
+    out = [(low(s) + (high(s) - low(s)) * (at(s) - F.floor(at(s)))).alias(f"q{i}") for i, s in enumerate(shares)]
+    return joined.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *out)
+
 
 def exact_percentiles(df: DataFrame, column: str, shares: Sequence[float], bins: int = 2048, most: int = 20_000) -> list[float | None]:
     """The linearly interpolated percentiles of a column's non-null values.

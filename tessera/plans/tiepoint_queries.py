@@ -144,9 +144,11 @@ def override_counts(spark, d):
     return P.override_counts(s, model).select("total_count", "clipped_count", F.col("inlier_count").cast("int"), "inlier_ratio")
 
 
-@query("uniform_subsample", "WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS n FROM events) SELECT event_id FROM o WHERE k IN (SELECT CAST(floor(i * n / 800.0) AS BIGINT) FROM range(800) t(i), (SELECT count(*) AS n FROM events))")
+@query("uniform_subsample", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_quantity FROM o WHERE k IN (SELECT CAST(floor(i * n / 800.0) AS BIGINT) FROM range(800) t(i), (SELECT count(*) AS n FROM lineitem))""")
 def uniform_subsample(spark, d):
-    return P.uniform_subsample(table(spark, d, "events").select("event_id"), ["event_id"], 800)
+    chosen = P.uniform_subsample(table(spark, d, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber"], 800)
+    return chosen.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("border_reject", f"WITH {TP} SELECT supp, count(*) AS n FROM tp WHERE round_even(sx, 0) >= 32 AND round_even(sx, 0) + 32 <= 1500 AND round_even(sy, 0) >= 32 AND round_even(sy, 0) + 32 <= 1500 AND round_even(rx, 0) >= 32 AND round_even(rx, 0) + 32 <= 1500 AND round_even(ry, 0) >= 32 AND round_even(ry, 0) + 32 <= 1500 GROUP BY supp")
@@ -154,9 +156,9 @@ def border_reject(spark, d):
     return P.border_reject(tie_points(spark, d), 32, (1500, 1500), (1500, 1500)).groupBy("supp").agg(F.count("*").alias("n"))
 
 
-@query("snapped_points", f"WITH {TP} SELECT okey, line, round_even(sx + 0.5, 0) AS sx, round_even(sy, 0) AS sy, round(round_even(rx, 0) + score, 6) AS rx, round(round_even(ry, 0) - score, 6) + 0.0 AS ry FROM tp WHERE supp % 10 = 3")
+@query("snapped_points", f"WITH {TP} SELECT okey, line, round_even(sx + 0.5, 0) AS sx, round_even(sy, 0) AS sy, round(round_even(rx, 0) + score, 6) AS rx, round(round_even(ry, 0) - score, 6) + 0.0 AS ry FROM tp")
 def snapped_points(spark, d):
-    t = tie_points(spark, d).where("supp % 10 = 3").withColumns({"sx": F.col("sx") + 0.5, "ox": F.col("score"), "oy": -F.col("score")})
+    t = tie_points(spark, d).withColumns({"sx": F.col("sx") + 0.5, "ox": F.col("score"), "oy": -F.col("score")})
     s = t.withColumn("score", F.struct("okey", "line"))
     return P.snapped(s).select(F.col("score.okey").alias("okey"), F.col("score.line").alias("line"), "sx", "sy", r("rx").alias("rx"), r("ry").alias("ry"))
 
@@ -171,10 +173,7 @@ def tile_assignment(spark, d):
 @query("core_filter", f"""WITH {TP}, ax AS (SELECT i, i * 400 AS s, CASE WHEN i = 0 THEN 0 ELSE i * 400 + 60 END AS c0, CASE WHEN i = 4 THEN 2000 ELSE i * 400 + 460 END AS c1 FROM range(0, 5) t(i))
     SELECT CAST(y.i * 5 + x.i AS INT) AS tile_id, count(*) AS n FROM tp JOIN ax x ON sx >= x.c0 AND sx < x.c1 JOIN ax y ON sy >= y.c0 AND sy < y.c1 GROUP BY ALL""")
 def core_filter(spark, d):
-    grid = P.tile_grid(spark, 2000, 2000, 520, 400)
-    tp = tie_points(spark, d)
-    j = tp.join(F.broadcast(grid), (F.col("sx") >= F.col("xcore0")) & (F.col("sx") < F.col("xcore1")) & (F.col("sy") >= F.col("ycore0")) & (F.col("sy") < F.col("ycore1")))  # the grid is a few tiles
-    return j.groupBy("tile_id").agg(F.count("*").alias("n"))
+    return P.in_core(tie_points(spark, d), 520, 400, 2000, 2000).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
 @query("tile_grid", "SELECT CAST(y.i * 5 + x.i AS INT) AS tile_id, CAST(x.i * 400 AS INT) AS x0, CAST(least(x.i * 400 + 520, 2000) AS INT) AS x1, CAST(y.i * 400 AS INT) AS y0, CAST(least(y.i * 400 + 520, 2000) AS INT) AS y1 FROM range(0, 5) x(i), range(0, 5) y(i)")
@@ -231,9 +230,9 @@ def cluster_count(spark, d):
     return P.cluster_count(tie_points(spark, d), "sy")
 
 
-@query("model_predict", f"WITH {TP}, y AS (SELECT *, (sy - 1000) / 500 AS yn FROM tp WHERE supp % 7 = 1) SELECT okey, line, round(1.01 * sx - 0.02 * sy + 5 + (0.5 * yn - 0.25) * yn + 2, 5) + 0.0 AS px, round(0.02 * sx + 0.99 * sy - 3 + (0.1 * yn + 0.3) * yn - 1, 5) + 0.0 AS py FROM y")
+@query("model_predict", f"WITH {TP}, y AS (SELECT *, (sy - 1000) / 500 AS yn FROM tp) SELECT okey, line, round(1.01 * sx - 0.02 * sy + 5 + (0.5 * yn - 0.25) * yn + 2, 5) + 0.0 AS px, round(0.02 * sx + 0.99 * sy - 3 + (0.1 * yn + 0.3) * yn - 1, 5) + 0.0 AS py FROM y")
 def model_predict(spark, d):
-    p = P.predict(tie_points(spark, d).where("supp % 7 = 1"), (1.01, -0.02, 5, 0.02, 0.99, -3), (0.5, -0.25, 2.0), (0.1, 0.3, -1.0), 1000.0, 500.0)
+    p = P.predict(tie_points(spark, d), (1.01, -0.02, 5, 0.02, 0.99, -3), (0.5, -0.25, 2.0), (0.1, 0.3, -1.0), 1000.0, 500.0)
     return p.select("okey", "line", r("px", 5).alias("px"), r("py", 5).alias("py"))
 
 
@@ -257,12 +256,12 @@ def _strips(spark, d):
     return s.select("strip", "vdx", (F.col("vdx") * 0.5).alias("vdy"), (F.col("vdx") + F.col("strip") / 4.0).alias("fdx"), (F.col("vdx") * 0.5).alias("fdy"), (F.col("n") % 11).alias("votes"), (F.col("strip") / 200.0).alias("response"))
 
 
-@query("strip_arbitration", f"WITH {_STRIPS} SELECT strip, method_used, round(CASE WHEN method_used = 'votes_dominant' THEN vdx ELSE fdx END, 6) + 0.0 AS dx, round(CASE WHEN method_used = 'votes_dominant' THEN vdy ELSE fdy END, 6) + 0.0 AS dy FROM m")
+@query("strip_arbitration", f"WITH {_STRIPS} SELECT strip, method_used, round(CASE WHEN method_used <> 'fourier' THEN vdx ELSE fdx END, 6) + 0.0 AS dx, round(CASE WHEN method_used <> 'fourier' THEN vdy ELSE fdy END, 6) + 0.0 AS dy FROM m")
 def strip_arbitration(spark, d):
     return P.arbitrate(_strips(spark, d)).select("strip", "method_used", r("dx").alias("dx"), r("dy").alias("dy"))
 
 
-@query("strip_summary", f"WITH {_STRIPS} SELECT round(median(CASE WHEN method_used = 'votes_dominant' THEN vdx ELSE fdx END), 6) + 0.0 AS dx, round(median(CASE WHEN method_used = 'votes_dominant' THEN vdy ELSE fdy END), 6) + 0.0 AS dy, round(avg(response), 6) + 0.0 AS confidence, CASE WHEN bool_or(method_used <> 'fourier') THEN 'hybrid' ELSE 'fourier' END AS method_used FROM m")
+@query("strip_summary", f"WITH {_STRIPS} SELECT round(median(CASE WHEN method_used <> 'fourier' THEN vdx ELSE fdx END), 6) + 0.0 AS dx, round(median(CASE WHEN method_used <> 'fourier' THEN vdy ELSE fdy END), 6) + 0.0 AS dy, round(avg(response), 6) + 0.0 AS confidence, CASE WHEN bool_or(method_used <> 'fourier') THEN 'hybrid' ELSE 'fourier' END AS method_used FROM m")
 def strip_summary(spark, d):
     return P.strip_summary(P.arbitrate(_strips(spark, d))).select(r("dx").alias("dx"), r("dy").alias("dy"), r("confidence").alias("confidence"), "method_used")
 

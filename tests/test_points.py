@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import points as P
+from tessera.operators import quantiles as Q
 from tessera.operators.quantiles import exact_percentiles
 
 
@@ -110,3 +111,48 @@ def test_passes_give_the_same(spark):
     for flag in (False, True):
         a, b = (sorted(map(tuple, R.percentile_stretch(px, high_of_all=flag, passes=p).collect())) for p in (False, True))
         assert a == b
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_uniform_subsample_of_a_million_wide_rows(spark, adaptive):
+    """Nine columns and a unique key; the rows are the ones at the ranks, however Spark cuts its partitions."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n, prime = 1_000_000, 1_000_003
+        df = spark.range(n).select((F.col("id") * 7919 % prime).alias("k"), *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(c)), 256).alias(f"c{c}") for c in range(8)))
+        want = sorted(k * 7919 % prime for k in range(n))
+        got = sorted(r[0] for r in P.uniform_subsample(df, ["k"], 800).select("k").collect())
+        assert got == [want[i * n // 800] for i in range(800)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_uniform_subsample_of_a_hot_key(spark):
+    """A third of the rows has one key: the others tell them apart, and the number is right."""
+    df = spark.range(600_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), "id")
+    got = P.uniform_subsample(df, ["k"], 800).collect()
+    assert len(got) == 800 == len({r["id"] for r in got}) and abs(sum(r["k"] == 5 for r in got) - 267) <= 1
+
+
+@pytest.mark.parametrize("size,step,h,w", [(520, 400, 2000, 2000), (100, 101, 950, 700), (101, 80, 1003, 260), (300, 300, 250, 900)])
+def test_in_core_is_the_join_with_the_grid(spark, size, step, h, w):
+    rng = np.random.default_rng(size)
+    p = spark.createDataFrame([(float(x), float(y)) for x, y in np.concatenate([rng.uniform(-5, 1.02 * max(h, w), (800, 2)), rng.integers(0, max(h, w), (800, 2))])], "sx double, sy double")
+    grid = P.tile_grid(spark, h, w, size, step).collect()
+    want = sorted((r["sx"], r["sy"], t["tile_id"]) for r in p.collect() for t in grid if t["xcore0"] <= r["sx"] < t["xcore1"] and t["ycore0"] <= r["sy"] < t["ycore1"])
+    assert sorted((r["sx"], r["sy"], r["tile_id"]) for r in P.in_core(p, size, step, h, w).collect()) == want
+
+
+def test_passes_give_what_aggregates_give(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 3 else g, float(x), float(y), float(e)) for g in range(4) for x, y, e in zip(rng.normal(size=400), rng.integers(0, 5, 400), rng.exponential(size=400), strict=True)]
+    df = spark.createDataFrame(rows, "g int, dx double, dy double, err double").withColumns({"sx": F.lit(0.0), "sy": F.monotonically_increasing_id() % 97 * 1.0, "rx": F.col("dx"), "ry": F.col("dy") + F.monotonically_increasing_id() % 97})
+    got = Q.grouped_percentiles(df, "dx", (0.02, 0.5, 0.98), ["g"], bins=4, most=10).orderBy("g").collect()
+    want = df.groupBy("g").agg(F.percentile("dx", F.lit(0.02)), F.percentile("dx", F.lit(0.5)), F.percentile("dx", F.lit(0.98))).orderBy("g").collect()
+    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1:] for r in got], [r[1:] for r in want])
+    known = df.where("g is not null")
+    for f in (lambda p: P.residual_stats(known, 1.0, ["g"], passes=p), lambda p: P.residual_stats(known, 1.0, passes=p), lambda p: P.drift_regression(known, by=["g"], passes=p), lambda p: P.drift_regression(known, passes=p), lambda p: P.mad_inliers(known, ["dx", "dy"], 0.1, 1.0, ["g"], passes=p).select("dx", "dy"), lambda p: P.stratified_consensus(known, "sy", "err", ["dx"], passes=p).select("dx", "rank_in_bin")):
+        a, b = (f(p).toPandas() for p in (True, False))
+        names = sorted(b.columns)
+        a, b = (x[names].sort_values(names).to_numpy(float) for x in (a, b))
+        assert a.shape == b.shape and np.allclose(a, b)
