@@ -125,26 +125,27 @@ def valid_tiles(spark, d):
     return R.valid_share(pixels(spark, d).withColumn("tile", F.floor(F.col("row") / 16)), ["tile"], 0.5).select("tile", r("share").alias("share"))
 
 
-@query("abs_difference", f"WITH {PX} SELECT a.\"row\", a.col, round(CASE WHEN a.v > 0 AND b.v > 0 THEN abs(a.v - b.v) ELSE 0 END, 6) AS v FROM px a JOIN px b ON a.\"row\" + 1 = b.\"row\" AND a.col = b.col")
+@query("abs_difference", f"""WITH {PX}, n AS (SELECT "row", col, v, lead(v) OVER w AS b, lead("row") OVER w AS next FROM px WINDOW w AS (PARTITION BY col ORDER BY "row"))
+    SELECT "row", col, round(CASE WHEN v > 0 AND b > 0 THEN abs(v - b) ELSE 0 END, 6) AS v FROM n WHERE next = "row" + 1""")
 def abs_difference(spark, d):
     p = pixels(spark, d)
     return R.absolute_difference(p, p.withColumn("row", F.col("row") - 1)).select("row", "col", r("v").alias("v"))
 
 
-@query("false_colour", f"WITH {PX} SELECT coalesce(a.\"row\", b.\"row\") AS \"row\", coalesce(a.col, b.col) AS col, round(coalesce(a.v, 0), 6) AS r, round(coalesce(b.v, 0), 6) AS g, round(coalesce(b.v, 0), 6) AS b FROM px a FULL JOIN (SELECT \"row\" - 1 AS \"row\", col, v FROM px) b ON a.\"row\" = b.\"row\" AND a.col = b.col")
+@query("false_colour", f"""WITH {PX}, u AS (SELECT "row", col, v AS r, NULL AS g FROM px UNION ALL SELECT "row" - 1, col, NULL, v FROM px)
+    SELECT "row", col, round(coalesce(max(r), 0), 6) AS r, round(coalesce(max(g), 0), 6) AS g, round(coalesce(max(g), 0), 6) AS b FROM u GROUP BY ALL""")
 def false_colour(spark, d):
     p = pixels(spark, d)
     c = R.false_colour(p, p.withColumn("row", F.col("row") - 1))
     return c.select("row", "col", *(r(x).alias(x) for x in ("r", "g", "b")))
 
 
-@query("vector_ncc_argmax", """WITH p AS (SELECT vec_id AS patch_id, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 20), j AS (SELECT patch_id, vec_id AS cand_id, list_sum(list_transform(range(1, 65), lambda i: CAST(p.e[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE))) AS score FROM embeddings c, p WHERE vec_id >= 20),
+@query("vector_ncc_argmax", """WITH e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), j AS (SELECT p.vec_id AS patch_id, c.vec_id AS cand_id, list_inner_product(p.e, c.e) AS score FROM e p, e c WHERE p.vec_id % 20 = 0 AND p.vec_id <> c.vec_id),
     k AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY score DESC, cand_id) AS rn FROM j) SELECT patch_id, cand_id, round(score, 5) AS score FROM k WHERE rn = 1""")
 def vector_ncc_argmax(spark, d):
-    e = table(spark, d, "embeddings")
-    as_double = F.transform("embedding", lambda x: x.cast("double"))
-    patches = e.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("patch_id"), as_double.alias("p"))
-    return R.ncc_argmax(patches, e.where("vec_id >= 20").select(F.col("vec_id").alias("cand_id"), as_double.alias("c"))).select("patch_id", "cand_id", r("score", 5).alias("score"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    patches = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("patch_id"), F.col("e").alias("p"))
+    return R.ncc_argmax(patches, e.select(F.col("vec_id").alias("cand_id"), F.col("e").alias("c")), others=True).select("patch_id", "cand_id", r("score", 5).alias("score"))
 
 
 @query("raster_entropy", f"WITH {PX}, c AS (SELECT least(3, floor(\"row\" / 125)) AS cy, least(3, floor(col / 16)) AS cx, count(*) AS n FROM px WHERE v > 0 GROUP BY ALL) SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c")

@@ -222,10 +222,10 @@ def upsert(spark, d):
     return J.merged(o.select("o_orderkey", "o_orderstatus"), new, "o_orderkey").select("o_orderkey", "o_orderstatus", "score")
 
 
-@query("schema_merge", "SELECT o_orderkey AS id, o_orderpriority AS label, CAST(NULL AS DOUBLE) AS value FROM orders WHERE o_orderkey < 1000 UNION ALL SELECT event_id, NULL, value FROM events WHERE event_id < 1000")
+@query("schema_merge", "SELECT o_orderkey AS id, o_orderpriority AS label, CAST(NULL AS DOUBLE) AS value FROM orders UNION ALL SELECT event_id, NULL, value FROM events")
 def schema_merge(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
-    return o.unionByName(table(spark, d, "events").where("event_id < 1000").select(F.col("event_id").alias("id"), "value"), allowMissingColumns=True)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
+    return o.unionByName(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"), allowMissingColumns=True)
 
 
 @query("job_validation", "SELECT p_partkey AS id, len(list_filter([CASE WHEN p_size % 7 NOT BETWEEN 0 AND 4 THEN 'poly_degree' END, CASE WHEN p_retailprice / 100 NOT BETWEEN 0 AND 10 THEN 'tps_smoothing' END, CASE WHEN p_size NOT BETWEEN 1 AND 16 THEN 'grid_rows' END, CASE WHEN NOT (p_size - 10 > 0 AND p_size - 10 <= 100) THEN 'ransac_threshold' END], lambda x: x IS NOT NULL)) AS n FROM part")
