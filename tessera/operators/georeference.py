@@ -106,27 +106,26 @@ class Thumbnail:
 def thumbnail_drift(points: DataFrame, scale: float, height: int, least: int = 5, cap: float = 0.20, least_confidence: float = 0.15) -> Thumbnail | None:
     """The drift of matched thumbnails (sx, sy, rx, ry, score; scale: thumbnail pixels of a pixel): an affine's inliers, else a
     similarity's, else those near the median; a line through them where they are enough and span 15 % of the rows, else the
-    median; none if they are few or doubtful."""
-    rows = points.select("sx", "sy", "rx", "ry", "score").orderBy("sy", "sx").limit(MOST_POINTS).toPandas().to_numpy(float)
-    if len(rows) < least:
+    median; none if they are few or doubtful. All points count: models are scored and lines fitted by sums."""
+    full = points.select(*((F.col(c).cast("double") / scale).alias(c) for c in ("sx", "sy", "rx", "ry")), F.col("score").cast("double").alias("score"))
+    full = full.withColumns({"dx": F.col("rx") - F.col("sx"), "dy": F.col("ry") - F.col("sy")})
+    if len(full.take(least)) < least:
         return None
-    s, r, score = rows[:, :2] / scale, rows[:, 2:4] / scale, rows[:, 4]
-    ok = np.zeros(len(rows), bool)
     for affine in (True, False):
-        if ok.sum() < least:
-            ok = K.ransac(s, r, 5.0 / scale, affine)[1]
-    d = r - s
-    if ok.sum() < least:
-        away = np.abs(d - np.median(d, 0))
-        ok = (away <= np.maximum(3 * np.median(away, 0), 50.0)).all(1)
-    if ok.sum() < least or score[ok].mean() < least_confidence:
+        ok = T.ransac_by_rows(full, 5.0 / scale, affine=affine)[1]
+        if len(ok.take(least)) == least:
+            break
+    else:
+        ok = P.mad_inliers(full, ["dx", "dy"], floor=50.0)
+    m = ok.agg(F.count("*").alias("n"), F.avg("score").alias("score"), (F.max("sy") - F.min("sy")).alias("span"), F.regr_slope("dx", "sy").alias("a"), F.regr_slope("dy", "sy").alias("b")).first()
+    if m["n"] < least or m["score"] < least_confidence:
         return None
-    span, slope = float(np.ptp(s[ok, 1]) / max(1, height)), np.zeros(2)
-    if span >= 0.15:
-        slope = np.polyfit(s[ok, 1], d[ok], 1)[0]
-        slope = np.zeros(2) if not np.isfinite(slope).all() or np.abs(slope).max() > cap else slope
-    dx, dy = np.median(d[ok] - slope * s[ok, 1:2], 0)
-    return Thumbnail(float(dx), float(dy), (float(slope[0]), float(slope[1])), int(ok.sum()), span, float(score[ok].mean()))
+    span, slope = float(m["span"] / max(1, height)), (m["a"], m["b"])
+    if span < 0.15 or any(x is None or not np.isfinite(x) or abs(x) > cap for x in slope):
+        slope = (0.0, 0.0)
+    at = ok.select((F.col("dx") - slope[0] * F.col("sy")).alias("dx"), (F.col("dy") - slope[1] * F.col("sy")).alias("dy"))
+    d = P.medians(at, ["dx", "dy"]).first()
+    return Thumbnail(float(d[0]), float(d[1]), (float(slope[0]), float(slope[1])), int(m["n"]), span, float(m["score"]))
 
 
 def thumbnail_accepted(t: Thumbnail | None, height: int, method: str = "auto") -> bool:

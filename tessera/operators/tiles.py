@@ -91,9 +91,12 @@ def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return side(a, "a").join(side(b, "b"), key)
 
 
-def phase_shift(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, dx, dy, response) of each pair of patches."""
-    return _pairs(pairs, key, "dx double, dy double, response double", lambda a, b: [K.phase_correlation(a, b)])
+def phase_shift(pairs: DataFrame, key: str, prepare: Callable[[np.ndarray], np.ndarray] = lambda a: a, least: float = 0.0) -> DataFrame:
+    """(key, dx, dy, response) of each pair of patches, as prepared; none of a pair of which one has data in under the share least."""
+    def run(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        return [K.phase_correlation(prepare(a), prepare(b))] if min((a > 0).mean(), (b > 0).mean()) >= least else []
+
+    return _pairs(pairs, key, "dx double, dy double, response double", run)
 
 
 def subpixel(pairs: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
@@ -133,10 +136,10 @@ def hull_shares(points: DataFrame, x: str, y: str, area: float, by: Sequence[str
     A hull's corners are corners of any part's hull: parts of a group are cut down to theirs first, so a group meets in one
     task as a few corners per part, however many points it has."""
     keys = list(by)
-    parts = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(64)).cast("int"))
+    parts = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(64)).cast("int"))
     kinds = ", ".join(f"{k} {t}" for k, t in parts.select(*keys).dtypes)
 
-    cut = parts.groupBy(*keys, "part").applyInPandas(_corner_rows(keys), f"{kinds}, x double, y double")
+    cut = parts.groupBy(*keys, "__part").applyInPandas(_corner_rows(keys), f"{kinds}, x double, y double")
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "share": [K.hull_share(pdf[["x", "y"]].to_numpy(), area)]})
@@ -164,20 +167,23 @@ def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool =
     return points.groupBy(by).applyInPandas(run, points.schema)
 
 
-def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, sample: int = 2000, seed: int = 7) -> tuple[np.ndarray | None, DataFrame]:
-    """(model, inliers) over points that don't fit one task: hypotheses are drawn from a small seeded sample of different points;
-    all score all points by one aggregation (a counter for each); the best is fitted to its inliers by sums."""
-    places = points.select("sx", "sy", "rx", "ry").distinct()
+def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, sample: int = 2000, seed: int = 7, affine: bool = True) -> tuple[np.ndarray | None, DataFrame]:
+    """(model, inliers) over points that don't fit one task: hypotheses (affine, or similarities) are drawn from a small seeded
+    sample of different points; all score all points by one aggregation (a counter for each); the best affine is fitted to its
+    inliers by sums."""
+    places, need = points.select("sx", "sy", "rx", "ry").distinct(), 3 if affine else 2
     held = places.orderBy(F.xxhash64("sx", "sy", "rx", "ry", F.lit(seed)), "sx", "sy", "rx", "ry").limit(sample).toPandas().to_numpy()
-    if len(held) < 3:
+    if len(held) < need:
         return None, points.limit(0)
     rng, models = np.random.default_rng(seed), []
-    for _ in range(20 * hypotheses):  # degenerate triples are drawn again
+    for _ in range(20 * hypotheses):  # degenerate samples are drawn again
         if len(models) == hypotheses:
             break
-        pick = rng.choice(len(held), 3, replace=False)
-        if abs(np.linalg.det(np.column_stack([held[pick, :2], np.ones(3)]))) > 1e-6:
-            models.append(K.fit_affine(held[pick, :2], held[pick, 2:]))
+        pick = held[rng.choice(len(held), need, replace=False)]
+        if affine and abs(np.linalg.det(np.column_stack([pick[:, :2], np.ones(3)]))) > 1e-6:
+            models.append(K.fit_affine(pick[:, :2], pick[:, 2:]))
+        elif not affine and np.hypot(*(pick[0, :2] - pick[1, :2])) > 1e-6:
+            models.append(K.fit_similarity(pick[:, :2], pick[:, 2:]))
     if not models:
         return None, points.limit(0)
 
@@ -188,7 +194,7 @@ def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, s
     counts = points.agg(*(F.count_if(error(m) <= threshold).alias(f"h{k}") for k, m in enumerate(models))).first()
     best = models[int(np.argmax(counts))]
     ok = points.where(error(best) <= threshold)
-    model = fit_affine_by_sums(ok)
+    model = fit_affine_by_sums(ok) if affine else None
     return (best, ok) if model is None else (model, points.where(error(model) <= threshold))
 
 

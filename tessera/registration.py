@@ -13,12 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
+from tessera.operators import georeference as G
 from tessera.operators import points as P
 from tessera.operators import tiles as T
+from tessera.sources.raw import decimated
 
 SENSORS_SRC, SENSORS_REF = ("OHRC", "TMC", "TMC_FWD", "TMC_AFT", "IIRS"), ("NAC", "WAC", "SELENE")
 
 
+#: Known methods: of matching; of the coarse stage (auto tries a thumbnail first and then both others); of structural maps.
+METHODS, COARSE, STRUCTURAL = ("dense",), ("auto", "fft", "crater"), ("none", "phase_congruency", "gradient", "hybrid")
+#: Points from which an inverse model has a spline (fixed value of the interface).
+LEAST_INVERSE = 25
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """A run's options with their defaults."""
@@ -27,7 +35,7 @@ class RunConfig:
     sensor_ref: str = "NAC"
     method: str = "dense"
     structural_method: str = "none"
-    coarse_method: str = "fft"
+    coarse_method: str = "auto"
     poly_degree: int = 2
     tps_smoothing: float = 0.05
     warp_order: int = 3
@@ -51,8 +59,9 @@ class RunConfig:
                 raise ValueError(f"{name} must be in [{lo}, {hi}]")
         if not 0 < self.ransac_threshold <= 100:
             raise ValueError("ransac_threshold must be in (0, 100]")
-        if self.coarse_method != "fft" or self.structural_method != "none":  # others aren't part of the run
-            raise ValueError("the run has the coarse_method fft and the structural_method none only")
+        for name, known in (("method", METHODS), ("coarse_method", COARSE), ("structural_method", STRUCTURAL)):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} must be one of {', '.join(known)}")
 
 
 @dataclass
@@ -96,7 +105,8 @@ class Model:
         return out if f is None else out + f(p)
 
     def inverse(self) -> Model:
-        """Reference to source: the exact inverse affine; polynomials and spline are fitted again to the swapped points."""
+        """Reference to source: the exact inverse affine; polynomials and, from LEAST_INVERSE points on, the spline are fitted again
+        to the swapped points."""
         m = np.array(self.affine)
         lin = np.linalg.inv(m[:, :2])
         back = np.column_stack([lin, -lin @ m[:, 2]])
@@ -107,7 +117,7 @@ class Model:
         mean, std = float(s[:, 1].mean()), max(1.0, float(s[:, 1].std()))
         left, degree = r - K.applied(back, s), len(self.px) - 1
         fit = lambda v: np.polyfit((s[:, 1] - mean) / std, v, degree).tolist()
-        return Model(back.tolist(), fit(left[:, 0]), fit(left[:, 1]), mean, std, self.smoothing, s.tolist(), r.tolist(), self.spline_active, dict(self.stats))
+        return Model(back.tolist(), fit(left[:, 0]), fit(left[:, 1]), mean, std, self.smoothing, s.tolist(), r.tolist(), self.spline_active and len(s) >= LEAST_INVERSE, dict(self.stats))
 
     def scaled(self, k: float) -> Model:
         """The model in pixels k times as many: every length grows by k, also the polynomials' values, as their argument is
@@ -129,48 +139,87 @@ class Model:
 # ---------------------------------------------------------------- coarse
 
 
-def strip_pairs(source: DataFrame, reference: DataFrame, strips: DataFrame, width: int) -> DataFrame:
-    """A row for each strip with its patch of both rasters, put together from the tiles that it touches."""
-    import pandas as pd
-
-    def patch(tiles: DataFrame, side: str) -> DataFrame:
-        touch = (F.col("row_off") < F.col("y1")) & (F.col("row_off") + F.col("h") > F.col("y0"))
-        met = tiles.join(F.broadcast(strips), touch)  # a handful of strips
+#: Longest side of a thumbnail, and the share of a strip's patch that must hold data.
+THUMBNAIL, LEAST_DATA = 1024, 0.2
 
-        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-            y0, y1 = int(pdf["y0"].iloc[0]), int(pdf["y1"].iloc[0])
-            out = np.zeros((y1 - y0, width))
-            for t in pdf.itertuples(index=False):
-                a = T.pixels_of(t.h, t.w, t.dtype, t.px)
-                lo, hi = max(y0, t.row_off), min(y1, t.row_off + t.h)
-                x1 = min(width, t.col_off + t.w)
-                if hi > lo and x1 > t.col_off:
-                    out[lo - y0 : hi - y0, t.col_off : x1] = a[lo - t.row_off : hi - t.row_off, : x1 - t.col_off]
-            return pd.DataFrame({"strip_idx": [int(pdf["strip_idx"].iloc[0])], "h": [out.shape[0]], "w": [width], "dtype": ["<f8"], "px": [out.tobytes()]})
-
-        return met.groupBy("strip_idx").applyInPandas(cut, "strip_idx int, h int, w int, dtype string, px binary")
-
-    return T.paired(patch(source, "a"), patch(reference, "b"), "strip_idx")
 
+def thumbnails(source: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """One row with both rasters, decimated by k, as patches; their size is bounded by the choice of k."""
+    import pandas as pd
 
-def coarse(source: DataFrame, reference: DataFrame, height: int, width: int, config: RunConfig, strips: int = 10, patch: int = 2048) -> Coarse:
-    """The drift of the reference against the source: a shift for each strip by phase correlation, the robust line through
-    them, or their median."""
+    def whole(tiles: DataFrame) -> DataFrame:
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1))
+            out[pdf["row"], pdf["col"]] = pdf["v"]
+            return pd.DataFrame({"id": [0], "h": [out.shape[0]], "w": [out.shape[1]], "dtype": ["<f8"], "px": [out.tobytes()]})
+
+        return decimated(tiles, k).withColumn("id", F.lit(0)).groupBy("id").applyInPandas(pack, "id int, h int, w int, dtype string, px binary")
+
+    return T.paired(whole(source), whole(reference), "id")
+
+
+def _equal(a: np.ndarray) -> np.ndarray:
+    return K.clahe(K.stretched(a.astype(float)), 3.0).astype(float)
+
+
+def strip_boxes(spark: SparkSession, height: int, width: int, anchor: tuple[float, float], strips: int, patch: int) -> DataFrame:
+    """A row for each strip: its middle row, its patch's box in the middle of the source (y0, y1, x0, x1), and the reference's box (ry0,
+    ...) moved by the anchor and kept inside."""
+    h, w = min(patch, height), min(patch, width)
+    x0 = max(0, min(width - w, width // 2 - patch // 2))
+    rx0 = max(0, min(width - w, round(x0 + anchor[0])))
+    ry0 = F.greatest(F.lit(0), F.least(F.lit(height - h), F.rint(F.col("y0") + anchor[1]).cast("int")))
+    out = P.strip_samples(spark, height, strips, patch).withColumns({"x0": F.lit(x0), "x1": F.lit(x0 + w), "rx0": F.lit(rx0), "rx1": F.lit(rx0 + w), "ry0": ry0})
+    return out.withColumn("ry1", F.col("ry0") + h)
+
+
+def strip_offsets(source: DataFrame, reference: DataFrame, height: int, width: int, anchor: tuple[float, float], config: RunConfig, strips: int = 10, patch: int = 2048) -> DataFrame:
+    """(strip_idx, row, dx, dy, response, votes, method_used): each strip's offset by phase correlation of structural maps, by votes of
+    circles where the method asks for them, or by what arbitration makes of both. Strips without data enough are left out."""
+    boxes = strip_boxes(source.sparkSession, height, width, anchor, strips, patch)
+    a = windows_of(source, boxes.select("strip_idx", "y0", "y1", "x0", "x1"), "strip_idx")
+    b = windows_of(reference, boxes.select("strip_idx", *(F.col(f"r{c}").alias(c) for c in ("y0", "y1", "x0", "x1"))), "strip_idx")
+    method = config.structural_method
+    shifts = T.phase_shift(T.paired(a, b, "strip_idx"), "strip_idx", (lambda x: x) if method == "none" else (lambda x: K.structural(x, method)), LEAST_DATA)
+    shifts = shifts.withColumnsRenamed({"dx": "fdx", "dy": "fdy"})
+    if config.coarse_method == "fft":
+        both = shifts.withColumns({"vdx": F.lit(None).cast("double"), "vdy": F.lit(None).cast("double"), "votes": F.lit(0).cast("long")})
+    else:
+        most = min(1500, max(500, int(0.08 * height)))
+        found = [T.found_circles(T.equalised(x, 3.0), "strip_idx") for x in (a, b)]
+        peak = P.vote_peak(P.radius_votes(*found, most, by=["strip_idx"]), most, by=["strip_idx"])
+        both = shifts.join(peak.withColumnsRenamed({"dx": "vdx", "dy": "vdy"}), "strip_idx", "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    chosen = P.arbitrate(both, forced=config.coarse_method == "crater").join(boxes, "strip_idx")
+    return chosen.select("strip_idx", "row", (F.col("dx") + F.col("rx0") - F.col("x0")).alias("dx"), (F.col("dy") + F.col("ry0") - F.col("y0")).alias("dy"), "response", "votes", "method_used")
+
+
+def coarse(source: DataFrame, reference: DataFrame, height: int, width: int, config: RunConfig, strips: int = 10, patch: int = 2048, matcher=K.grid_matcher) -> Coarse:
+    """The drift of the reference against the source. A given one counts; auto takes the thumbnails' if that stands alone; else
+    strips, around the thumbnails' shift, and the robust line through them or their median."""
     if config.manual_dx is not None and config.manual_dy is not None:
         return Coarse(config.manual_dx, config.manual_dy, 1.0, intercept=(config.manual_dx, config.manual_dy), method="manual")
-    spark = source.sparkSession
-    where = P.strip_samples(spark, height, strips, patch)
-    shifts = T.phase_shift(strip_pairs(source, reference, where, min(width, patch)), "strip_idx").join(where.select("strip_idx", "row"), "strip_idx")
-    rows = shifts.select("row", "dx", "dy", "response").toPandas()  # a row for each strip
+    k = max(1, -(-max(height, width) // THUMBNAIL))
+    small, spark = thumbnails(source, reference, k), source.sparkSession
+    thumb = None
+    if config.coarse_method == "auto":
+        thumb = G.thumbnail_drift(T.matched(small, "id", lambda a, b: matcher(_equal(a), _equal(b))), 1.0 / k, height)
+        if G.thumbnail_accepted(thumb, height):
+            return Coarse(thumb.dx, thumb.dy, thumb.confidence, thumb.slope, (thumb.dx, thumb.dy), "thumbnail")
+    if thumb is not None:
+        at = (thumb.dx, thumb.dy)
+    else:
+        found = T.phase_shift(small, "id", _equal).first()
+        at = G.anchor(found["dx"], found["dy"], found["response"], 1.0 / k) if found else (0.0, 0.0)
+    rows = strip_offsets(source, reference, height, width, at, config, strips, patch).orderBy("strip_idx").toPandas()  # a row for each strip
     if not len(rows):
-        return Coarse(0.0, 0.0, 0.0)
-    table = spark.createDataFrame(rows).withColumns({"sy": F.col("row").cast("double"), "sx": F.lit(0.0), "rx": F.col("dx"), "ry": F.col("row") + F.col("dy")})
-    inliers = P.mad_inliers(table, ["dx", "dy"], floor=45.0)
-    line = P.capped_drift(P.drift_regression(inliers)).first()
+        return Coarse(0.0, 0.0, 0.0, method="none")
+    table = spark.createDataFrame(rows[["row", "dx", "dy"]]).withColumns({"sy": F.col("row").cast("double"), "sx": F.lit(0.0), "rx": F.col("dx"), "ry": F.col("row") + F.col("dy")})
+    line = P.drift_regression(P.mad_inliers(table, ["dx", "dy"], floor=45.0)).withColumns({f"{c}_median": F.lit(float(rows[c].median())) for c in ("dx", "dy")})
+    line, dx, dy = P.capped_drift(line).first(), float(rows["dx"].median()), float(rows["dy"].median())
+    seen, method = float(rows["response"].mean()), "hybrid" if (rows["method_used"] != "fourier").any() else "fourier"
     if line["n"] < 3:
-        dx, dy = float(rows["dx"].median()), float(rows["dy"].median())
-        return Coarse(dx, dy, float(rows["response"].mean()), intercept=(dx, dy))
-    return Coarse(line["dx_median"], line["dy_median"], float(rows["response"].mean()), (line["dx_slope"], line["dy_slope"]), (line["dx_intercept"], line["dy_intercept"]))
+        return Coarse(dx, dy, seen, intercept=(dx, dy), method=method)
+    return Coarse(dx, dy, seen, (line["dx_slope"], line["dy_slope"]), (line["dx_intercept"], line["dy_intercept"]), method)
 
 
 # ---------------------------------------------------------------- matching
@@ -200,16 +249,10 @@ def windows_of(tiles: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key).applyInPandas(cut, f"{key} {kind}, h int, w int, dtype string, px binary")
 
 
-def search_padding(drift: Coarse, config: RunConfig, height: int) -> int:
-    """How far around its predicted place a tile is searched: farther the less sure, the larger or the longer the drift is."""
-    base = config.search_padding
-    if drift.confidence < 0.05:
-        return min(max(base, 700), 1200)
-    if drift.confidence < 0.15:
-        return min(max(base, 500), 1000)
-    if np.hypot(*drift.intercept) > 800 or height > 8000:
-        return min(1200, max(base, 600, int(0.04 * height)))
-    return base
+def search_padding(spark: SparkSession, drift: Coarse, config: RunConfig, height: int) -> int:
+    """How far around its predicted place a tile is searched, by the one rule of points.padding()."""
+    rule = P.padding(F.lit(float(drift.confidence)), F.lit(float(np.hypot(*drift.intercept))), F.lit(int(height)), config.search_padding)
+    return int(spark.range(1).select(rule).first()[0])
 
 
 def match(source: DataFrame, reference: DataFrame, shape: tuple[int, int], ref_shape: tuple[int, int], drift: Coarse, config: RunConfig, matcher=K.grid_matcher) -> DataFrame:
@@ -218,19 +261,21 @@ def match(source: DataFrame, reference: DataFrame, shape: tuple[int, int], ref_s
     spark, (h, w) = source.sparkSession, shape
     size, step = (min(config.tile_size, 1200), 800) if max(h, ref_shape[0]) > 3500 and config.step_size > 800 else (config.tile_size, config.step_size)
     grid = P.tile_grid(spark, h, w, size, step)
-    windows = P.search_windows(grid, drift.slope, drift.intercept, search_padding(drift, config, max(h, ref_shape[0])), *ref_shape)
+    windows = P.search_windows(grid, drift.slope, drift.intercept, search_padding(spark, drift, config, max(h, ref_shape[0])), *ref_shape)
     boxes = windows.select("tile_id", "y0", "y1", "x0", "x1")
     searched = windows.select("tile_id", F.col("wy0").cast("int").alias("y0"), F.col("wy1").cast("int").alias("y1"), F.col("wx0").cast("int").alias("x0"), F.col("wx1").cast("int").alias("x1"))
 
     def within(a: np.ndarray, b: np.ndarray):
         if (a > 0).mean() < 0.1 or (b > 0).mean() < 0.1:
             return np.zeros((0, 2)), np.zeros((0, 2)), np.zeros(0)
+        if config.structural_method != "none":
+            return matcher(K.structural(a, config.structural_method), K.structural(b, config.structural_method))
         return matcher(K.stretched(a).astype(float), K.stretched(b).astype(float))
 
     pairs = T.paired(windows_of(source, boxes, "tile_id"), windows_of(reference, searched, "tile_id"), "tile_id")
     local = P.confidence_filter(T.matched(pairs, "tile_id", within), "tile_id")
     kept = T.robust_inliers(local, "tile_id", 5.0)
-    placed = kept.join(F.broadcast(windows), "tile_id")  # a row for each tile
+    placed = kept.join(windows, "tile_id")
     moved = placed.withColumns({"sx": F.col("sx") + F.col("x0"), "sy": F.col("sy") + F.col("y0"), "rx": F.col("rx") + F.col("wx0"), "ry": F.col("ry") + F.col("wy0")})
     core = (F.col("sx") >= F.col("xcore0")) & (F.col("sx") < F.col("xcore1")) & (F.col("sy") >= F.col("ycore0")) & (F.col("sy") < F.col("ycore1"))
     points = moved.where(core).select("tile_id", "sx", "sy", "rx", "ry", "score")

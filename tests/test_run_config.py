@@ -1,15 +1,89 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 import pytest
 
 from tessera import registration as R
+from tessera.functions import kernels as K
+from tessera.operators import tiles as T
 
 
-@pytest.mark.parametrize("bad", [{"coarse_method": "auto"}, {"coarse_method": "crater"}, {"structural_method": "phase_congruency"}, {"structural_method": "gradient"}])
-def test_methods_that_the_run_lacks_are_refused(bad):
+@pytest.mark.parametrize("bad", [{"method": "sparse"}, {"coarse_method": "x"}, {"structural_method": "canny"}])
+def test_unknown_methods_are_refused(bad):
     with pytest.raises(ValueError):
         R.RunConfig(**bad)
 
 
-def test_defaults_are_what_runs():
-    assert (R.RunConfig().coarse_method, R.RunConfig().structural_method) == ("fft", "none")
+def scene(h, w, seed=3):
+    base = K.gaussian(np.random.default_rng(seed).normal(size=(h, w)), 2.5)
+    return ((base - base.min()) / np.ptp(base) * 200 + 30).astype(np.uint8)
+
+
+def cut(image, y, x, h, w):
+    return np.ascontiguousarray(image[y : y + h, x : x + w])
+
+
+@pytest.mark.parametrize("config", [R.RunConfig(coarse_method="fft"), R.RunConfig(coarse_method="fft", structural_method="gradient"), R.RunConfig(coarse_method="auto")])
+def test_shifts_wider_than_a_strip_are_found(spark, config):
+    """The reference lies 150 columns and 90 rows away, the patches are 128 pixels wide: the anchor brings them together."""
+    base = scene(900, 700)
+    a, b = cut(base, 200, 180, 600, 400), cut(base, 110, 30, 600, 400)
+    drift = R.coarse(T.tiles_of(spark, "a", a, 256), T.tiles_of(spark, "b", b, 256), 600, 400, config, strips=5, patch=128)
+    assert drift.method == ("thumbnail" if config.coarse_method == "auto" else "fourier")
+    assert (drift.dx, drift.dy) == (pytest.approx(150, abs=2), pytest.approx(90, abs=2))
+
+
+def test_craters_vote_for_the_drift(spark):
+    yy, xx = np.mgrid[0:420, 0:420]
+    rng = np.random.default_rng(5)
+    base = np.full((420, 420), 60.0) + rng.normal(0, 2, (420, 420))
+    for cx, cy, r in ((80, 90, 18), (300, 70, 22), (210, 200, 26), (90, 320, 20), (330, 320, 30), (200, 60, 16), (60, 210, 24), (340, 200, 18)):
+        base += 120.0 * (np.abs(np.hypot(xx - cx, yy - cy) - r) < 2.5)
+    a, b = cut(base, 20, 20, 390, 390), cut(base, 8, 11, 390, 390)
+    found = R.strip_offsets(T.tiles_of(spark, "a", a, 200), T.tiles_of(spark, "b", b, 200), 390, 390, (0.0, 0.0), R.RunConfig(coarse_method="crater"), 1, 390).first()
+    assert found["method_used"] == "votes" and found["votes"] >= 4
+    assert (found["dx"], found["dy"]) == (pytest.approx(9, abs=4), pytest.approx(12, abs=4))
+
+
+def test_strips_without_data_are_left_out(spark):
+    base = scene(400, 300)
+    base[:200] = 0
+    tiles = T.tiles_of(spark, "a", base, 100)
+    rows = R.strip_offsets(tiles, tiles, 400, 300, (0.0, 0.0), R.RunConfig(coarse_method="fft"), 4, 100).orderBy("strip_idx").collect()
+    assert [r["strip_idx"] for r in rows] == [2, 3] and all(abs(r["dx"]) < 0.1 for r in rows)
+
+
+def test_boxes_stay_inside(spark):
+    box = R.strip_boxes(spark, 500, 300, (400.0, -900.0), 3, 128).orderBy("strip_idx").collect()
+    assert all((r["x0"], r["x1"], r["rx0"], r["rx1"]) == (86, 214, 172, 300) and r["ry0"] == 0 and r["y1"] - r["y0"] == 128 for r in box)
+
+
+def test_structural_maps_are_matched(spark):
+    """A reference with its light reversed: pixels don't match where structure does."""
+    base = scene(300, 300)
+    a, b = cut(base, 20, 20, 260, 260), 255 - cut(base, 20, 20, 260, 260)
+    drift, found = R.Coarse(0.0, 0.0, 1.0), {}
+    for method in ("none", "gradient"):
+        config = R.RunConfig(structural_method=method, tile_size=260, step_size=200)
+        points = R.match(T.tiles_of(spark, "a", a, 128), T.tiles_of(spark, "b", b, 128), a.shape, b.shape, drift, config).toPandas()
+        found[method] = int((np.hypot(points["rx"] - points["sx"], points["ry"] - points["sy"]) < 1).sum())
+    assert found["gradient"] > found["none"]
+
+
+def test_an_inverse_has_a_spline_from_25_points_on():
+    rng = np.random.default_rng(0)
+    for n, has in ((24, False), (25, True)):
+        s = rng.uniform(0, 1000, (n, 2))
+        model = R.Model([[1.0, 0.0, 3.0], [0.0, 1.0, -2.0]], source=s.tolist(), reference=(s + [3, -2]).tolist(), spline_active=True)
+        assert model.inverse().spline_active is has
+
+
+@pytest.mark.parametrize("confidence,dx,height,want", [(0.01, 0, 100, 700), (0.1, 0, 100, 500), (0.5, 900, 100, 600), (0.5, 0, 20_000, 800), (0.5, 0, 100, 64)])
+def test_padding_has_one_rule(spark, confidence, dx, height, want):
+    assert R.search_padding(spark, R.Coarse(dx, 0.0, confidence, intercept=(dx, 0.0)), R.RunConfig(), height) == want
+
+
+def test_manual_drift_counts():
+    assert R.coarse(None, None, 10, 10, replace(R.RunConfig(), manual_dx=4.0, manual_dy=-1.0)).method == "manual"
