@@ -44,3 +44,16 @@ PX = """px AS (SELECT vec_id AS "row", CAST(i - 1 AS INT) AS col, CAST(embedding
 def line_values(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
     """events as a stream of lines: (line, sample, v)."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("line"), (F.col("event_id") % modulus).alias("k"), F.col("value").alias("v"), "event_type", "user_id")
+
+
+def planted(spark: SparkSession, sf_dir: str, affine: bool = True, noise: float = 0.25) -> DataFrame:
+    """Tie points of which three in four follow one affine (or similarity) within noise, and the others are far from it."""
+    t = tie_points(spark, sf_dir)
+    good = (F.col("okey") + F.col("line")) % 4 != 0
+    a, b, c, d = (1.01, 0.02, -0.015, 0.99) if affine else (1.0, -0.02, 0.02, 1.0)
+    x = a * F.col("sx") + b * F.col("sy") + 30 + F.when(good, noise * (F.col("rx") - F.col("sx"))).otherwise(60 + 100 * F.col("score"))
+    y = c * F.col("sx") + d * F.col("sy") - 12 + F.when(good, noise * (F.col("ry") - F.col("sy"))).otherwise(-80 - 100 * F.col("score"))
+    return t.withColumns({"rx": x, "ry": y})
+
+
+GOOD = "(okey + line) % 4 <> 0"

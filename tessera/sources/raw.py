@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,39 +14,39 @@ from tessera.operators.tiles import TILE
 
 
 class _Rows(InputPartition):
-    def __init__(self, first: int, n: int):
-        super().__init__((first, n))
-        self.first, self.n = first, n
+    def __init__(self, path: str, first: int, n: int):
+        super().__init__((path, first, n))
+        self.path, self.first, self.n = path, first, n
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.image = options["path"], options.get("image_id", options["path"].rsplit("/", 1)[-1])
+        self.paths, self.image = json.loads(options["paths"]) if "paths" in options else [options["path"]], options.get("image_id")
         self.lines, self.samples, self.offset = (int(options.get(k, 0)) for k in ("lines", "samples", "offset"))
         self.dtype, self.block = np.dtype(options.get("pixel_type", "u1")), int(options.get("block_rows", 512))
         if self.lines <= 0 or self.samples <= 0:
             raise ValueError("lines and samples must be given")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Rows(y, min(self.block, self.lines - y)) for y in range(0, self.lines, self.block)]
+        return [_Rows(p, y, min(self.block, self.lines - y)) for p in self.paths for y in range(0, self.lines, self.block)]
 
     def read(self, part: _Rows) -> Iterator[tuple]:
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        store, path = fs.FileSystem.from_uri(part.path) if "://" in part.path else (fs.LocalFileSystem(), part.path)
         row = self.samples * self.dtype.itemsize
         with store.open_input_file(path) as f:
             data = f.read_at(part.n * row, self.offset + part.first * row)
         if len(data) < part.n * row:
-            raise ValueError(f"{self.path} is too short: {len(data)} bytes instead of {part.n * row} from row {part.first}")
+            raise ValueError(f"{part.path} is too short: {len(data)} bytes instead of {part.n * row} from row {part.first}")
         a = np.frombuffer(data, self.dtype).reshape(part.n, self.samples)
         for x in range(0, self.samples, self.block):
             t = np.ascontiguousarray(a[:, x : x + self.block])
-            yield (self.image, part.first, x, t.shape[0], t.shape[1], t.dtype.str, t.tobytes())
+            yield (self.image or part.path.rsplit("/", 1)[-1], part.first, x, t.shape[0], t.shape[1], t.dtype.str, t.tobytes())
 
 
 class RawRaster(DataSource):
-    """format("raw_raster"): options path, lines, samples, offset, pixel_type, block_rows, image_id; a partition for each block
+    """format("raw_raster"): options path (or paths, a JSON list of files of one layout), lines, samples, offset, pixel_type, block_rows, image_id; a partition for each block
     of rows, read by byte range."""
 
     @classmethod
@@ -59,9 +60,29 @@ class RawRaster(DataSource):
         return _Reader(self.options)
 
 
-def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     spark.dataSource.register(RawRaster)
-    return spark.read.format("raw_raster").options(path=path, **{k: str(v) for k, v in options.items()}).load()
+    where = {"path": path} if isinstance(path, str) else {"paths": json.dumps(path)}
+    return spark.read.format("raw_raster").options(**where, **{k: str(v) for k, v in options.items()}).load()
+
+
+def write_raw(patches: DataFrame, folder: str, key: str, header: int = 0) -> DataFrame:
+    """Patches (key, h, w, dtype, px) as raw files of a folder, one each, after header bytes of zeros; (key, path), written by the
+    executors. A file written twice is the same."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for pdf in batches:
+            for k, px in zip(pdf[key], pdf["px"], strict=True):
+                with store.open_output_stream(f"{at}/{k}.img") as f:
+                    f.write(bytes(header) + px)
+            yield pd.DataFrame({key: pdf[key], "path": [f"{folder}/{k}.img" for k in pdf[key]]})
+
+    return patches.mapInPandas(run, f"{key} {patches.select(key).dtypes[0][1]}, path string")
 
 
 def load_raster(spark: SparkSession, path: str, label: dict | None = None) -> DataFrame:

@@ -29,9 +29,11 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
 
 
 def read_window(spark: SparkSession, path: str, image_id: str, row_off: int, col_off: int, height: int, width: int) -> DataFrame:
-    """The tiles that a window touches: image by partition, places by pushed-down predicates."""
+    """The tiles that a window touches: image by partition, places by pushed-down predicates. How far above the window a tile may
+    begin is the image's greatest tile height, which comes from one column."""
     t = spark.read.parquet(path).where(F.col("image_id") == image_id)
-    return t.where((F.col("row_off") < row_off + height) & (F.col("row_off") > row_off - 4096) & (F.col("col_off") < col_off + width) & (F.col("row_off") + F.col("h") > row_off) & (F.col("col_off") + F.col("w") > col_off))
+    tallest = t.agg(F.max("h")).first()[0] or 0
+    return t.where((F.col("row_off") < row_off + height) & (F.col("row_off") > row_off - tallest) & (F.col("col_off") < col_off + width) & (F.col("row_off") + F.col("h") > row_off) & (F.col("col_off") + F.col("w") > col_off))
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str, version: int) -> DataFrame:
