@@ -2,10 +2,10 @@
 
 1. Lexicon entries (words and word beginnings) are mined from a bounded sample of labelled rows: counted in Spark, the most
    telling ones kept.
-2. Each entry, each of a few patterns and the given label is a voter that votes toxic, clean or abstains. A generative model
-   estimates
-   every voter's accuracy by expectation maximisation and the voters' correlations given the label; correlated voters share
-   their weight. It gives each sampled row a posterior label.
+2. Each entry and each of a few patterns is a voter: it votes toxic where it is found, else it abstains. A generative model of two
+   classes estimates how often each voter fires in either class, by expectation maximisation, and the voters' correlations given
+   the class; votes of correlated voters share their weight. The given labels are no voters: they choose the lexicon and set where the
+   maximisation starts. It gives each sampled row a posterior label, which may differ from the given one.
 3. A linear classifier is trained on the posterior labels; it alone scores texts.
 
 The sample, the lexicon and the model are bounded by parameters. Scoring takes one pass over whole texts."""
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, table, texts, written
 
-#: Bounds: labelled rows of each label that are learnt from, lexicon entries, and voters.
-MOST_ROWS, MOST_ENTRIES, MOST_VOTERS = (4000, 6000), 600, 80
+#: Bounds: labelled rows of each label (toxic, clean) that are learnt from, and lexicon entries.
+MOST_ROWS, MOST_ENTRIES = (4000, 6000), 600
 #: An entry stands in this many toxic rows of the sample at least, and is this much likelier in toxic rows.
 LEAST_ROWS, LEAST_LIFT = 3, 25.0
 #: Lengths of word beginnings that can be entries.
@@ -43,18 +43,19 @@ def entries(text: str) -> set[str]:
     """What a text can be counted under: its words as 'w:word' and word beginnings as 'p:begi'."""
     out = set()
     for w in set(_WORD.findall(text.lower())):
-        out.add("w:" + w[:40])
+        out.add("w:" + w)
         out.update("p:" + w[:k] for k in BEGINNINGS if len(w) > k)
     return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST_ROWS) -> DataFrame:
     """(text, toxic) of at most most[label] rows with each label, chosen by a hash of their id; none of those with
-    crc32(doc_id) mod 5 = 0. A doc_id with several labels is toxic if one of them is; null ids and labels are left out."""
+    crc32(doc_id) mod 5 = 0. A doc_id with several labels is toxic if one of them is, and of one with several texts the least is
+    taken; null ids and labels are left out."""
     known = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 5) != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[1 - y]) for y in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by most
-    return docs.select("doc_id", "text").join(sample, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def mine(sample: DataFrame) -> list[str]:
@@ -134,44 +135,46 @@ class Matcher:
         return sorted(out)
 
 
-def votes(x: np.ndarray, n_entries: int) -> np.ndarray:
-    """Votes (rows x voters: 1 toxic, -1 clean, 0 abstains) of 0/1 features: each of the first entries votes toxic where it
-    is found, each pattern where it is found, and the last voters vote clean where none, or a single entry only, is found."""
-    hits = x[:, :n_entries]
-    found = hits.sum(1)
-    lexicon = hits[:, : MOST_VOTERS - len(_PATTERNS) - 2]
-    clean = -np.stack([found == 0, (found <= 1) & (x[:, n_entries:].sum(1) == 0)], 1).astype(np.int8)
-    return np.concatenate([lexicon, x[:, n_entries:], clean], 1).astype(np.int8)
-
-
-def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, voters' accuracies, weights by correlation) of votes v.
-
-    Each voter has rates of its three votes under either label. Expectation maximisation starts from the posterior start.
-    Voters whose votes correlate given the label (residual correlation over 0.2, and over what chance gives few rows) share weight: one divided by one plus the sum
-    of these correlations, found from the first posteriors and again halfway."""
-    kinds = np.stack([v == k for k in (-1, 0, 1)], 2).astype(np.float64)
-    q, share = start.astype(np.float64), np.ones(v.shape[1])
-    rate = np.zeros((2, v.shape[1], 3))
+@dataclass
+class LabelModel:
+    """What label_model() estimates: each row's posterior of toxic; how often each voter fires in the clean and in the toxic class;
+    how sure its vote is (the mean posterior where it fires); and the voters' correlations given the class."""
+
+    posterior: np.ndarray
+    rate: np.ndarray
+    accuracy: np.ndarray
+    correlation: np.ndarray
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15, least_correlation: float = 0.2, least_lift: np.ndarray | float = 0.0) -> LabelModel:
+    """The generative model of votes (rows x voters: 1 fires, 0 abstains), by expectation maximisation from the posterior start.
+
+    Given the class, voters whose residual votes correlate by over least_correlation (and over what chance gives few rows) aren't
+    independent: what a vote says is divided by one plus the sum of its correlations with the votes that are the same in that row.
+    The correlations are found from the first posteriors and again halfway. least_lift: how much oftener a voter fires in toxic rows
+    at least, where that is known of it; without it the two classes could settle on another split of the rows."""
+    v, q = votes.astype(np.float64), start.astype(np.float64)
+    rate, c = np.zeros((2, v.shape[1])), np.zeros((v.shape[1], v.shape[1]))
+    same, other = np.zeros_like(v), np.zeros_like(v)
+    prior = float(np.clip(start.mean(), 0.01, 0.99))  # the classes' balance is known; voters that all say toxic don't tell it
     for r in range(rounds):
         for y, w in ((1, q), (0, 1 - q)):
-            rate[y] = (np.einsum("i,ijk->jk", w, kinds) + 0.5) / (w.sum() + 1.5)
-        prior = np.clip(q.mean(), 0.01, 0.99)
+            rate[y] = (w @ v + 0.5) / (w.sum() + 1)
+        rate[0] = np.where(np.asarray(least_lift) > 0, np.minimum(rate[0], rate[1] / np.maximum(least_lift, 1e-9)), rate[0])
         if r in (0, rounds // 2) and v.shape[1] > 1:
-            expected = q[:, None] * (rate[1, :, 2] - rate[1, :, 0]) + (1 - q)[:, None] * (rate[0, :, 2] - rate[0, :, 0])
-            rest = v - expected
-            rest = rest - rest.mean(0)
+            rest = v - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
+            rest -= rest.mean(0)
             spread = rest.std(0)
-            rest = np.where(spread > 0.02, rest / np.maximum(spread, 0.02), 0.0)  # what the label explains is no correlation
-            c = np.minimum(np.abs(rest.T @ rest) / len(v), 1.0)
+            rest = np.where(spread > 0.02, rest / np.maximum(spread, 0.02), 0.0)  # what the class explains is no correlation
+            c = np.minimum(rest.T @ rest / len(v), 1.0)
             np.fill_diagonal(c, 0)
-            share = 1 / (1 + np.where(c > 0.2 + 4 / math.sqrt(len(v)), c, 0).sum(1))
-        odds = np.log(rate[1]) - np.log(rate[0])
-        z = math.log(prior / (1 - prior)) + np.einsum("ijk,jk,j->i", kinds, odds, share)
+            c[c <= least_correlation + 4 / math.sqrt(len(v))] = 0
+            same = v @ c  # with the voters that fire in the row
+            other = c.sum(1) - same  # with those that abstain
+        fires, abstains = np.log(rate[1]) - np.log(rate[0]), np.log1p(-rate[1]) - np.log1p(-rate[0])
+        z = math.log(prior / (1 - prior)) + (v * fires / (1 + same)).sum(1) + ((1 - v) * abstains / (1 + other)).sum(1)
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    right = kinds[:, :, 2].T @ q + kinds[:, :, 0].T @ (1 - q)
-    cast = np.maximum(kinds[:, :, 0].sum(0) + kinds[:, :, 2].sum(0), 1e-9)
-    return q, right / cast, share
+    return LabelModel(q, rate, (v.T @ q) / np.maximum(v.sum(0), 1e-9), c)
 
 
 def _regression(x: np.ndarray, q: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -186,12 +189,8 @@ def _regression(x: np.ndarray, q: np.ndarray, rounds: int = 300, decay: float =
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST_ROWS) -> Model:
-    """The model for docs, learnt from labels. Without a label there is nothing to mine and every score is the same, low."""
-    sample = written(labelled(docs, labels, most), "toxicity-sample")
-    names = mine(sample)
-    model, size = Model(names), len(names) + len(_PATTERNS)
-    model.weights = np.zeros(size)
+def found_in(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(votes: rows x entries and patterns, given labels) of a sample (text, toxic), which labelled() bounds."""
     held: list[Matcher] = []
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,15 +200,42 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST_ROWS) -
         return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["found", "toxic"])
 
     rows = map_columns(sample, look, "found array<int>, toxic int").toArrow().to_pydict()  # bounded by most and the lexicon
-    if not rows["toxic"] or not any(rows["toxic"]):
-        return model
-    x = np.zeros((len(rows["toxic"]), size), np.float32)
+    x = np.zeros((len(rows["toxic"]), len(names) + len(_PATTERNS)), np.float32)
     for k, found in enumerate(rows["found"]):
         x[k, found] = 1
-    y = np.where(np.array(rows["toxic"]) == 1, 1, -1).astype(np.int8)
-    q, _, _ = label_model(np.concatenate([votes(x, len(names)), y[:, None]], 1), 0.5 + 0.4 * y)
-    model.weights, model.bias = _regression(x.astype(np.float64), q)
-    return model
+    return x, np.array([int(y == 1) for y in rows["toxic"]], np.int8)
+
+
+def covering(x: np.ndarray, given: np.ndarray, n_entries: int) -> list[int]:
+    """The entries, best first, that stand in LEAST_ROWS toxic rows of the sample in which no better one does: words that only copies
+    of one text share add nothing to the words that make it toxic."""
+    open_rows, out = x[given == 1, :n_entries] > 0, []
+    free = np.ones(len(open_rows), bool)
+    for k in range(n_entries):
+        if (open_rows[:, k] & free).sum() >= LEAST_ROWS:
+            out.append(k)
+            free &= ~open_rows[:, k]
+    return out
+
+
+def learnt(x: np.ndarray, given: np.ndarray, n_entries: int) -> tuple[np.ndarray, float, LabelModel]:
+    """(weights, bias, label model): a linear classifier of votes, trained on the label model's posteriors. The first n_entries
+    voters were mined for their lift."""
+    lift = np.where(np.arange(x.shape[1]) < n_entries, LEAST_LIFT, 0.0)
+    model = label_model(x, 0.02 + 0.96 * given, least_lift=lift)
+    return *_regression(x.astype(np.float64), model.posterior), model
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST_ROWS) -> Model:
+    """The model for docs, learnt from labels. Without a toxic label there is nothing to mine and every score is the same, low."""
+    sample = written(labelled(docs, labels, most), "toxicity-sample")
+    names = mine(sample)
+    x, given = found_in(sample, names)
+    if not given.any():
+        return Model([], np.zeros(len(_PATTERNS)))
+    kept = covering(x, given, len(names))
+    weights, bias, _ = learnt(np.concatenate([x[:, kept], x[:, len(names) :]], 1), given, len(kept))
+    return Model([names[k] for k in kept], weights, bias)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -227,7 +253,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document held_out, score and predicted. Rows with repeated or null ids each get their own."""
+    """Per row of documents held_out, score and predicted. A null text is empty and scored so; rows with repeated or null ids (these
+    are not held out) each get their own; an empty table gives none; without labels all scores are the same, low."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False))
@@ -235,7 +262,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents with a score under 0.5, with all their columns, whatever their names."""
+    """The pipeline's stage: rows with a score under 0.5, with all their columns, whatever their names. Null and empty texts are
+    scored as texts without a feature; repeated rows go or stay alike; an empty table stays empty."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     shared, at, schema = spark.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
     held: list[Matcher] = []
