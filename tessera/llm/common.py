@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that separate words: space and tab to carriage return.
@@ -19,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs on this machine (a local
+    master), one of our own; elsewhere that would lose rows, and is refused."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         at = spark.conf.get("spark.tessera.shared.dir", None)
     if at is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.shared.dir", at)
     return at
@@ -62,20 +66,6 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        m = max(n, 2 * len(_POWERS))
-        _POWERS, _INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(m - 1, b, np.uint64))]) for b in (_BASE, _BASE_INVERSE))
-    return _POWERS[:n], _INVERSES[:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -83,26 +73,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the words in UTF-8 bytes."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SPACE[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+_P = np.uint64(0xD6E8FEB86659FD93)
+_P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span data[start:end], in a few vector operations."""
-    if not len(starts):
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each n consecutive word hashes."""
+    m = len(words) - n + 1
+    if m <= 0:
         return np.zeros(0, np.uint64)
-    p, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(words) - 1, _P))])
+    inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(m - 1, _P_INVERSE))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power)])
+    return mixed((sums[n:] - sums[:-n]) * inverse)
 
 
 def long_array(x) -> pa.Array:

@@ -9,10 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, mixed, raw_texts, span_hashes, written
+from .common import map_columns, mixed, raw_texts, run_hashes, word_hashes, written
 from .components import components
 
 #: Links are of similarity LINKED[0] / LINKED[1] and more.
@@ -30,10 +30,7 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     words = text.translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    line, k = b" ".join(words), min(size, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return np.unique(span_hashes(np.frombuffer(line, np.uint8), starts[: len(words) - k + 1], ends[k - 1 :]))
+    return np.unique(run_hashes(word_hashes(words), min(size, len(words))))
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -52,10 +49,10 @@ def _class(found: np.ndarray) -> int:
 
 
 def _filed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [shingles(x) for x in raw_texts(batch.column(1))]
+    found = [shingles(x) for x in raw_texts(batch.column(1))]  # the third column is the text's digest
     cls = pa.array(np.array([_class(x) for x in found], np.uint64).view(np.int64), pa.int64())
     keys = pa.array([band_keys(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([batch.column(0), cls, pa.array([len(x) for x in found], pa.int32()), keys], names=["id", "cls", "n", "keys"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array([len(x) for x in found], pa.int32()), keys], names=["id", "text_md5", "cls", "n", "keys"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,16 +93,37 @@ def links(filed: DataFrame, sets: DataFrame) -> DataFrame:
     return linked.unionByName(similar(open_keys.join(other, "key").where("root < other").select(F.col("cls").alias("a"), "b", "n", "m")))
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): a row for each of docs, component_id the smallest id reachable by links, null ids as in simhash.clusters."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_md5, root): a row for each of docs, root the same for all rows that links join. A null text is an empty one."""
     kind = docs.select(id_col).dtypes[0][1]
-    prints = written(map_columns(docs.select(id_col, text_col), _filed, f"id {kind}, cls long, n int, keys array<long>"), "near-prints")
-    distinct = written(prints.groupBy("cls").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "near-classes")
+    rows = docs.select(id_col, text_col, F.md5(F.coalesce(text_col, F.lit(""))).alias("md5"))
+    prints = written(map_columns(rows, _filed, f"id {kind}, text_md5 string, cls long, n int, keys array<long>"), "near-prints")
+    distinct = written(prints.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "near-classes")
     every = distinct.select("cls", "n", F.explode("keys").alias("key"))
     filed = written(every.join(every.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key").select("key", "cls", "n"), "near-filed")
     of = map_columns(docs.select(text_col), _sets, "cls long, found array<long>")
     sets = written(of.join(filed.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.any_value("found").alias("found")), "near-sets")
     roots = components(links(filed, sets)).withColumnRenamed("node", "cls")
-    known = written(distinct.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")), "near-roots")
-    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("id", "cls").join(known.join(smallest, "root").select("cls", "component_id"), "cls").select("id", "component_id")
+    known = written(distinct.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "near-roots")
+    return prints.join(known, "cls").select("id", "text_md5", "root")
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): a row for each of docs, component_id the smallest id reachable by links, null ids as in simhash.clusters."""
+    rows = written(rooted(docs, id_col, text_col), "near-rows")
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+
+
+def _row_key(id_col: str, md5: Column) -> Column:
+    """A string for each pair of an id, which may be null, and a text."""
+    return F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), md5)
+
+
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay if one of each component does: the one with the smallest id (nulls are
+    larger than all), of equal ids that with the smallest digest of its text, and of rows equal in both any, as a whole."""
+    first = rooted(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_md5")).alias("f"))
+    chosen = written(first.select(_row_key("f.id", F.col("f.text_md5")).alias("own")), "near-kept")
+    rows = docs.select(_row_key(id_col, F.md5(F.coalesce(text_col, F.lit("")))).alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # One shuffle by own serves the join and the aggregation.
+    return rows.join(chosen, "own", "left_semi").groupBy("own").agg(F.first("row").alias("row")).select("row.*")

@@ -252,12 +252,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the row with the smallest doc_id of each component of near-duplicates (near.clusters: five-word
-    shingles, similarity of 0.8 and more), with all its columns. Of rows that repeat that doc_id one stays; of a component whose
-    ids are all null, one row per class stays."""
-    found = near.clusters(docs)
-    kept = found.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n")).select(F.col("id").alias("__kept_id"), F.col("n").alias("__kept_n"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]))
-    once = joined.where("__kept_n = 1").select(*[docs[c] for c in docs.columns])
-    again = joined.where("__kept_n > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """The pipeline's stage: of each component of near-duplicates (near.rooted: five-word shingles, similarity of 0.8 and more) one
+    row with all its columns, that of the smallest doc_id. Rows with one doc_id and unlike texts are judged apart; null texts are
+    empty, and all empty texts are alike; a component whose ids are all null keeps one; an empty table stays empty."""
+    return near.kept(docs)
