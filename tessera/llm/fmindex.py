@@ -83,6 +83,9 @@ class Least:
         return out
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits under each place of a word
+
+
 class WaveletTree:
     """Symbols by the bits of their codes. A level's planes hold the nodes of that depth one after another, packed to 64-bit
     words with the number of ones before each; symbols whose code has ended are in no deeper level."""
@@ -117,23 +120,28 @@ class WaveletTree:
     @staticmethod
     def _ones(packed: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        return before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        return before.take(word) + np.bitwise_count(packed.take(word) & _BELOW.take(at & 63))
 
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before its place."""
-        out = place.astype(np.int32)
-        on, bits, code, at = np.arange(len(out)), self.bits[symbol], self.code[symbol], out.copy()
+    def ranks(self, symbol: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before its two places (two rows, of ascending places). Where it doesn't stand between
+        them the two numbers are equal and may be any."""
+        low, high = (x.astype(np.int32) for x in places)
+        lo, hi, on, bits, code = low.copy(), high.copy(), np.arange(len(low)), self.bits[symbol], self.code[symbol]
         for level, (packed, before, start, ones_at) in enumerate(self.levels):
-            ones = self._ones(packed, before, start[symbol] + at) - ones_at[symbol]
-            at = np.where(code >> (bits - 1 - level) & 1, ones, at - ones).astype(np.int32)
-            left = bits > level + 1
-            if not left.all():
-                done = ~left
-                out[on[done]] = at[done]
-                on, bits, code, at, symbol = on[left], bits[left], code[left], at[left], symbol[left]
-            if not len(on):
-                break
-        return out
+            first, less = start.take(symbol), ones_at.take(symbol)
+            one = (code >> (bits - 1 - level) & 1) == 1
+            a, b = self._ones(packed, before, first + lo) - less, self._ones(packed, before, first + hi) - less
+            lo, hi = np.where(one, a, lo - a), np.where(one, b, hi - b)
+            done = (bits == level + 1) | (lo == hi)
+            ended = np.flatnonzero(done)
+            if len(ended):
+                left = np.flatnonzero(~done)
+                at = on.take(ended)
+                low[at], high[at] = lo.take(ended), hi.take(ended)
+                on, bits, code, lo, hi, symbol = (x.take(left) for x in (on, bits, code, lo, hi, symbol))
+                if not len(on):
+                    break
+        return np.stack([low, high])
 
 
 class Index:
@@ -166,9 +174,7 @@ class Index:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of the matches that are longer by a word on their left."""
-        ranks = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
-        base = self.count[symbol]
-        return base + ranks[: len(lo)], base + ranks[len(lo) :]
+        return tuple(self.count[symbol] + self.tree.ranks(symbol, np.stack([lo, hi])))
 
     def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest larger intervals and their matches' lengths."""
@@ -179,27 +185,26 @@ class Index:
 def matching_statistics(index: Index) -> np.ndarray:
     """At each word of the index's sequences, one after another: how many words from there on, within the sequence, also stand
     in a sequence of the index with a smaller id than the sequence's own."""
-    lanes = np.argsort(-index.sizes, kind="stable")
-    sizes, bound = index.sizes[lanes], index.rank[lanes]
-    last = index.starts[lanes] + sizes - 1
+    at = (index.starts + index.sizes - 1)[index.sizes > 0]  # each sequence's place, from its last word on
+    left, bound = index.sizes[index.sizes > 0].copy(), index.rank[index.sizes > 0]
     out = np.zeros(index.n, np.int32)
-    lo, hi, length = np.zeros(len(lanes), np.int32), np.full(len(lanes), index.n, np.int32), np.zeros(len(lanes), np.int32)
-    for k in range(int(sizes[0]) if len(sizes) else 0):
-        active = int(np.searchsorted(-sizes, -k, side="left"))  # lanes with over k words
-        todo = np.arange(active)
-        while len(todo):
-            symbol = index.text[last[todo] - k]
-            a, b = index.step(symbol, lo[todo], hi[todo])
-            good = np.flatnonzero(b > a)
-            good = good[index.least(a[good], b[good]) < bound[todo[good]]]
-            on = todo[good]
-            lo[on], hi[on], length[on] = a[good], b[good], length[on] + 1
-            rest = np.ones(len(todo), bool)
-            rest[good] = False
-            todo = todo[rest]
-            todo = todo[length[todo] > 0]  # an empty match can't get shorter
-            lo[todo], hi[todo], length[todo] = index.parent(lo[todo], hi[todo])
-        out[last[:active] - k] = length[:active]
+    lo, hi, length = np.zeros(len(at), np.int32), np.full(len(at), index.n, np.int32), np.zeros(len(at), np.int32)
+    while len(at):
+        # One try of every sequence: a longer match, or, where there is none, a shorter one; an empty match can't get shorter.
+        a, b = index.step(index.text[at], lo, hi)
+        good = np.zeros(len(at), bool)
+        some = np.flatnonzero(b > a)
+        good[some] = index.least(a[some], b[some]) < bound[some]
+        fail = np.flatnonzero(~good & (length > 0))
+        shorter = index.parent(lo[fail], hi[fail])
+        lo, hi, length = np.where(good, a, lo), np.where(good, b, hi), length + good
+        done = good | (length == 0)
+        lo[fail], hi[fail], length[fail] = shorter
+        out[at[done]] = length[done]
+        at, left = at - done, left - done
+        if not left.all():
+            go = np.flatnonzero(left)
+            at, left, bound, lo, hi, length = (x[go] for x in (at, left, bound, lo, hi, length))
     inside = np.ones(index.n, bool)
     inside[index.starts + index.sizes] = False
     return out[inside]

@@ -7,10 +7,10 @@ whatever stands around them. The steps, each over all rows:
 2. runs of windows with a key that is left become units of text, which go to the shard of their key with the smallest doc_id
    that has them; equal units are one. Of a key with over MOST_UNITS units each window goes by its own hash instead, so no
    passage, however common, and whatever surrounds its copies, gathers in one shard;
-3. a shard's units, as numbers of its words, are indexed (fmindex), and streamed through the index: matching statistics give at
+3. a key of which one unit is left needs no search: no other unit can have its windows. The other units of a shard, as numbers of its words, are indexed (fmindex), and streamed through the index: matching statistics give at
    each word how far the text from there on stands in a unit of a smaller doc_id too; where that is WINDOW words and more the
    word is reported, in intervals;
-4. these are the starts of the repeated windows of the unit's first document; of any later document with the unit all are.
+4. these are the starts of the repeated windows of the unit's first document; of any later document with the unit all windows are.
    Documents drop the words under them.
 
 Hashes choose keys and shards only, so equal hashes of different words cost time and change nothing: the index holds words by
@@ -22,31 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import long_array, map_columns, mixed, raw_texts, table, written
+from .common import long_array, map_columns, raw_texts, run_hashes, table, word_hashes, written
 from .fmindex import Index, matching_statistics
 
 WINDOW, ANCHOR = 50, 12
 #: Windows of a unit, units of one key that stay together, and words that a shard indexes (about 200 bytes each).
-MOST_WINDOWS, MOST_UNITS, SHARD_WORDS = 512, 20_000, 1_000_000
-
-_P = np.uint64(0xD6E8FEB86659FD93)
-_P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-
-
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each n consecutive word hashes."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(words) - 1, _P))])
-    inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(m - 1, _P_INVERSE))])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power)])
-    return mixed((sums[n:] - sums[:-n]) * inverse)
-
+MOST_WINDOWS, MOST_UNITS, SHARD_WORDS = 64, 20_000, 1_000_000
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """The minimum of each n consecutive values."""
@@ -64,10 +48,6 @@ def window_keys(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -
     return sliding_min(run_hashes(words, anchor), window - anchor + 1).view(np.int64)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
 def repeated(units: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each unit (words joined by one space) the intervals [from, to) of its words at which its matching statistics against
     the units with smaller ids are window and more."""
@@ -91,7 +71,7 @@ _UNIT = "key long, doc_id long, tie long, start long, n long, words binary"
 def _keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     docs, ties, keys = [], [], []
     for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-        found = np.unique(window_keys(_hashes(text.split())))
+        found = np.unique(window_keys(word_hashes(text.split())))
         docs.append(np.full(len(found), doc))
         ties.append(np.full(len(found), tie))
         keys.append(found)
@@ -104,7 +84,7 @@ def _units(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     rows: list[tuple] = []
     for doc, tie, text, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
         words = text.split()
-        keys = window_keys(_hashes(words))
+        keys = window_keys(word_hashes(words))
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(cut, len(keys)))
         for s, n in zip(cut[good := np.isin(keys[cut], kept)].tolist(), size[good].tolist(), strict=True):
@@ -128,7 +108,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             for _, doc, tie, start, n, text in zip(*(c.to_pylist() for c in batch.slice(chunk, 1000).columns), strict=True):
                 words = text.split()
-                keys = run_hashes(_hashes(words), WINDOW).view(np.int64).tolist()
+                keys = run_hashes(word_hashes(words), WINDOW).view(np.int64).tolist()
                 rows += [(keys[k], doc, tie, start + k, 1, b" ".join(words[k : k + WINDOW])) for k in range(n)]
             if rows:
                 yield _unit_batch(rows)
@@ -141,6 +121,7 @@ def _search(shard: pa.Table) -> pa.Table:
     return pa.table([shard.column("digest"), shard.column("first"), lists], schema=_FOUND)
 
 
+_SPANS_SQL = "array<struct<a:long,b:long>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _FOUND = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("spans", _SPANS)])
 
@@ -160,11 +141,14 @@ def marks(docs: DataFrame, most_units: int = MOST_UNITS, shard_words: int = SHAR
         singles = flagged.where("often").drop("often").mapInArrow(_single, _UNIT)
         units = written(flagged.where("often is null").drop("often").unionByName(singles), "units")
     digest = F.unhex(F.sha2("words", 256)).alias("digest")
-    words = units.select((F.sum("n") + (WINDOW - 1) * F.count("*")).alias("n")).first()[0] or 0
+    distinct = written(units.groupBy("key", digest).agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("words").alias("words")), "distinct-units")
+    alone = distinct.groupBy("key").agg(F.count("*").alias("k")).where("k = 1").select("key", F.lit(True).alias("alone"))
+    flagged = distinct.join(alone, "key", "left")
+    words = flagged.where("alone is null").select((F.sum("n") + (WINDOW - 1) * F.count("*")).alias("n")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    distinct = units.groupBy("key", "words").agg(F.min("doc_id").alias("first"))
-    dealt = distinct.select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "words", "first", digest)
-    found = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_search, "digest binary, first long, spans array<struct<a:long,b:long>>")
+    dealt = flagged.where("alone is null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "words", "first", "digest")
+    found = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_search, f"digest binary, first long, spans {_SPANS_SQL}")
+    found = found.unionByName(flagged.where("alone").select("digest", "first", F.array().cast(_SPANS_SQL).alias("spans")))
     places = units.select("doc_id", "tie", "start", "n", digest).join(found, "digest")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     own = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))
