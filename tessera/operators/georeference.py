@@ -152,28 +152,40 @@ def global_inliers(points: DataFrame, height: int, threshold: float, most: float
         t = min(most, 1.5 * t)
 
 
+#: Fixed values of the trap sets, in a scene of 1600 x 1600: points (x, y) that look like registrations and aren't (24 on a ring, 25
+#: in a heap, 3 in a plain), and the sun's azimuths of both images where those are the trap.
+TRAP_SIDE = 1600
 TRAPS = ("twin_craters", "shadow_inversion", "clustered_boulders", "featureless_plain")
+RING, HEAP, PLAIN = (800.0, 150.0, 24), (500.0, 3.0, 5), ((200.0, 300.0), (450.0, 600.0), (800.0, 1200.0))
+AZIMUTHS = {"shadow_inversion": (45.0, 225.0)}
+#: Degrees between the sun's azimuths from which shadows fall the other way.
+OPPOSITE = 120.0
 
 
-def trap_points(name: str, seed: int = 42) -> np.ndarray:
-    """Point sets (x, y) that look like registrations and aren't, in a scene of 1600 x 1600."""
-    rng = np.random.default_rng(seed)
+def trap_points(name: str) -> np.ndarray:
     if name == "twin_craters":
-        a = np.linspace(0, 2 * np.pi, 24, endpoint=False)
-        return np.column_stack([800 + 150 * np.cos(a), 800 + 150 * np.sin(a)])
-    if name == "shadow_inversion":
-        return np.column_stack([rng.uniform(600, 700, 8), rng.uniform(0, 1600, 8)])
+        a = np.linspace(0, 2 * np.pi, RING[2], endpoint=False)
+        return np.column_stack([RING[0] + RING[1] * np.cos(a), RING[0] + RING[1] * np.sin(a)])
     if name == "clustered_boulders":
-        return np.array([(500 + 3 * i, 500 + 3 * j) for i in range(5) for j in range(5)], float)
-    return np.array([(100, 100), (110, 900), (900, 120)], float)
+        return np.array([(HEAP[0] + HEAP[1] * i, HEAP[0] + HEAP[1] * j) for i in range(HEAP[2]) for j in range(HEAP[2])])
+    return np.array(PLAIN if name == "featureless_plain" else []).reshape(-1, 2)
+
+
+def azimuth_gap(a, b):
+    """Degrees between two azimuths, 0 to 180."""
+    d = F.pmod(F.abs(a - b), F.lit(360.0))
+    return F.least(d, F.lit(360.0) - d)
 
 
 def judged_traps(spark) -> DataFrame:
-    """(trap, inliers, entropy, hull, verdict) of the trap sets, by the gates that judge every run."""
-    rows = [(name, float(x), float(y)) for name in TRAPS for x, y in trap_points(name)]
-    df = spark.createDataFrame(rows, "trap string, x double, y double")
-    h = P.spatial_entropy(df, "x", "y", 1600, 1600, 4, 4, by=["trap"])
-    hull = T.hull_shares(df, "x", "y", 1600.0 * 1600.0, ["trap"])
-    joined = df.groupBy("trap").agg(F.count("*").alias("inliers")).join(h, "trap").join(hull, "trap")
-    score = P.composite_score(F.lit(0.4), F.col("entropy") / 4.0, F.lit(1.0), F.col("inliers"), F.col("share"))
-    return joined.select("trap", "inliers", F.round("entropy", 4).alias("entropy"), F.round("share", 5).alias("hull"), P.verdict(F.col("inliers"), F.col("share"), F.col("entropy"), F.lit(0.4), score).alias("verdict"))
+    """(trap, inliers, entropy, hull, gap, verdict) of the trap sets: opposite light is a veto, else the gates that judge every run
+    decide. No residuals are made up: RMSE and score are null."""
+    traps = spark.createDataFrame([(t, *AZIMUTHS.get(t, (None, None))) for t in TRAPS], "trap string, source_azimuth double, reference_azimuth double")
+    points = spark.createDataFrame([(t, float(x), float(y)) for t in TRAPS for x, y in trap_points(t)], "trap string, x double, y double")
+    h = P.spatial_entropy(points, "x", "y", TRAP_SIDE, TRAP_SIDE, 4, 4, by=["trap"])
+    hull = T.hull_shares(points, "x", "y", float(TRAP_SIDE) ** 2, ["trap"])
+    held = traps.join(points.groupBy("trap").agg(F.count("*").alias("inliers")), "trap", "left").join(h, "trap", "left").join(hull, "trap", "left")
+    held = held.withColumns({"inliers": F.coalesce("inliers", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0)), "hull": F.coalesce("share", F.lit(0.0)), "gap": azimuth_gap(F.col("source_azimuth"), F.col("reference_azimuth"))})
+    none = F.lit(None).cast("double")
+    judged = F.when(F.col("gap") >= OPPOSITE, "REJECTED (Illumination Conflict)").otherwise(P.verdict(F.col("inliers"), F.col("hull"), F.col("entropy"), none, none))
+    return held.select("trap", "inliers", F.round("entropy", 4).alias("entropy"), F.round("hull", 5).alias("hull"), "gap", judged.alias("verdict"))

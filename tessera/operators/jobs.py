@@ -96,7 +96,7 @@ def artifact_stage(relative: Column) -> Column:
     path = F.lower(F.replace(relative, F.lit("\\"), F.lit("/")))
     name = file_name(path)
     has = lambda where, *parts: F.coalesce(*(F.when(F.contains(where, F.lit(p)), True) for p in parts), F.lit(False))
-    rules = (
+    rules = (  # fixed values of the interface, in their order: names and folders, stage, category
         (F.startswith(name, F.lit("stage_01_")) | F.startswith(name, F.lit("bbox_overlap_meta")) | has(path, "/georeferenced/", "/harmonized/") | has(name, "iirs_selected_band"), "stage_1", "harmonization"),
         (has(name, "coarse_alignment"), "stage_2", "coarse_alignment"),
         (has(path, "match_visualizations", "tile_pngs") | has(name, "matches") | name.isin("subpixel_tie_points.csv", "tie_points_inliers.csv", "hybrid_transform_model.json"), "stage_3", "matching"),
@@ -121,6 +121,22 @@ def manifest(files: DataFrame, job_id: str) -> DataFrame:
     return out.orderBy("stage", F.lower("relative"))
 
 
+def artifact(of: DataFrame, wanted: str) -> DataFrame:
+    """The artifact with an id, of a manifest; none if it has none."""
+    return of.where(F.col("artifact_id") == wanted)
+
+
+def filtered(of: DataFrame, stage: str | None = None, previewable: bool = False) -> DataFrame:
+    """A manifest's artifacts of a stage, or those that can be previewed, or both."""
+    out = of if stage is None else of.where(F.col("stage") == stage)
+    return out.where("previewable") if previewable else out
+
+
+def stage_totals(of: DataFrame) -> DataFrame:
+    """(stage, n, n_previewable, bytes) of a manifest."""
+    return of.groupBy("stage").agg(F.count("*").alias("n"), F.count_if("previewable").alias("n_previewable"), F.sum("size_bytes").alias("bytes"))
+
+
 def primary_file(files: DataFrame, by: str, order: str = "idx") -> DataFrame:
     """Each group's primary file: a label or image before raw data before anything else; the first of its kind."""
     s = suffix(F.col("name"))

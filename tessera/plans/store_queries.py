@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as N
 from tessera.operators import footprints as G
 from tessera.operators import jobs as J
-from tessera.plans.views import table
+from tessera.plans.views import TP, table, tie_points
 from tessera.sources import labels as L
+from tessera.sources import sinks
+from tessera.sources.shared import new_folder
+from tessera.sources.sinks import DASHBOARD, dashboard, write_json, write_points
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -268,12 +271,112 @@ def artifact_stage(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.concat_ws("/", rule["stage"], rule["category"]).alias("stage"))
 
 
+_FILES = """f AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'registered_' || o_orderkey || '_preview.png' WHEN 1 THEN 'coarse_alignment_' || o_orderkey || '.json' ELSE o_orderkey || '.bin' END AS rel, CAST(o_totalprice * 100 AS BIGINT) AS size_bytes FROM orders),
+    m AS (SELECT k, substr(sha256('out:' || rel), 1, 24) AS artifact_id, CASE k % 3 WHEN 0 THEN 'stage_4' WHEN 1 THEN 'stage_2' ELSE 'pipeline' END AS stage, k % 3 = 0 AND size_bytes <= 8388608 AS previewable, size_bytes FROM f)"""
+
+
+def _artifacts(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("registered_"), k, F.lit("_preview.png"))).when(k % 3 == 1, F.concat(F.lit("coarse_alignment_"), k, F.lit(".json"))).otherwise(F.concat(k, F.lit(".bin")))
+    return J.manifest(table(spark, d, "orders").select(F.lit("out").alias("root"), name.alias("relative"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size_bytes")), "7")
+
+
+@query("artifact_lookup", f"WITH {_FILES} SELECT artifact_id, stage, previewable, size_bytes FROM m WHERE artifact_id = (SELECT min(artifact_id) FROM m)")
+def artifact_lookup(spark, d):
+    held = _artifacts(spark, d)
+    wanted = held.agg(F.min("artifact_id")).first()[0]
+    return J.artifact(held, wanted).select("artifact_id", "stage", "previewable", "size_bytes")
+
+
+@query("artifact_filter", f"WITH {_FILES} SELECT artifact_id, size_bytes FROM m WHERE stage = 'stage_4' AND previewable")
+def artifact_filter(spark, d):
+    return J.filtered(_artifacts(spark, d), "stage_4", True).select("artifact_id", "size_bytes")
+
+
+@query("artifact_totals", f"WITH {_FILES} SELECT stage, count(*) AS n, count(*) FILTER (previewable) AS n_previewable, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM m GROUP BY stage")
+def artifact_totals(spark, d):
+    return J.stage_totals(_artifacts(spark, d))
+
+
 @query("artifact_manifest", "WITH f AS (SELECT o_orderkey, o_orderkey::VARCHAR || '_preview.png' AS rel, CAST(o_totalprice * 100 AS BIGINT) AS size_bytes FROM orders) SELECT substr(sha256('preview:' || rel), 1, 24) AS artifact_id, rel AS file_name, 'stage_4' AS stage, size_bytes <= 8388608 AS previewable FROM f")
 def artifact_manifest(spark, d):
     f = table(spark, d, "orders").select(F.lit("preview").alias("root"), F.concat(F.col("o_orderkey").cast("string"), F.lit("_preview.png")).alias("relative"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size_bytes"))
     return J.manifest(f, "7").select("artifact_id", "file_name", "stage", "previewable")
 
 
+_CORNERS = ("upper_left", "upper_right", "lower_left", "lower_right")
+
+
+def _label(k):
+    """A product's label as XML; one in seven lacks a corner."""
+    number = lambda v: v.cast("string")
+    corners = [F.concat(F.lit(f"<isda:{c}_{axis}>"), number((F.col(k) % 90 + n) / 2.0), F.lit(f"</isda:{c}_{axis}>")) for n, (c, axis) in enumerate((c, a) for c in _CORNERS for a in ("latitude", "longitude"))]
+    corners[3] = F.when(F.col(k) % 7 == 0, F.lit("")).otherwise(corners[3])
+    name = F.when(F.col(k) % 3 == 0, "Orbiter High Resolution Camera OHRC").when(F.col(k) % 3 == 1, "Terrain Mapping Camera TMC").otherwise("Imaging IIRS")
+    return F.concat(
+        F.lit('<Product xmlns:isda="urn:x"><Observing_System><Observing_System_Component><name>'), name, F.lit("</name></Observing_System_Component></Observing_System><Time_Coordinates><start_date_time>2024-01-02T03:04:05Z</start_date_time><stop_date_time>2024-01-02T03:05:06Z</stop_date_time></Time_Coordinates>"),
+        F.lit('<isda:line_exposure_duration unit="ms">'), number(F.col(k) / 4.0), F.lit("</isda:line_exposure_duration><isda:camera_angle>FORE</isda:camera_angle>"), *corners,
+        F.lit("<Axis_Array><axis_name>Line</axis_name><elements>"), number(F.col(k) + 100), F.lit("</elements></Axis_Array><Axis_Array><axis_name>Sample</axis_name><elements>64</elements></Axis_Array><offset>"), number(F.col(k) % 9), F.lit("</offset><data_type>UnsignedMSB2</data_type></Product>"),
+    )
+
+
+@query("label_corners", "SELECT s_suppkey AS id, " + ", ".join(f"CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 90 + {n}) / 2.0::DOUBLE END AS {c}" for n, c in enumerate(L.CORNERS)) + " FROM supplier")
+def label_corners(spark, d):
+    return L.bounds(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), _label("s_suppkey").alias("xml")))
+
+
+@query("label_metadata", "SELECT s_suppkey AS id, s_suppkey / 4.0::DOUBLE / 1000.0::DOUBLE AS exposure_s, CASE s_suppkey % 3 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC_FORE' ELSE 'IIRS' END AS sensor, CAST(s_suppkey + 100 AS INT) AS lines, 64 AS samples, s_suppkey % 9 AS \"offset\", '>u2' AS dtype, 61.0::DOUBLE AS seconds FROM supplier")
+def label_metadata(spark, d):
+    m = L.metadata(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), _label("s_suppkey").alias("xml")))
+    seconds = (F.unix_timestamp(F.col("stop").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))).cast("double")
+    return m.select("id", "exposure_s", "sensor", "lines", "samples", "offset", "dtype", seconds.alias("seconds"))
+
+
+def _points_back(spark, d, decimals):
+    """Tie points written as CSV and read back by priority: a folder that isn't there, a table of other columns, then this."""
+    folder = new_folder(spark, "points")
+    t = tie_points(spark, d).withColumn("score", F.col("score") / 3)
+    table(spark, d, "region").select("r_name").write.option("header", True).csv(f"{folder}/other")
+    write_points(t.drop("score") if decimals == 2 else t, f"{folder}/points", decimals)
+    back = L.first_valid_points(spark, [f"{folder}/none", f"{folder}/other", f"{folder}/points"])
+    score = back["ecc_rho"] if decimals == 4 else F.lit(0.0)
+    return back.groupBy(F.col("src_y").alias("sy")).agg(F.count("*").alias("n"), *(r(F.sum(c), 3).alias(n) for c, n in (("src_x", "sx"), ("ref_x", "rx"), ("ref_y", "ry"))), r(F.sum(score), 3).alias("score"))
+
+
+_POINTS_SQL = "WITH {tp} SELECT sy, count(*) AS n, round(sum(sx), 3) + 0.0 AS sx, round(sum(round(rx, {k})), 3) + 0.0 AS rx, round(sum(round(ry, {k})), 3) + 0.0 AS ry, round(sum({score}), 3) + 0.0 AS score FROM tp GROUP BY sy"
+
+
+@query("candidate_csv", _POINTS_SQL.format(tp=TP, k=2, score="0.0::DOUBLE"))
+def candidate_csv(spark, d):
+    return _points_back(spark, d, 2)
+
+
+@query("refined_csv", _POINTS_SQL.format(tp=TP, k=4, score="round(score / 3, 4)"))
+def refined_csv(spark, d):
+    return _points_back(spark, d, 4)
+
+
+@query("report_json", "SELECT l_suppkey AS run_id, count(*) AS inliers, round(sum(l_quantity), 2) + 0.0 AS total, max(l_returnflag) AS verdict FROM lineitem GROUP BY l_suppkey")
+def report_json(spark, d):
+    folder = new_folder(spark, "report")
+    write_json(table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run_id")).agg(F.count("*").alias("inliers"), r(F.sum(F.col("l_quantity").cast("double")), 2).alias("total"), F.max("l_returnflag").alias("verdict")), folder)
+    return spark.read.schema("run_id long, inliers long, total double, verdict string").json(folder)
+
+
+@query("dashboard_tables", "SELECT 'correspondences' AS name, count(DISTINCT l_suppkey) AS n, CAST(NULL AS DOUBLE) AS rmse FROM lineitem UNION ALL SELECT 'correspondence_evidence', count(DISTINCT l_suppkey), (SELECT round(sum(r), 4) + 0.0 FROM (SELECT avg(l_discount) AS r FROM lineitem GROUP BY l_suppkey)) FROM lineitem UNION ALL SELECT 'observations', 2 * count(DISTINCT l_suppkey), NULL FROM lineitem UNION ALL SELECT 'registration_experiments', count(DISTINCT l_suppkey), NULL FROM lineitem")
+def dashboard_tables(spark, d):
+    """Reports as the dashboard's tables, each upserted twice: the second time replaces rows and adds none."""
+    reports = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("run_id")).agg(F.avg(F.col("l_discount").cast("double")).alias("rmse"), F.max("l_returnflag").alias("verdict"))
+    folder, out = new_folder(spark, "dashboard"), None
+    for name, rows in dashboard(reports).items():
+        sinks.upsert(spark, f"{folder}/{name}", rows, DASHBOARD[name], 0)
+        held = sinks.upsert(spark, f"{folder}/{name}", rows, DASHBOARD[name], 1)
+        rmse = r(F.sum("rmse"), 4) if "rmse" in held.columns else F.lit(None).cast("double")
+        one = held.agg(F.count("*").alias("n"), rmse.alias("rmse")).select(F.lit(name).alias("name"), "n", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("safe_names", "WITH n AS (SELECT p_partkey AS id, 'C:\\data/' || p_name || CASE p_size % 3 WHEN 0 THEN '.TIF' WHEN 1 THEN '.exe' ELSE '.lbl' END AS name FROM part) SELECT id, CASE WHEN name NOT LIKE '%.exe' THEN regexp_replace(regexp_extract(replace(name, '\\', '/'), '([^/]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g') END AS safe FROM n")
 def safe_names(spark, d):
     k = F.col("p_size")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
+from tessera.operators import footprints
 from tessera.operators import georeference as G
 from tessera.operators import points as P
 from tessera.operators import tiles as T
 from tessera.sources.raw import decimated
+from tessera.sources.shared import written
 
 SENSORS_SRC, SENSORS_REF = ("OHRC", "TMC", "TMC_FWD", "TMC_AFT", "IIRS"), ("NAC", "WAC", "SELENE")
 
@@ -399,6 +401,51 @@ def verify(spark: SparkSession, model: Model, shape: tuple[int, int], config: Ru
     return judged.select(P.verdict(F.col("inliers"), F.col("hull"), F.col("entropy"), F.col("effective_rmse"), F.col("score"), target=config.target_rmse).alias("verdict"), "rmse", "rmse_cv", "entropy", "hull", "score", "inliers", P.precision_tier(F.col("effective_rmse")).alias("tier"), F.lit("tie_point_model_residuals").alias("provenance"))
 
 
+# ---------------------------------------------------------------- one grid
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a raster of height x width pixels lies: pixel sizes (a, e) and the upper left corner's metres (c, f)."""
+
+    a: float
+    c: float
+    e: float
+    f: float
+    height: int
+    width: int
+
+    @property
+    def box(self) -> tuple[float, float, float, float]:
+        return self.c, self.f + self.e * self.height, self.c + self.a * self.width, self.f
+
+
+@dataclass
+class OneGrid:
+    source: DataFrame
+    reference: DataFrame
+    grid: G.Grid
+    method: str
+    native: tuple[DataFrame, G.Grid] | None = None
+
+
+def on_one_grid(source: DataFrame, at: Place, reference: DataFrame, ref_at: Place, wide_angle: bool = False) -> OneGrid:
+    """Both rasters on the grid of the part that they share, in the harmonised GSD, with the resampler that the ratio of their scales
+    asks for; against a wide-angle reference of at least three times the pixel also the source in its own GSD."""
+    left, bottom = max(at.box[0], ref_at.box[0]), max(at.box[1], ref_at.box[1])
+    right, top = min(at.box[2], ref_at.box[2]), min(at.box[3], ref_at.box[3])
+    if left >= right or bottom >= top:
+        raise ValueError("the rasters share no part")
+    own, other, wide = F.lit(abs(at.a)), F.lit(abs(ref_at.a)), F.lit(wide_angle)
+    ratio = footprints.gsd_ratio(own, other)
+    rule = source.sparkSession.range(1).select(footprints.harmonized_gsd(own, other, wide).alias("gsd"), footprints.resampler(ratio).alias("method"), footprints.native_crop(wide, ratio).alias("native")).first()
+    box = (left, bottom, right, top)
+    grid = G.common_grid(box, rule["gsd"])
+    onto = lambda tiles, place, g, method: G.harmonised(tiles, (place.a, place.c, place.e, place.f), g, method)
+    native = G.common_grid(box, abs(at.a)) if rule["native"] else None
+    return OneGrid(onto(source, at, grid, rule["method"]), onto(reference, ref_at, grid, rule["method"]), grid, rule["method"], None if native is None else (onto(source, at, native, "bilinear"), native))
+
+
 @dataclass
 class Registration:
     drift: Coarse
@@ -408,8 +455,12 @@ class Registration:
     report: DataFrame
 
 
-def register(source: DataFrame, reference: DataFrame, shape: tuple[int, int], ref_shape: tuple[int, int], config: RunConfig = RunConfig()) -> Registration:
-    """The whole run on two rasters of the same grid."""
+def register(source: DataFrame, reference: DataFrame, shape: tuple[int, int], ref_shape: tuple[int, int], config: RunConfig = RunConfig(), places: tuple[Place, Place] | None = None) -> Registration:
+    """The whole run on two rasters. With places they are brought onto one grid first; without, they are on the same grid."""
+    if places is not None:
+        one = on_one_grid(source, places[0], reference, places[1], config.sensor_ref == "WAC")
+        source, reference = (written(x, "harmonised").withColumn("image_id", F.lit(n)) for x, n in ((one.source, "source"), (one.reference, "reference")))
+        shape = ref_shape = (one.grid.height, one.grid.width)
     drift = coarse(source, reference, min(shape[0], ref_shape[0]), min(shape[1], ref_shape[1]), config)
     candidates = match(source, reference, shape, ref_shape, drift, config).persist()
     rows = lambda df: df.select("sx", "sy", "rx", "ry").orderBy("sy", "sx").toPandas().to_numpy()

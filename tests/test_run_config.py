@@ -87,3 +87,19 @@ def test_padding_has_one_rule(spark, confidence, dx, height, want):
 
 def test_manual_drift_counts():
     assert R.coarse(None, None, 10, 10, replace(R.RunConfig(), manual_dx=4.0, manual_dy=-1.0)).method == "manual"
+
+
+def test_rasters_of_two_scales_meet_on_one_grid(spark):
+    """One scene seen with pixels of 4 and 8 metres, from corners apart: on the common grid they are the same image."""
+    fine = K.gaussian(np.random.default_rng(9).normal(size=(320, 320)), 6.0)
+    fine = (fine - fine.min()) / np.ptp(fine) * 200 + 20
+    wide = fine.reshape(160, 2, 160, 2).mean((1, 3))
+    at, ref_at = R.Place(4.0, 1000.0, -4.0, 5000.0, 300, 280), R.Place(8.0, 1160.0, -8.0, 4920.0, 140, 140)
+    one = R.on_one_grid(T.tiles_of(spark, "a", fine[:300, :280], 128), at, T.tiles_of(spark, "b", wide[10:150, 20:160], 64), ref_at)
+    assert (one.grid.gsd, one.grid.left, one.grid.top, one.method, one.native) == (8.0, 1160.0, 4920.0, "lanczos", None)
+    a, b = (T.array_of(x, one.grid.height, one.grid.width).astype(float)[5:-5, 5:-5] for x in (one.source, one.reference))
+    assert np.abs(a - b).mean() < 2 and np.corrcoef(a.ravel(), b.ravel())[0, 1] > 0.99
+    crop = R.on_one_grid(T.tiles_of(spark, "a", fine[:300, :280], 128), R.Place(2.0, 1000.0, -2.0, 5000.0, 300, 280), T.tiles_of(spark, "b", wide, 64), ref_at, wide_angle=True)
+    assert crop.native[1].gsd == 2.0 and crop.native[1].width == 4 * crop.grid.width
+    with pytest.raises(ValueError):
+        R.on_one_grid(None, at, None, R.Place(8.0, 9e6, -8.0, 4920.0, 10, 10))
