@@ -1,6 +1,7 @@
 """URL filters: rules by host and path, and trust and distrust that spread over the graph of hosts, in DataFrame expressions.
 
-Hosts of which rules block no page or allow one are trusted seeds, hosts of which rules block more than half are blocked seeds.
+Hosts of which rules allow a page are trusted seeds (where there are none, those of which rules block no page), hosts of which rules
+block more than half are blocked seeds.
 Personalised PageRank carries trust along links and distrust against them; a host with more distrust than trust is blocked.
 Links are the hosts that pages name in href and src, and those of each host with the host one label above it, if it has pages."""
 
@@ -122,7 +123,8 @@ def judged(pages: DataFrame, rules: DataFrame, rounds: int | None = None) -> Dat
     ruled = written(judged_by_rules(cut, rules, common), "ruled-pages")
     hosts = ruled.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("blocked"), F.count("*").alias("n"))
     hosts = written(hosts.where("host != ''"), "hosts")
-    trusted = (F.col("allowed") > 0) | (F.col("blocked") == 0)
+    any_allowed = not hosts.where("allowed > 0").isEmpty()
+    trusted = F.col("allowed") > 0 if any_allowed else F.col("blocked") == 0
     share = hosts.select("host", trusted.cast("double").alias("a"), (2 * F.col("blocked") > F.col("n")).cast("double").alias("b"))
     all_a, all_b = (x or 0.0 for x in share.agg(F.sum("a"), F.sum("b")).first())
     seeds = share.select("host", (F.col("a") / max(all_a, 1.0)).alias("trust"), (F.col("b") / max(all_b, 1.0)).alias("distrust"))
@@ -158,7 +160,8 @@ def _sql(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
     p AS (SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     fits AS (SELECT page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) AS k FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
     ruled AS (SELECT p.page_id, p.host, p.path, rule, verdict FROM p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (page_id)),
-    h AS (SELECT host, bool_or(coalesce(verdict = 'allow', false)) OR NOT bool_or(coalesce(verdict = 'block', false)) AS a, 2 * count(*) FILTER (verdict = 'block') > count(*) AS b FROM ruled WHERE host <> '' GROUP BY host),
+    v AS (SELECT host, count(*) FILTER (verdict = 'allow') AS n_allow, count(*) FILTER (verdict = 'block') AS n_block, count(*) AS n FROM ruled WHERE host <> '' GROUP BY host),
+    h AS (SELECT host, CASE WHEN max(n_allow) OVER () > 0 THEN n_allow > 0 ELSE n_block = 0 END AS a, 2 * n_block > n AS b FROM v),
     links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?(?:https?:)?//([^/?#"''\\s>]+)', 1)), '{_UPPER}', '{_LOWER}') AS dst FROM p),
     up AS (SELECT h.host AS src, q.host AS dst FROM h JOIN h q ON q.host = regexp_extract(h.host, '^[^.]*\\.(.+)$', 1)),
     e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS n FROM (SELECT src, dst FROM links WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) GROUP BY src, dst),

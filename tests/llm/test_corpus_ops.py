@@ -444,6 +444,15 @@ def test_distrust_flows_to_linking_hosts(spark):
     assert got["good.test"]["verdict"] == "allow" and got["bad.com"]["verdict"] == "block"
 
 
+def test_trust_starts_at_allowed_hosts(spark):
+    """A host that a rule allows is the only seed of trust; what it links to is trusted, and others are not."""
+    page = lambda k, h, to, path="x": (k, f"http://{h}/{path}", "".join(f'<a href="https://{t}/">' for t in to), None, None)
+    rows = [page(1, "a.example.com", ["friend.test"], "en/7"), page(2, "friend.test", []), page(3, "alone.test", []), page(4, "b.com", [], "en/1")]
+    got = {r["host"]: r for r in urls.judged(spark.createDataFrame(rows, PAGES), urls.rules_table(spark)).collect()}
+    assert got["friend.test"]["trust"] > 0 == got["alone.test"]["trust"] and got["a.example.com"]["trust"] > 0
+    assert got["alone.test"]["verdict"] == "allow"
+
+
 def test_page_rank_against_matrices(spark):
     rng = np.random.default_rng(5)
     n = 12
