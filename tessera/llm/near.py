@@ -20,6 +20,8 @@ SHINGLE, LINKED = 5, (4, 5)
 BANDS, ROWS = 32, 4
 #: Rounds that compare each class of a key with one of them, before all with all of those not joined yet.
 STARS = 2
+#: Classes under one key that a task compares; larger groups are dealt out as pairs of tiles this size.
+TILE = 4096
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +74,7 @@ def _rooted(filed: DataFrame, linked: DataFrame | None) -> DataFrame:
 
 def links(filed: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that join the same classes as all pairs filed (key, cls, n) under one key whose sets (cls, found) are similar
-    enough. Rounds of stars join most; what they don't is compared all with all, so no pair is left out."""
+    enough. Rounds of stars join most; what they don't is compared all with all inside tasks, so no pair is left out."""
     x, y = sets.select(F.col("cls").alias("a"), F.col("found").alias("left")), sets.select(F.col("cls").alias("b"), F.col("found").alias("right"))
     p, q = LINKED
 
@@ -88,9 +90,69 @@ def links(filed: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = open_keys.join(centres.select("key", F.col("c.cls").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("other")), "key").where("root != other")
         new = similar(pairs.select(F.col("cls").alias("a"), "b", "n", "m"))
         linked = new if linked is None else linked.unionByName(new)
-    open_keys = written(_rooted(filed, linked), "near-open")
-    other = open_keys.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return linked.unionByName(similar(open_keys.join(other, "key").where("root < other").select(F.col("cls").alias("a"), "b", "n", "m")))
+    return linked.unionByName(written(_compared(_rooted(filed, linked), sets), "near-links"))
+
+
+def _across(cls: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of classes with their roots and sets the links between different roots, one for each two roots that have any. The shingles are
+    sorted once; a class's shared ones with all others are counted from their places."""
+    p, q = LINKED
+    sizes = np.array([len(x) for x in found])
+    flat, owner = np.concatenate(found), np.repeat(np.arange(len(cls)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    roots, counts = np.unique(root, return_counts=True)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for k in np.flatnonzero(root != roots[np.argmax(counts)]):  # a pair of two roots has one that isn't in the largest
+        lo, hi = np.searchsorted(flat, found[k], "left"), np.searchsorted(flat, found[k], "right")
+        size = hi - lo
+        places = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(owner[places], minlength=len(cls))
+        for y in np.flatnonzero((q * shared >= p * (sizes[k] + sizes - shared)) & (root != root[k])).tolist():
+            out.setdefault((min(root[k], root[y]), max(root[k], root[y])), (int(cls[k]), int(cls[y])))
+    return list(out.values())
+
+
+def _compared(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes of different roots under one key (key, cls, n, root), all with all. Pairs are made and held
+    against the exact similarity inside a task, and only links leave it; a key with over TILE classes is dealt out by tile, each pair
+    of tiles a group of its own, so a task's memory is bounded by two tiles' sets."""
+    counts = open_keys.groupBy("key").agg(F.count("*").alias("k"))
+    tiles, own = F.ceil(F.col("k") / F.lit(TILE)).cast("int"), F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    dealt = open_keys.join(counts, "key").withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "root").join(sets, "cls").select("grp", "cls", "root", "found")
+
+    def compare(batches):
+        held: list[pa.Table] = []
+
+        def done(t: pa.Table):
+            grp = t.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
+            links = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                one = t.slice(a, b - a).combine_chunks()
+                lists = one.column(3).combine_chunks()
+                found = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+                links += _across(one.column(1).to_numpy(), one.column(2).to_numpy(), found)
+            if links:
+                pair = np.array(links, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, k].copy(), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= 2 * TILE:
+                whole = pa.concat_tables(held)
+                grp = whole.column(0).to_numpy()
+                cut = int(np.searchsorted(grp, grp[-1]))  # the last group may go on
+                if cut:
+                    yield from done(whole.slice(0, cut))
+                held = [whole.slice(cut)]
+        if held:
+            yield from done(pa.concat_tables(held))
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long")
 
 
 def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

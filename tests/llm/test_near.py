@@ -53,6 +53,24 @@ def test_all_open_pairs_are_compared(spark, monkeypatch):
                 words[rng.randrange(120)] = word()
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_components(rows)
     assert 6 < len(set(want.values())) < len(rows)
-    for stars in (1, 2):
+    for stars, tile in ((1, 4096), (1, 5), (2, 4096)):
         monkeypatch.setattr(near, "STARS", stars)
+        monkeypatch.setattr(near, "TILE", tile)
         assert {r["id"]: r["component_id"] for r in near.clusters(docs.withColumn("x", F.lit(1))).collect()} == want
+
+
+def test_links_across_roots():
+    rng = random.Random(6)
+    found = [near.np.unique(near.np.array([rng.randrange(40) for _ in range(rng.randrange(8, 20))], near.np.int64)) for _ in range(60)]
+    found += [near.np.unique(near.np.append(x[1:], 99)) for x in found[:20]]
+    cls, root = near.np.arange(80), near.np.array([rng.randrange(12) for _ in range(80)])
+    want = set()
+    for a, b in combinations(range(80), 2):
+        x, y = set(found[a].tolist()), set(found[b].tolist())
+        if root[a] != root[b] and 5 * len(x & y) >= 4 * len(x | y):
+            want.add((min(root[a], root[b]), max(root[a], root[b])))
+    got = near._across(cls, root, found)
+    assert {tuple(sorted((root[a], root[b]))) for a, b in got} == want and len(got) == len(want) > 3
+    for a, b in got:
+        x, y = set(found[a].tolist()), set(found[b].tolist())
+        assert 5 * len(x & y) >= 4 * len(x | y)
