@@ -188,8 +188,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         parts = json.loads(model)
         self.apart = follows(parts)
-        added = [re.escape(t["content"]) for t in parts.get("added_tokens") or []]
-        self.added = re.compile("|".join(added), re.I) if added else None
+        added = parts.get("added_tokens") or []
+        self.added = [t["content"] for t in added if not t.get("normalized")]  # found in the text as it is
+        folded = [re.escape(t["content"]) for t in added if t.get("normalized")]
+        self.folded = re.compile("|".join(folded), re.I) if folded else None
         if not self.apart:
             return
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
@@ -228,7 +230,7 @@ class WordEncoder:
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         s = text.decode()
-        if not self.apart or (self.added and self.added.search(s)):
+        if not self.apart or any(t in s for t in self.added) or (self.folded and self.folded.search(s)):
             return self._whole(s)
         if not _PLAIN.fullmatch(s):
             return b"".join([self.encode(w) if _PLAIN.fullmatch(w.decode()) else self._whole(w.decode()) for w in text.split()])
