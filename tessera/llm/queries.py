@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, quality, simhash, substrings, tokenfile, toxicity, urls
+from . import bpe, chat, decontaminate, importance, pii, quality, simhash, substrings, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
+    "op11_importance": importance.op11_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": chat.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op6_substrings": substrings.OP6_SQL, "op10_urls": urls.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.OP4_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_substrings": substrings.OP6_SQL,
+    "op10_urls": urls.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
+}
