@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, pii, quality, simhash, substrings, tokenfile, toxicity, urls
+from . import bpe, chat, decontaminate, importance, multiindex, pii, quality, simhash, substrings, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
     "op11_importance": importance.op11_importance,
+    "op12_multiindex": multiindex.op12_multiindex,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substrings": substrings.OP6_SQL,
     "op10_urls": urls.OP10_SQL,
     "op11_importance": importance.OP11_SQL,
+    "op12_multiindex": multiindex.OP12_SQL,
 }
