@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, importance, multiindex, pii, quality, simhash, substrings, tokenfile, toxicity, urls
+from . import balltree, bpe, chat, decontaminate, importance, multiindex, pii, quality, simhash, substrings, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": urls.op10_urls,
     "op11_importance": importance.op11_importance,
     "op12_multiindex": multiindex.op12_multiindex,
+    "op13_balltree": balltree.op13_balltree,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_urls": urls.OP10_SQL,
     "op11_importance": importance.OP11_SQL,
     "op12_multiindex": multiindex.OP12_SQL,
+    "op13_balltree": balltree.OP13_SQL,
 }
