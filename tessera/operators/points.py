@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, half_even, horner
-from tessera.operators.quantiles import by_passes, exact_percentiles, grouped_percentiles
+from tessera.operators.quantiles import by_passes, exact_percentiles, grouped_percentiles, number
 
 # ---------------------------------------------------------------- spread over the scene
 
@@ -51,7 +51,7 @@ def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), passe
             return df.sparkSession.range(1).select(*(F.lit(exact_percentiles(df, c, (0.5,))[0]).cast("double").alias(f"med_{c}") for c in columns))
         each = [grouped_percentiles(df, c, (0.5,), by).withColumnRenamed("q0", f"med_{c}") for c in columns]
         return reduce(lambda a, b: a.join(b, list(by)), each)
-    return df.groupBy(*by).agg(*(F.median(c).alias(f"med_{c}") for c in columns))
+    return df.groupBy(*by).agg(*(F.median(number(c)).alias(f"med_{c}") for c in columns))
 
 
 def _beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -60,7 +60,9 @@ def _beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
-    """Rows within max(factor * MAD, floor) of the median on all columns; passes as for medians()."""
+    """Rows within max(factor * MAD, floor) of the median on all columns; passes as for medians(). A row with a NaN or null stays
+    out."""
+    passes = by_passes(df, passes)
     held = _beside(df, medians(df, columns, by, passes), by)
     away = held.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns})
     devs = medians(away, [f"dev_{c}" for c in columns], by, passes)

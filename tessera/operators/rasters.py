@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, valid
-from tessera.operators.quantiles import by_passes, exact_percentiles, grouped_percentiles
+from tessera.operators.quantiles import by_passes, exact_percentiles, grouped_percentiles, number
 
 #: Fixed values of the push-frame instrument's colour mode: lines of a frame, and the lines of each band in it, by index and by
 #: wavelength in nm.
@@ -89,7 +89,7 @@ def percentile_stretch(df: DataFrame, low: float = 0.02, high: float = 0.98, lea
     """v from its low to its high percentile as a byte (u8): percentiles of valid values, the high one of all values if
     high_of_all. Groups with under least valid values are only clipped. passes: percentiles by passes of binned counts, where one
     aggregate's state can't hold a group's different values; unless told, large tables go that way."""
-    q = lambda x, share: F.percentile(x, F.lit(share))
+    q = lambda x, share: F.percentile(number(x), F.lit(share))
     ok = F.when(valid("v"), F.col("v"))
     passes = by_passes(df, passes)
     if passes and by:
@@ -137,7 +137,7 @@ def shadow_mask(df: DataFrame, share: float = 0.05, radius: int = 3, least: int
         only, n = df.where(valid("v")), df.groupBy(*by).agg(F.count_if(valid("v")).alias("n"))
         stats = n.join(grouped_percentiles(only, "v", (share,), by).withColumnRenamed("q0", "floor"), list(by), "left") if by else n.withColumn("floor", F.lit(exact_percentiles(only, "v", (share,))[0]).cast("double"))
     else:
-        stats = df.groupBy(*by).agg(F.percentile(F.when(valid("v"), F.col("v")), F.lit(share)).alias("floor"), F.count_if(valid("v")).alias("n"))
+        stats = df.groupBy(*by).agg(F.percentile(number(F.when(valid("v"), F.col("v"))), F.lit(share)).alias("floor"), F.count_if(valid("v")).alias("n"))
     flagged = (df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))).select(*by, "row", "col", "v", "n", (F.col("v") <= F.col("floor")).alias("dark"))
     disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
     around = F.inline(F.array(*(F.struct((F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col")) for dy, dx in disc)))

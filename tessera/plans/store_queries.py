@@ -325,7 +325,7 @@ def label_corners(spark, d):
     return L.bounds(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), _label("s_suppkey").alias("xml")))
 
 
-@query("label_metadata", "SELECT s_suppkey AS id, s_suppkey / 4.0::DOUBLE / 1000.0::DOUBLE AS exposure_s, CASE s_suppkey % 3 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC_FORE' ELSE 'IIRS' END AS sensor, CAST(s_suppkey + 100 AS INT) AS lines, 64 AS samples, s_suppkey % 9 AS \"offset\", '>u2' AS dtype, 61.0::DOUBLE AS seconds FROM supplier")
+@query("label_metadata", "SELECT s_suppkey AS id, s_suppkey / 4.0::DOUBLE / CASE WHEN s_suppkey / 4.0::DOUBLE > 10 THEN 1000000.0::DOUBLE ELSE 1000.0::DOUBLE END AS exposure_s, CASE s_suppkey % 3 WHEN 0 THEN 'OHRC' WHEN 1 THEN 'TMC_FORE' ELSE 'IIRS' END AS sensor, CAST(s_suppkey + 100 AS INT) AS lines, 64 AS samples, s_suppkey % 9 AS \"offset\", '>u2' AS dtype, 61.0::DOUBLE AS seconds FROM supplier")
 def label_metadata(spark, d):
     m = L.metadata(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), _label("s_suppkey").alias("xml")))
     seconds = (F.unix_timestamp(F.col("stop").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))).cast("double")
@@ -340,18 +340,25 @@ def _points_back(spark, d, decimals):
     write_points(t.drop("score") if decimals == 2 else t, f"{folder}/points", decimals)
     back = L.first_valid_points(spark, [f"{folder}/none", f"{folder}/other", f"{folder}/points"])
     score = back["ecc_rho"] if decimals == 4 else F.lit(0.0)
-    return back.groupBy(F.col("src_y").alias("sy")).agg(F.count("*").alias("n"), *(r(F.sum(c), 3).alias(n) for c, n in (("src_x", "sx"), ("ref_x", "rx"), ("ref_y", "ry"))), r(F.sum(score), 3).alias("score"))
+    # Whole numbers of the last decimal, whose sums depend on no order.
+    units = lambda c: F.sum(F.rint(c * 10.0**decimals).cast("long"))
+    return back.groupBy(F.col("src_y").alias("sy")).agg(F.count("*").alias("n"), *(units(F.col(c)).alias(n) for c, n in (("src_x", "sx"), ("ref_x", "rx"), ("ref_y", "ry"))), units(score).alias("score"))
 
 
-_POINTS_SQL = "WITH {tp} SELECT sy, count(*) AS n, round(sum(sx), 3) + 0.0 AS sx, round(sum(round(rx, {k})), 3) + 0.0 AS rx, round(sum(round(ry, {k})), 3) + 0.0 AS ry, round(sum({score}), 3) + 0.0 AS score FROM tp GROUP BY sy"
+_UNITS = "CAST(sum(CAST(round_even({v} * {m}.0::DOUBLE, 0) AS BIGINT)) AS BIGINT)"
 
 
-@query("candidate_csv", _POINTS_SQL.format(tp=TP, k=2, score="0.0::DOUBLE"))
+def _points_sql(decimals: int, score: str) -> str:
+    unit = lambda v: _UNITS.format(v=f"round({v}, {decimals})", m=10**decimals)
+    return f"WITH {TP} SELECT sy, count(*) AS n, {unit('sx')} AS sx, {unit('rx')} AS rx, {unit('ry')} AS ry, {unit(score)} AS score FROM tp GROUP BY sy"
+
+
+@query("candidate_csv", _points_sql(2, "0.0::DOUBLE"))
 def candidate_csv(spark, d):
     return _points_back(spark, d, 2)
 
 
-@query("refined_csv", _POINTS_SQL.format(tp=TP, k=4, score="round(score / 3, 4)"))
+@query("refined_csv", _points_sql(4, "score / 3"))
 def refined_csv(spark, d):
     return _points_back(spark, d, 4)
 

@@ -87,7 +87,7 @@ def test_residuals_without_inliers_use_all_points(spark):
 def test_exact_percentiles(spark, n):
     v = np.random.default_rng(n).choice([1.5, 2.0, 1e6, -3.0, 7.25], n) if n < 5000 else np.random.default_rng(0).normal(size=n) ** 3
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    got = exact_percentiles(df, "v", (0.02, 0.5, 0.98), bins=16, most=50)
+    got = exact_percentiles(df, "v", (0.02, 0.5, 0.98))
     assert got == ([None] * 3 if n == 0 else pytest.approx(np.percentile(v, [2, 50, 98]).tolist()))
 
 
@@ -147,7 +147,7 @@ def test_passes_give_what_aggregates_give(spark):
     rng = np.random.default_rng(4)
     rows = [(None if g == 3 else g, float(x), float(y), float(e)) for g in range(4) for x, y, e in zip(rng.normal(size=400), rng.integers(0, 5, 400), rng.exponential(size=400), strict=True)]
     df = spark.createDataFrame(rows, "g int, dx double, dy double, err double").withColumns({"sx": F.lit(0.0), "sy": F.monotonically_increasing_id() % 97 * 1.0, "rx": F.col("dx"), "ry": F.col("dy") + F.monotonically_increasing_id() % 97})
-    got = Q.grouped_percentiles(df, "dx", (0.02, 0.5, 0.98), ["g"], bins=4, most=10).orderBy("g").collect()
+    got = Q.grouped_percentiles(df, "dx", (0.02, 0.5, 0.98), ["g"]).orderBy("g").collect()
     want = df.groupBy("g").agg(F.percentile("dx", F.lit(0.02)), F.percentile("dx", F.lit(0.5)), F.percentile("dx", F.lit(0.98))).orderBy("g").collect()
     assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1:] for r in got], [r[1:] for r in want])
     known = df.where("g is not null")
@@ -156,3 +156,20 @@ def test_passes_give_what_aggregates_give(spark):
         names = sorted(b.columns)
         a, b = (x[names].sort_values(names).to_numpy(float) for x in (a, b))
         assert a.shape == b.shape and np.allclose(a, b)
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, np.nan, np.nan, np.nan], [np.inf, 1.0, 2.0, 3.0], [-np.inf, -np.inf, 0.0, np.inf], [-0.0, 0.0, 5.0, 5.0], [1e308, -1e308, 1e-300, 2.0, None]])
+def test_percentiles_both_ways(spark, values):
+    """NaN and nulls are no values, infinities are, by Spark's aggregate and by passes; passes end whatever the values are."""
+    df = spark.createDataFrame([(k % 2, v) for k, v in enumerate(values * 3)], "g int, v double")
+    assert str(P.medians(df, ["v"], passes=True).collect()) == str(P.medians(df, ["v"], passes=False).collect())
+    both = [sorted((r["g"], str(r["med_v"])) for r in P.medians(df, ["v"], ["g"], passes=p).collect() if r["med_v"] is not None) for p in (True, False)]
+    assert both[0] == both[1]
+
+
+def test_wide_percentiles_end(spark):
+    """Numbers over all magnitudes, with one infinity among many."""
+    v = [float(2.0 ** (k % 2000 - 1000)) for k in range(20_000)] + [float("inf")]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = exact_percentiles(df, "v", (0.0, 0.25, 0.5, 1.0))
+    assert got == [np.percentile(v, 0), np.percentile(v, 25), np.percentile(v, 50), np.inf]
