@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
+from tessera.sources.shared import written
 
 TILE = "image_id string, row_off int, col_off int, h int, w int, dtype string, px binary"
 
@@ -155,8 +157,9 @@ def _corner_rows(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool = False, least: int = 4) -> DataFrame:
-    """The points of each group (a tile's matches) that one similarity or affine explains; groups under least points have none."""
+def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool = False, least: int = 4, most: int = 200_000) -> DataFrame:
+    """The points of each group (a tile's matches) that one similarity or affine explains; groups under least points have none. Groups
+    are counted first; those of over most points, which no task should hold, go by robust_by_rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < least:
@@ -164,47 +167,112 @@ def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool =
         _, ok = K.ransac(pdf[["sx", "sy"]].to_numpy(), pdf[["rx", "ry"]].to_numpy(), threshold, affine)
         return pdf[ok]
 
-    return points.groupBy(by).applyInPandas(run, points.schema)
+    large = [r[0] for r in points.groupBy(by).count().where(F.col("count") > most).select(by).limit(1).collect()]
+    if not large:
+        return points.groupBy(by).applyInPandas(run, points.schema)
+    groups = written(points.groupBy(by).agg(F.count("*").alias("__n")), "groups")
+    near = lambda cond: points.join(groups.where(cond).select(F.col(by).alias("__by")), F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+    small = near(F.col("__n") <= most).groupBy(by).applyInPandas(run, points.schema)
+    return small.unionByName(robust_by_rows(near(F.col("__n") > most), by, threshold, affine))
 
 
-def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, sample: int = 2000, seed: int = 7, affine: bool = True) -> tuple[np.ndarray | None, DataFrame]:
-    """(model, inliers) over points that don't fit one task: hypotheses (affine, or similarities) are drawn from a small seeded
-    sample of different points; all score all points by one aggregation (a counter for each); the best affine is fitted to its
-    inliers by sums."""
-    places, need = points.select("sx", "sy", "rx", "ry").distinct(), 3 if affine else 2
-    held = places.orderBy(F.xxhash64("sx", "sy", "rx", "ry", F.lit(seed)), "sx", "sy", "rx", "ry").limit(sample).toPandas().to_numpy()
-    if len(held) < need:
-        return None, points.limit(0)
-    rng, models = np.random.default_rng(seed), []
-    for _ in range(20 * hypotheses):  # degenerate samples are drawn again
-        if len(models) == hypotheses:
+def _hypotheses(held: np.ndarray, count: int, affine: bool, seed: int) -> np.ndarray:
+    """Models (n, 6) through random rows (sx, sy, rx, ry); degenerate picks are drawn again."""
+    need, rng, models = 3 if affine else 2, np.random.default_rng(seed), []
+    for _ in range(20 * count if len(held) >= need else 0):
+        if len(models) == count:
             break
         pick = held[rng.choice(len(held), need, replace=False)]
         if affine and abs(np.linalg.det(np.column_stack([pick[:, :2], np.ones(3)]))) > 1e-6:
-            models.append(K.fit_affine(pick[:, :2], pick[:, 2:]))
+            models.append(K.fit_affine(pick[:, :2], pick[:, 2:]).ravel())
         elif not affine and np.hypot(*(pick[0, :2] - pick[1, :2])) > 1e-6:
-            models.append(K.fit_similarity(pick[:, :2], pick[:, 2:]))
-    if not models:
-        return None, points.limit(0)
+            models.append(K.fit_similarity(pick[:, :2], pick[:, 2:]).ravel())
+    return np.array(models).reshape(-1, 6)
+
+
+def _counted(models: np.ndarray, p: np.ndarray, threshold: float) -> np.ndarray:
+    """How many rows (sx, sy, rx, ry) each model explains; blocks of rows against all models, in products of matrices."""
+    out, step = np.zeros(len(models), np.int64), max(1, (1 << 20) // max(1, len(models)))
+    for k in range(0, len(p), step):
+        b = p[k : k + step]
+        places = np.column_stack([b[:, :2], np.ones(len(b))])
+        out += (np.hypot(places @ models[:, :3].T - b[:, 2:3], places @ models[:, 3:].T - b[:, 3:4]) <= threshold).sum(0)
+    return out
+
 
-    def error(m: np.ndarray):
-        a, b, c, d, e, f = (F.lit(float(v)) for v in m.ravel())
-        return F.hypot(a * F.col("sx") + b * F.col("sy") + c - F.col("rx"), d * F.col("sx") + e * F.col("sy") + f - F.col("ry"))
+def _within(model: Sequence[float], threshold: float) -> Column:
+    a, b, c, d, e, f = (F.lit(float(v)) for v in model)
+    return F.hypot(a * F.col("sx") + b * F.col("sy") + c - F.col("rx"), d * F.col("sx") + e * F.col("sy") + f - F.col("ry")) <= threshold
+
+
+_PLACES = ("sx", "sy", "rx", "ry")
+
+
+def ransac_by_rows(points: DataFrame, threshold: float, hypotheses: int = 200, sample: int = 2000, seed: int = 7, affine: bool = True) -> tuple[np.ndarray | None, DataFrame]:
+    """(model, inliers) over points that don't fit one task: hypotheses (affine, or similarities) are drawn from a small seeded
+    sample of different points; all score all points, in Arrow batches against the matrix of models, of which a task gives one vector
+    of counts; the best affine is fitted to its inliers by sums."""
+    held = written(points.select(*(F.col(c).cast("double").alias(c) for c in _PLACES)), "places")
+    first = held.distinct().orderBy(F.xxhash64(*_PLACES, F.lit(seed)), *_PLACES).limit(sample).toPandas().to_numpy()
+    models = _hypotheses(first, hypotheses, affine, seed)
+    if not len(models):
+        return None, points.limit(0)
 
-    counts = points.agg(*(F.count_if(error(m) <= threshold).alias(f"h{k}") for k, m in enumerate(models))).first()
-    best = models[int(np.argmax(counts))]
-    ok = points.where(error(best) <= threshold)
-    model = fit_affine_by_sums(ok) if affine else None
-    return (best, ok) if model is None else (model, points.where(error(model) <= threshold))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(models), np.int64)
+        for batch in batches:
+            total += _counted(models, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]), threshold)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["k", "n"])
+
+    best = held.mapInArrow(score, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "k").first()  # a row a model
+    model = models[0 if best is None else best["k"]]
+    if not affine:
+        return model.reshape(2, 3), points.where(_within(model, threshold))
+    fit = fit_affine_by_sums(held.where(_within(model, threshold)))
+    model = model.reshape(2, 3) if fit is None else fit
+    return model, points.where(_within(model.ravel(), threshold))
+
+
+def robust_by_rows(points: DataFrame, by: str, threshold: float, affine: bool = False, hypotheses: int = 200, sample: int = 2000, seed: int = 7, chunk: int = 100_000) -> DataFrame:
+    """robust_inliers for groups of any size: each group's hypotheses come from a bounded sample of its different points, its points
+    are dealt out in chunks that meet the group's models, and the model with most points of all chunks wins, the first of equal ones."""
+    kind = dict(points.dtypes)[by]
+    held = written(points.select(F.col(by).alias("g"), *(F.col(c).cast("double").alias(c) for c in _PLACES)), "places")
+    order = Window.partitionBy("g").orderBy(F.xxhash64(*_PLACES, F.lit(seed)), *_PLACES)
+    drawn = held.distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample).drop("__k")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        models = _hypotheses(pdf.sort_values(list(_PLACES))[list(_PLACES)].to_numpy(), hypotheses, affine, seed)
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]] * bool(len(models)), "models": [models.ravel().tolist()] * bool(len(models))})
+
+    models = written(drawn.groupBy("g").applyInPandas(draw, f"g {kind}, models array<double>"), "models")
+    chunks = held.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    split = models.join(chunks, models["g"].eqNullSafe(chunks["g"])).select(models["g"], "models", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = held.join(chunks.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.col("chunks")).cast("int"))
+
+    def score(them: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
+        if not len(them) or not len(its):
+            return pd.DataFrame({"g": [], "k": [], "n": [], "model": []})
+        m = np.array(its["models"].iloc[0]).reshape(-1, 6)
+        n = _counted(m, them[list(_PLACES)].to_numpy(), threshold)
+        return pd.DataFrame({"g": [its["g"].iloc[0]] * len(m), "k": np.arange(len(m)), "n": n, "model": m.tolist()})
+
+    scored = dealt.select("g", "chunk", *_PLACES).groupBy("g", "chunk").cogroup(split.groupBy("g", "chunk")).applyInPandas(score, f"g {kind}, k int, n long, model array<double>")
+    total = scored.groupBy("g", "k").agg(F.sum("n").alias("n"), F.any_value("model").alias("m"))
+    best = written(total.groupBy(F.col("g").alias("__g")).agg(F.max_by("m", F.struct("n", -F.col("k"))).alias("__m")), "best")
+    m = [F.col("__m")[k] for k in range(6)]
+    away = F.hypot(m[0] * F.col("sx") + m[1] * F.col("sy") + m[2] - F.col("rx"), m[3] * F.col("sx") + m[4] * F.col("sy") + m[5] - F.col("ry"))
+    return points.join(best, F.col(by).eqNullSafe(F.col("__g"))).where(away <= threshold).select(*points.columns)
 
 
 def fit_affine_by_sums(points: DataFrame) -> np.ndarray | None:
     """Least squares from one row of sums, centred first."""
-    m = points.agg(*(F.avg(c).alias(c) for c in ("sx", "sy", "rx", "ry")), F.count("*").alias("n")).first()
+    m = points.agg(*(F.avg(c).alias(c) for c in _PLACES), F.count("*").alias("n")).first()
     if not m["n"] or m["n"] < 3:
         return None
-    d = {c: F.col(c) - F.lit(m[c]) for c in ("sx", "sy", "rx", "ry")}
-    s = points.agg(*(F.sum(d[a] * d[b]).alias(f"{a}_{b}") for a in ("sx", "sy") for b in ("sx", "sy", "rx", "ry"))).first()
+    d = {c: F.col(c) - F.lit(m[c]) for c in _PLACES}
+    s = points.agg(*(F.sum(d[a] * d[b]).alias(f"{a}_{b}") for a in ("sx", "sy") for b in _PLACES)).first()
     a = np.array([[s["sx_sx"], s["sx_sy"]], [s["sy_sx"], s["sy_sy"]]])
     if abs(np.linalg.det(a)) < 1e-9:
         return None
