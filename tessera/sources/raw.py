@@ -86,8 +86,12 @@ def write_raw(patches: DataFrame, folder: str, key: str, header: int = 0) -> Dat
 
 
 def load_raster(spark: SparkSession, path: str, label: dict | None = None) -> DataFrame:
-    """Tiles of a product by its suffix: a tile table (Parquet), or raw pixels that a label's row describes."""
+    """Tiles of a product by its suffix: a tile table (Parquet), a GeoTIFF's first band, or raw pixels that a label's row describes."""
     low = path.lower()
+    if low.endswith((".tif", ".tiff")):
+        from tessera.sources.geotiff import read_geotiff
+
+        return read_geotiff(spark, path).drop("band")
     if low.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     if low.endswith((".h5", ".hdf5")):
