@@ -308,3 +308,29 @@ def window_crop(spark, d):
     box = spark.createDataFrame([(0, 30, min(150, height), 5, 55)], "id int, y0 int, y1 int, x0 int, x1 int")
     cut = windows_of(read_window(spark, folder, "image", 30, 5, 120, 50), box, "id")
     return T.long_form(cut, "id").select(F.col("row").cast("long").alias("row"), "col", r("v", 4).alias("v"))
+
+
+@query("dense_rotation", "SELECT s_suppkey, true AS found FROM supplier")
+def dense_rotation(spark, d):
+    """Each supplier's texture against itself turned by 2 to 4 degrees and larger by a twentieth: whether the matches give that back."""
+    from tessera.functions.descriptors import dense_matcher
+
+    def draw(batches):
+        yy, xx = np.mgrid[0:96, 0:96].astype(float)
+        for pdf in batches:
+            rows = []
+            for k in pdf["s_suppkey"]:
+                rng, turn = np.random.default_rng(int(k)), np.deg2rad(2 + k % 3)
+                a = sum(K.gaussian(rng.normal(size=(96, 96)), s) * s for s in (1.5, 3.0)) * 100 + 500
+                x, y = (xx - 47.5) / 1.05, (yy - 47.5) / 1.05
+                b = K.sample(a, -np.sin(turn) * x + np.cos(turn) * y + 47.5, np.cos(turn) * x + np.sin(turn) * y + 47.5, 1)
+                rows.append((k, 96, 96, "<f8", a.tobytes(), 96, 96, "<f8", b.tobytes()))
+            yield type(pdf)(rows, columns=["s_suppkey", "a_h", "a_w", "a_dtype", "a_px", "b_h", "b_w", "b_dtype", "b_px"])
+
+    pairs = table(spark, d, "supplier").select("s_suppkey").repartition("s_suppkey").mapInPandas(draw, "s_suppkey long, a_h int, a_w int, a_dtype string, a_px binary, b_h int, b_w int, b_dtype string, b_px binary")
+    turn = F.radians(2 + F.col("s_suppkey") % 3)
+    x, y = (F.col("sx") - 47.5) * 1.05, (F.col("sy") - 47.5) * 1.05
+    away = F.hypot(F.cos(turn) * x - F.sin(turn) * y + 47.5 - F.col("rx"), F.sin(turn) * x + F.cos(turn) * y + 47.5 - F.col("ry"))
+    found = T.matched(pairs, "s_suppkey", dense_matcher).groupBy("s_suppkey").agg(F.count_if(away < 1.5).alias("good"), F.count("*").alias("n"))
+    held = table(spark, d, "supplier").select("s_suppkey").join(found, "s_suppkey", "left")
+    return held.select("s_suppkey", F.coalesce((F.col("good") >= 20) & (F.col("good") > 0.6 * F.col("n")), F.lit(False)).alias("found"))
