@@ -173,7 +173,8 @@ def mined(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negative
     holds, their best other rows of the same label as positives, and for each the best rows of other labels whose scores are between
     low / of of the positive's and the positive's own. Fewer are returned where there are fewer; a negative window is empty.
 
-    Rows of equal ids are rows of their own, as anchors and as others; rows meet those of their vector's length."""
+    Rows of equal ids are rows of their own, as anchors and as others; rows meet those of their vector's length. Scores beyond 64 bits
+    stay at the ends of the range."""
     asked = rows.where(anchors)
     first = asked.select(F.col("row").alias("query"), F.col("row").alias("own"), "label", "dim", "x", F.lit(_LEAST).alias("low"), F.lit(_MOST).alias("high"))
     near = search(rows, first, positives, True)
