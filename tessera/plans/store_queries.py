@@ -404,3 +404,34 @@ def typed_downloads(spark, d):
     links = table(spark, d, "orders").select(k.alias("job_id"), F.when(k % 2 == 0, "metrics_json").otherwise("native_tif").alias("file_type"), F.concat(F.lit("/x/"), k.cast("string")).alias("path"))
     files = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("/x/"), k.cast("string")).alias("path"))
     return J.existing_outputs(links, files)
+
+
+# ---------------------------------------------------------------- rays by time
+
+#: Attitude and position samples of one craft, by customer: every half second, but for a gap.
+_CRAFT = """s AS (SELECT c_custkey * 0.5::DOUBLE AS t, 0.02::DOUBLE * sin(c_custkey * 0.1::DOUBLE) AS h, c_custkey * 0.001::DOUBLE AS u FROM customer WHERE c_custkey % 97 NOT BETWEEN 40 AND 49),
+    pair AS (SELECT t AS t0, h AS h0, u AS u0, lead(t) OVER w AS t1, lead(h) OVER w AS h1, lead(u) OVER w AS u1 FROM s WINDOW w AS (ORDER BY t)),
+    e AS (SELECT o_orderkey AS id, (o_orderkey % 4000) * 0.01::DOUBLE + 3 AS t, (o_orderkey % 11) / 10.0::DOUBLE AS share FROM orders),
+    m AS (SELECT e.id, e.t, share, t0, t1, (e.t - t0) / (t1 - t0) AS f, h0, h1, u0, u1 FROM e LEFT JOIN (SELECT * FROM pair WHERE t1 - t0 <= 0.75) p ON p.t0 <= e.t AND e.t <= p.t1 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY t0 DESC NULLS LAST) = 1)"""
+
+
+@query("ray_grid", f"""WITH {_CRAFT},
+    k AS (SELECT *, h0 + (h1 - h0) * f AS h, -0.05::DOUBLE + 0.1::DOUBLE * share AS lx, (2*f*f*f - 3*f*f + 1) * 50 * sin(u0) + (f*f*f - 2*f*f + f) * (t1 - t0) * 0.1::DOUBLE * cos(u0) + (3*f*f - 2*f*f*f) * 50 * sin(u1) + (f*f*f - f*f) * (t1 - t0) * 0.1::DOUBLE * cos(u1) AS py FROM m),
+    d AS (SELECT *, lx / sqrt(lx*lx + 1) AS dx, -sin(-2*h) / sqrt(lx*lx + 1) AS dy, -cos(2*h) / sqrt(lx*lx + 1) AS dz FROM k),
+    q AS (SELECT *, dx*dx + dy*dy + dz*dz AS a, py*dy + 1850*dz AS b, py*py + 1850.0::DOUBLE*1850 - 1737.4::DOUBLE*1737.4::DOUBLE AS c FROM d),
+    g AS (SELECT *, (-b - sqrt(b*b - a*c)) / a AS far FROM q)
+    SELECT id, round(degrees(atan2(py + far*dy, far*dx)), 6) + 0.0 AS lon, round(degrees(atan2(1850 + far*dz, sqrt(far*far*dx*dx + (py + far*dy)*(py + far*dy)))), 6) + 0.0 AS lat, CASE WHEN t0 IS NULL THEN 'no attitude' END AS error FROM g""")
+def ray_grid(spark, d):
+    """Pixels of orders, seen by a craft that rolls about x and whose samples are those of customers, on a sphere that doesn't turn; some
+    epochs fall into gaps of its samples."""
+    from tessera.operators.rays import ground_points
+
+    k, zero = F.col("c_custkey"), F.lit(0.0)
+    s = table(spark, d, "customer").where("c_custkey % 97 not between 40 and 49").select(F.lit("craft").alias("craft"), (k * 0.5).alias("t"), (0.02 * F.sin(k * 0.1)).alias("h"), (k * 0.001).alias("u"))
+    # h is the roll's half angle; a slerp between two rolls is linear in it.
+    attitude = s.select("craft", "t", F.cos("h").alias("w"), F.sin("h").alias("x"), zero.alias("y"), zero.alias("z"))
+    position = s.select("craft", "t", zero.alias("px"), (50 * F.sin("u")).alias("py"), F.lit(1850.0).alias("pz"), zero.alias("vx"), (0.1 * F.cos("u")).alias("vy"), zero.alias("vz"))
+    o = F.col("o_orderkey")
+    pixels = table(spark, d, "orders").select(o.alias("id"), F.lit("craft").alias("craft"), ((o % 4000) * 0.01 + 3).alias("t"), ((o % 11) / 10.0).alias("share"))
+    found = ground_points(pixels, attitude, position, (-0.05, 0.0, -1.0), (0.05, 0.0, -1.0), (1737.4,) * 3, gap=0.75)
+    return found.select("id", r("lon").alias("lon"), r("lat").alias("lat"), "error")
