@@ -213,6 +213,7 @@ def poly_fit(spark, d):
 @query("event_stream_retention", "WITH o AS (SELECT user_id AS job_id, ts, event_id, event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT job_id, event_id, title FROM o WHERE rn <= 40")
 def event_stream_retention(spark, d):
     """The events read as a stream, batch by batch, into a table of each job's newest ones; that table when the stream is empty."""
+    from tessera.sources.buckets import BucketedTable
     from tessera.streaming.telemetry import retained_table
 
     at = f"{d}/events.parquet"
@@ -221,8 +222,7 @@ def event_stream_retention(spark, d):
     events = stream.select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("title"))
     query = retained_table(events, f"{folder}/table", f"{folder}/checkpoint", 40)
     query.awaitTermination()
-    held = spark.read.parquet(f"{folder}/table")
-    return held.where(F.col("v") == held.agg(F.max("v")).first()[0]).select("job_id", "event_id", "title")
+    return BucketedTable(spark, f"{folder}/table", "job_id").read().select("job_id", "event_id", "title")
 
 
 @query("trap_verdicts", f"""WITH p AS (SELECT 'twin_craters' AS trap, {G.RING[0]} + {G.RING[1]} * cos(2 * pi() * i / {G.RING[2]}) AS x, {G.RING[0]} + {G.RING[1]} * sin(2 * pi() * i / {G.RING[2]}) AS y FROM range({G.RING[2]}) t(i)

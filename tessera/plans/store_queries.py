@@ -435,3 +435,52 @@ def ray_grid(spark, d):
     pixels = table(spark, d, "orders").select(o.alias("id"), F.lit("craft").alias("craft"), ((o % 4000) * 0.01 + 3).alias("t"), ((o % 11) / 10.0).alias("share"))
     found = ground_points(pixels, attitude, position, (-0.05, 0.0, -1.0), (0.05, 0.0, -1.0), (1737.4,) * 3, gap=0.75)
     return found.select("id", r("lon").alias("lon"), r("lat").alias("lat"), "error")
+
+
+# ---------------------------------------------------------------- jobs as a stream, tables by bucket
+
+_STATUS = "CASE event_id % 5 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN CASE WHEN user_id % 3 = 0 THEN 'FAILED' ELSE 'SUCCESS' END ELSE 'NOTE' END"
+_STALE_S, _LATE_S = 400_000, 60
+
+
+@query("job_stream", f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id, epoch_us(ts) AS us, {_STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    s AS (SELECT DISTINCT job, 0::BIGINT AS rn, NULL::VARCHAR AS status, NULL::BIGINT AS last, 0::BIGINT AS n, NULL::BIGINT AS us, NULL::VARCHAR AS reason FROM e
+        UNION ALL SELECT s.job, s.rn + 1,
+            CASE WHEN s.status IN ('SUCCESS', 'FAILED') THEN s.status WHEN e.us - s.last > {_STALE_S}000000 THEN 'FAILED' WHEN ok THEN e.status ELSE s.status END,
+            CASE WHEN s.status IN ('SUCCESS', 'FAILED') OR e.us - s.last > {_STALE_S}000000 THEN s.last ELSE e.us END,
+            CASE WHEN s.status IN ('SUCCESS', 'FAILED') OR e.us - s.last > {_STALE_S}000000 THEN s.n ELSE s.n + 1 END,
+            CASE WHEN s.status IN ('SUCCESS', 'FAILED') THEN s.us WHEN e.us - s.last > {_STALE_S}000000 THEN s.last + {_STALE_S}000000 WHEN ok THEN e.us ELSE s.us END,
+            CASE WHEN s.status IN ('SUCCESS', 'FAILED') THEN s.reason WHEN e.us - s.last > {_STALE_S}000000 THEN 'stale' WHEN ok THEN 'event' ELSE s.reason END
+        FROM s JOIN LATERAL (SELECT e.*, coalesce(e.status <> 'NOTE' AND (s.status IS NULL OR (s.status = 'PENDING' AND e.status IN ('PROCESSING', 'FAILED')) OR (s.status = 'PROCESSING' AND e.status IN ('SUCCESS', 'FAILED'))), false) AS ok FROM e WHERE e.job = s.job AND e.rn = s.rn + 1) e ON true),
+    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY rn DESC) = 1),
+    g AS (SELECT *, status IS NULL OR status NOT IN ('SUCCESS', 'FAILED') AS open, (SELECT max(us) // 1000 * 1000 + 1000000 FROM e) - last > {_STALE_S}000000 AS silent FROM f)
+    SELECT job AS job_id, CASE WHEN open AND silent THEN 'FAILED' ELSE status END AS status, CASE WHEN open AND silent THEN last + {_STALE_S}000000 ELSE us END AS at_us, CASE WHEN open AND silent THEN 'stale' ELSE reason END AS reason FROM g WHERE status IS NOT NULL OR silent""")
+def job_stream(spark, d):
+    """Each user's events as a job's, read as a stream into a table of jobs. One event of no user, a second after all others, moves the
+    watermark past them."""
+    from tessera.sources.buckets import BucketedTable
+    from tessera.streaming.states import job_table
+
+    events, folder = table(spark, d, "events"), new_folder(spark, "jobs")
+    # Whole milliseconds, as watermarks are.
+    last = F.timestamp_micros((F.floor(F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 1000) * 1000 + (1 + _LATE_S) * 1_000_000).cast("long"))
+    events.agg(F.lit(-1).cast("long").alias("job_id"), last.alias("ts"), F.lit(0).cast("long").alias("event_id"), F.lit("NOTE").alias("status")).write.parquet(f"{folder}/end")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet").select(F.col("user_id").cast("long").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), F.expr(_STATUS).alias("status"))
+    end = spark.readStream.schema("job_id long, ts timestamp, event_id long, status string").parquet(f"{folder}/en[d]")
+    job_table(stream.unionByName(end), f"{folder}/table", f"{folder}/checkpoint", _STALE_S, _LATE_S, keep=10.0**9).awaitTermination()
+    return BucketedTable(spark, f"{folder}/table", "job_id").read().where("job_id >= 0").select("job_id", "status", "at_us", "reason")
+
+
+@query("bucketed_upsert", "SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 'V2' WHEN o_orderkey % 4 = 0 THEN 'V1' ELSE o_orderstatus END AS status, CASE WHEN o_custkey % 10 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_totalprice END AS score FROM orders")
+def bucketed_upsert(spark, d):
+    """Orders as a table by bucket, upserted twice, the second time with a column less, and that batch once more."""
+    from tessera.sources.buckets import BucketedTable
+
+    orders = table(spark, d, "orders")
+    held = BucketedTable(spark, new_folder(spark, "buckets"), "o_orderkey", 8)
+    held.upsert(orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), 0)
+    held.upsert(orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("V1").alias("status"), F.col("o_totalprice").alias("score")), 1)
+    last = orders.where("o_custkey % 10 = 0").select("o_orderkey", F.lit("V2").alias("status"))
+    for _ in range(2):
+        held.upsert(last, 2)
+    return held.read().select("o_orderkey", "status", "score")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.jobs import merged
+from tessera.sources.buckets import BucketedTable
 
 
 def write_points(points: DataFrame, path: str, decimals: int) -> None:
@@ -37,10 +37,11 @@ def read_window(spark: SparkSession, path: str, image_id: str, row_off: int, col
 
 
 def upsert(spark: SparkSession, path: str, updates: DataFrame, key: str, version: int) -> DataFrame:
-    """A new version of a table beside the last one, with updates in place of the rows with their keys."""
-    new = merged(spark.read.parquet(f"{path}/v={version - 1}"), updates, key) if version > 0 else updates
-    new.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return spark.read.parquet(f"{path}/v={version}")
+    """A version of a table, with updates in place of the rows with their keys; only the buckets of those keys are written again, and
+    nothing if the version is there already."""
+    held = BucketedTable(spark, path, key)
+    held.upsert(updates, version)
+    return held.read(version)
 
 
 #: Tables of the dashboard, by key.

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources.buckets import BucketedTable
+
 EVENTS = "job_id long, ts timestamp_ntz, event_id long, title string"
 #: Progress (percent) that each stage of a run reports, in order (fixed values of the interface).
 PROGRESS = (5, 18, 20, 35, 38, 63, 65, 80, 82, 97)
@@ -56,14 +58,10 @@ def windowed_counts(events: DataFrame, window: str = "10 minutes", late: str = "
 
 
 def retained_table(events: DataFrame, path: str, checkpoint: str, most: int = 40) -> StreamingQuery:
-    """Keeps a Parquet table of each job's newest events up to date. A micro-batch writes a whole new version beside the old
-    one; the version's number is the batch's, so a repeated batch writes the same one again."""
+    """Keeps a table (a BucketedTable by job_id) of each job's newest events up to date. A micro-batch writes the buckets of its own jobs
+    again; its number is the version's, so a repeated batch changes nothing."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if epoch > 0:
-            new = spark.read.parquet(f"{path}/v={epoch - 1}").unionByName(batch)
-        batch_retention(new, most).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        BucketedTable(batch.sparkSession, path, "job_id").apply(batch, epoch, lambda before, new: batch_retention(before.unionByName(new), most))
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
