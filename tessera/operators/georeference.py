@@ -177,15 +177,20 @@ def azimuth_gap(a, b):
     return F.least(d, F.lit(360.0) - d)
 
 
-def judged_traps(spark) -> DataFrame:
-    """(trap, inliers, entropy, hull, gap, verdict) of the trap sets: opposite light is a veto, else the gates that judge every run
+def judged_traps(spark, scenes: DataFrame | None = None) -> DataFrame:
+    """(trap, inliers, entropy, hull, gap, verdict) of the trap sets, for each of scenes (scene, mirrored: whether left is right), or once: opposite light is a veto, else the gates that judge every run
     decide. No residuals are made up: RMSE and score are null."""
     traps = spark.createDataFrame([(t, *AZIMUTHS.get(t, (None, None))) for t in TRAPS], "trap string, source_azimuth double, reference_azimuth double")
     points = spark.createDataFrame([(t, float(x), float(y)) for t in TRAPS for x, y in trap_points(t)], "trap string, x double, y double")
-    h = P.spatial_entropy(points, "x", "y", TRAP_SIDE, TRAP_SIDE, 4, 4, by=["trap"])
-    hull = T.hull_shares(points, "x", "y", float(TRAP_SIDE) ** 2, ["trap"])
-    held = traps.join(points.groupBy("trap").agg(F.count("*").alias("inliers")), "trap", "left").join(h, "trap", "left").join(hull, "trap", "left")
+    by = ["trap"]
+    if scenes is not None:
+        # The few trap sets are broadcast to the scenes.
+        by, each = ["scene", "trap"], scenes.select("scene", "mirrored")
+        traps, points = each.select("scene").join(F.broadcast(traps)), each.join(F.broadcast(points)).withColumn("x", F.when(F.col("mirrored"), TRAP_SIDE - F.col("x")).otherwise(F.col("x"))).drop("mirrored")
+    h = P.spatial_entropy(points, "x", "y", TRAP_SIDE, TRAP_SIDE, 4, 4, by=by)
+    hull = T.hull_shares(points, "x", "y", float(TRAP_SIDE) ** 2, by)
+    held = traps.join(points.groupBy(*by).agg(F.count("*").alias("inliers")), by, "left").join(h, by, "left").join(hull, by, "left")
     held = held.withColumns({"inliers": F.coalesce("inliers", F.lit(0)), "entropy": F.coalesce("entropy", F.lit(0.0)), "hull": F.coalesce("share", F.lit(0.0)), "gap": azimuth_gap(F.col("source_azimuth"), F.col("reference_azimuth"))})
     none = F.lit(None).cast("double")
     judged = F.when(F.col("gap") >= OPPOSITE, "REJECTED (Illumination Conflict)").otherwise(P.verdict(F.col("inliers"), F.col("hull"), F.col("entropy"), none, none))
-    return held.select("trap", "inliers", F.round("entropy", 4).alias("entropy"), F.round("hull", 5).alias("hull"), "gap", judged.alias("verdict"))
+    return held.select(*by, "inliers", F.round("entropy", 4).alias("entropy"), F.round("hull", 5).alias("hull"), "gap", judged.alias("verdict"))

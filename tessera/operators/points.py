@@ -194,6 +194,30 @@ def tile_grid(spark: SparkSession, height: int, width: int, size: int, step: int
     return tiles.withColumn("tile_id", F.col("yi") * len(xs) + F.col("xi")).drop("yi", "xi")
 
 
+def tile_grids(images: DataFrame, size: int, step: int, least: int = 200) -> DataFrame:
+    """tile_grid() for a table of images (height, width and others), in column expressions: their columns with tile_id, x0, x1, y0, y1 and
+    the cores (xcore0, xcore1, ycore0, ycore1)."""
+    margin = max(0, (size - step) // 2)
+
+    def axis(n: str) -> Column:
+        n = F.col(n)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: F.least(s + size, n) - s >= least)
+        starts = F.when(F.size(starts) == 0, F.array(F.lit(0))).otherwise(starts)
+
+        def tile(s: Column, k: Column) -> Column:
+            end, before = F.least(s + size, n), F.least(s - step + size, n)
+            low = F.when(k == 0, 0).otherwise(F.greatest(s + margin, F.when(before >= n, n).otherwise(before - margin)))
+            high = F.when((end >= n) | (k == F.size(starts) - 1), n).otherwise(end - margin)
+            return F.struct(k.cast("int").alias("k"), s.cast("int").alias("a"), end.cast("int").alias("b"), low.cast("int").alias("c"), high.cast("int").alias("d"))
+
+        return F.transform(starts, tile)
+
+    both = images.withColumn("__xs", axis("width")).withColumn("__y", F.explode(axis("height"))).withColumn("__x", F.explode("__xs"))
+    names = (("a", "0"), ("b", "1"), ("c", "core0"), ("d", "core1"))
+    places = [F.col(f"__{v}.{k}").alias(f"{v}{n}") for v in "xy" for k, n in names]
+    return both.select(*images.columns, (F.col("__y.k") * F.size("__xs") + F.col("__x.k")).alias("tile_id"), *places)
+
+
 def in_core(points: DataFrame, size: int, step: int, height: int, width: int, least: int = 200) -> DataFrame:
     """points (sx, sy), each with the one tile of tile_grid() (tile_id) whose core holds it; those that none holds are left out.
     An axis's tile is guessed by arithmetic and is that one or one beside it, so nothing is joined."""
@@ -218,6 +242,14 @@ def fixed_grid(spark: SparkSession, height: int, width: int, rows: int, cols: in
     return cells.select((F.col("r") * cols + F.col("c")).alias("tile_id"), (F.col("r") * th).alias("y0"), end("r", rows, th, height).alias("y1"), (F.col("c") * tw).alias("x0"), end("c", cols, tw, width).alias("x1"))
 
 
+def fixed_grids(images: DataFrame, rows: int, cols: int) -> DataFrame:
+    """fixed_grid() for a table of images (height, width and others)."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("tile_id")
+    cells = images.select("*", k).withColumns({"__r": F.floor(F.col("tile_id") / cols), "__c": F.col("tile_id") % cols, "__h": F.floor(F.col("height") / rows), "__w": F.floor(F.col("width") / cols)})
+    end = lambda k, n, size, whole: F.when(F.col(k) == n - 1, F.col(whole)).otherwise((F.col(k) + 1) * F.col(size)).cast("int")
+    return cells.select(*images.columns, "tile_id", (F.col("__r") * F.col("__h")).cast("int").alias("y0"), end("__r", rows, "__h", "height").alias("y1"), (F.col("__c") * F.col("__w")).cast("int").alias("x0"), end("__c", cols, "__w", "width").alias("x1"))
+
+
 def core_assignment(points: DataFrame, x: Column, y: Column, size: int, step: int, height: int, width: int) -> DataFrame:
     """points with the tile (tx, ty) whose core holds them: arithmetic instead of a join, each point once."""
     margin = (size - step) // 2
@@ -229,8 +261,9 @@ def core_assignment(points: DataFrame, x: Column, y: Column, size: int, step: in
     return points.withColumns({"tx": tile(x, width), "ty": tile(y, height)})
 
 
-def search_windows(tiles: DataFrame, slope: tuple[float, float], intercept: tuple[float, float], padding: int, height: int, width: int) -> DataFrame:
-    """Each tile's window in the reference: moved by the drift at its middle row, padded, clamped; empty ones are left out."""
+def search_windows(tiles: DataFrame, slope: tuple, intercept: tuple, padding: int, height: int | Column, width: int | Column) -> DataFrame:
+    """Each tile's window in the reference: moved by the drift at its middle row, padded, clamped; empty ones are left out. Slopes,
+    intercepts and sizes are numbers, or columns of the tiles."""
     middle = (F.col("y0") + F.col("y1")) / 2.0
     dx, dy = slope[0] * middle + intercept[0], slope[1] * middle + intercept[1]
     out = tiles.withColumns({
@@ -287,6 +320,14 @@ def strip_samples(spark: SparkSession, height: int, strips: int = 10, patch: int
     return spark.range(strips).select(F.col("id").cast("int").alias("strip_idx"), middle.alias("row"), top.alias("y0"), (top + size).alias("y1"))
 
 
+def strips_of(images: DataFrame, strips: int = 10, patch: int = 2048) -> DataFrame:
+    """strip_samples() for a table of images (height and others)."""
+    held = images.select("*", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip_idx")).withColumn("row", F.floor((F.col("strip_idx") + 0.5) * F.col("height") / strips).cast("int"))
+    size = F.least(F.lit(patch), F.col("height"))
+    top = F.greatest(F.lit(0), F.least(F.col("height") - size, F.col("row") - F.floor(size / 2))).cast("int")
+    return held.select(*images.columns, "strip_idx", "row", top.alias("y0"), (top + size).cast("int").alias("y1"))
+
+
 def arbitrate(strips: DataFrame, agreement: float = 30.0, dominance: float = 2.0, least_votes: int = 4, forced: bool = False) -> DataFrame:
     """Per strip which of two offsets counts: votes (vdx, vdy, votes) where they are forced, agree with the other or are many;
     else Fourier (fdx, fdy, response)."""

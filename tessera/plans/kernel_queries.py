@@ -225,15 +225,17 @@ def event_stream_retention(spark, d):
     return BucketedTable(spark, f"{folder}/table", "job_id").read().select("job_id", "event_id", "title")
 
 
-@query("trap_verdicts", f"""WITH p AS (SELECT 'twin_craters' AS trap, {G.RING[0]} + {G.RING[1]} * cos(2 * pi() * i / {G.RING[2]}) AS x, {G.RING[0]} + {G.RING[1]} * sin(2 * pi() * i / {G.RING[2]}) AS y FROM range({G.RING[2]}) t(i)
+@query("trap_verdicts", f"""WITH one AS (SELECT 'twin_craters' AS trap, {G.RING[0]} + {G.RING[1]} * cos(2 * pi() * i / {G.RING[2]}) AS x, {G.RING[0]} + {G.RING[1]} * sin(2 * pi() * i / {G.RING[2]}) AS y FROM range({G.RING[2]}) t(i)
       UNION ALL SELECT 'clustered_boulders', {G.HEAP[0]} + {G.HEAP[1]} * a.i, {G.HEAP[0]} + {G.HEAP[1]} * b.i FROM range({G.HEAP[2]}) a(i), range({G.HEAP[2]}) b(i)
       UNION ALL SELECT 'featureless_plain', x, y FROM (VALUES {", ".join(map(str, G.PLAIN))}) v(x, y)),
-    c AS (SELECT trap, floor(y / 400) AS cy, floor(x / 400) AS cx, count(*) AS n FROM p GROUP BY ALL), h AS (SELECT trap, sum(n) AS inliers, greatest(0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS entropy FROM c GROUP BY trap),
+    p AS (SELECT s_suppkey AS scene, trap, CASE WHEN s_suppkey % 2 = 1 THEN {G.TRAP_SIDE} - x ELSE x END AS x, y FROM supplier, one),
+    c AS (SELECT scene, trap, floor(y / 400) AS cy, floor(x / 400) AS cx, count(*) AS n FROM p GROUP BY ALL), h AS (SELECT scene, trap, sum(n) AS inliers, greatest(0, log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS entropy FROM c GROUP BY scene, trap),
     a(trap, area) AS (VALUES ('twin_craters', {G.RING[2]} / 2.0 * {G.RING[1]} * {G.RING[1]} * sin(2 * pi() / {G.RING[2]})), ('clustered_boulders', 144.0), ('featureless_plain', abs((450 - 200) * (1200 - 300) - (800 - 200) * (600 - 300)) / 2.0), ('shadow_inversion', 0)),
-    g AS (SELECT a.trap, CAST(coalesce(inliers, 0) AS BIGINT) AS inliers, round(coalesce(entropy, 0), 4) + 0.0 AS entropy, round(area / 2560000.0::DOUBLE, 5) + 0.0 AS hull, CASE WHEN a.trap = 'shadow_inversion' THEN 180.0::DOUBLE END AS gap FROM a LEFT JOIN h ON h.trap = a.trap)
+    g AS (SELECT s_suppkey AS scene, a.trap, CAST(coalesce(inliers, 0) AS BIGINT) AS inliers, round(coalesce(entropy, 0), 4) + 0.0 AS entropy, round(area / 2560000.0::DOUBLE, 5) + 0.0 AS hull, CASE WHEN a.trap = 'shadow_inversion' THEN 180.0::DOUBLE END AS gap FROM supplier CROSS JOIN a LEFT JOIN h ON h.trap = a.trap AND h.scene = s_suppkey)
     SELECT *, CASE WHEN gap >= 120 THEN 'REJECTED (Illumination Conflict)' WHEN inliers < 10 THEN 'REJECTED (Insufficient Inliers)' WHEN hull < 0.05 THEN 'REJECTED (Poor Spatial Coverage)' ELSE 'UNCERTAIN' END AS verdict FROM g""")
 def trap_verdicts(spark, d):
-    return G.judged_traps(spark)
+    """The trap sets in a scene for each supplier, mirrored in every other."""
+    return G.judged_traps(spark, table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene"), (F.col("s_suppkey") % 2 == 1).alias("mirrored")))
 
 
 @query("global_inliers", ORACLE_SQL["ransac_affine"])

@@ -484,3 +484,26 @@ def bucketed_upsert(spark, d):
     for _ in range(2):
         held.upsert(last, 2)
     return held.read().select("o_orderkey", "status", "score")
+
+
+@query("artifact_tree", "SELECT s_suppkey % 7 || '/' || s_suppkey || '.txt' AS relative, length(s_name)::BIGINT AS size_bytes, sha256(s_name) AS sha256 FROM supplier")
+def artifact_tree(spark, d):
+    """A file for each supplier, written below folders by tasks, listed and digested by tasks; a hidden file beside each is left out."""
+    from tessera.sources.trees import artifact_files
+
+    root = new_folder(spark, "tree")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for k, name in zip(pdf["s_suppkey"], pdf["s_name"], strict=True):
+                store.create_dir(f"{at}/{k % 7}", recursive=True)
+                for file in (f"{k}.txt", f".{k}.part"):
+                    with store.open_output_stream(f"{at}/{k % 7}/{file}") as f:
+                        f.write(name.encode())
+            yield pdf[["s_suppkey"]]
+
+    table(spark, d, "supplier").select("s_suppkey", "s_name").mapInPandas(write, "s_suppkey long").count()
+    return artifact_files(spark, root).select("relative", "size_bytes", "sha256")

@@ -176,22 +176,45 @@ def core_filter(spark, d):
     return P.in_core(tie_points(spark, d), 520, 400, 2000, 2000).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
-@query("tile_grid", "SELECT CAST(y.i * 5 + x.i AS INT) AS tile_id, CAST(x.i * 400 AS INT) AS x0, CAST(least(x.i * 400 + 520, 2000) AS INT) AS x1, CAST(y.i * 400 AS INT) AS y0, CAST(least(y.i * 400 + 520, 2000) AS INT) AS y1 FROM range(0, 5) x(i), range(0, 5) y(i)")
+#: Sizes of images, by supplier.
+_SIZES = "images AS (SELECT s_suppkey AS image, CAST(900 + s_suppkey * 37 % 1900 AS INT) AS height, CAST(150 + s_suppkey * 53 % 2600 AS INT) AS width FROM supplier)"
+
+
+def _images(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.alias("image"), (900 + k * 37 % 1900).cast("int").alias("height"), (150 + k * 53 % 2600).cast("int").alias("width"))
+
+
+def _axis_sql(n: str, v: str) -> str:
+    """Tiles of 520 every 400 of an axis, of 200 at least, and their cores: (image, k, v0, v1, c0, c1)."""
+    return f"""{v}s AS (SELECT image, {n} AS n, s, least(s + 520, {n}) AS e FROM (SELECT *, unnest(range(0, {n}, 400)) AS s FROM images) WHERE least(s + 520, {n}) - s >= 200 OR ({n} < 200 AND s = 0)),
+    {v} AS (SELECT image, CAST(row_number() OVER w - 1 AS INT) AS k, count(*) OVER (PARTITION BY image) AS many, CAST(s AS INT) AS {v}0, CAST(e AS INT) AS {v}1,
+        CAST(CASE WHEN s = 0 THEN 0 ELSE greatest(s + 60, coalesce(lag(CASE WHEN e >= n THEN n ELSE e - 60 END) OVER w, 0)) END AS INT) AS {v}core0,
+        CAST(CASE WHEN e >= n OR lead(s) OVER w IS NULL THEN n ELSE e - 60 END AS INT) AS {v}core1 FROM {v}s WINDOW w AS (PARTITION BY image ORDER BY s))"""
+
+
+_GRIDS = f"{_SIZES}, {_axis_sql('height', 'y')}, {_axis_sql('width', 'x')}, g AS (SELECT image, CAST(y.k * x.many + x.k AS INT) AS tile_id, x0, x1, y0, y1, xcore0, xcore1, ycore0, ycore1 FROM y JOIN x USING (image))"
+
+
+@query("tile_grid", f"WITH {_GRIDS} SELECT * FROM g")
 def tile_grid(spark, d):
-    return P.tile_grid(spark, 2000, 2000, 520, 400).select("tile_id", "x0", "x1", "y0", "y1")
+    """Every image's overlapping tiles and their cores."""
+    return P.tile_grids(_images(spark, d), 520, 400).drop("height", "width")
 
 
-@query("fixed_grid", "SELECT CAST(r * 4 + c AS BIGINT) AS tile_id, CAST(r * 25 AS INT) AS y0, CAST(CASE WHEN r = 3 THEN 103 ELSE r * 25 + 25 END AS INT) AS y1, CAST(c * 50 AS INT) AS x0, CAST(CASE WHEN c = 3 THEN 201 ELSE c * 50 + 50 END AS INT) AS x1 FROM range(0, 4) a(r), range(0, 4) b(c)")
+@query("fixed_grid", f"WITH {_SIZES} SELECT image, CAST(r * 4 + c AS INT) AS tile_id, CAST(r * (height // 4) AS INT) AS y0, CAST(CASE WHEN r = 3 THEN height ELSE (r + 1) * (height // 4) END AS INT) AS y1, CAST(c * (width // 4) AS INT) AS x0, CAST(CASE WHEN c = 3 THEN width ELSE (c + 1) * (width // 4) END AS INT) AS x1 FROM images, range(0, 4) a(r), range(0, 4) b(c)")
 def fixed_grid(spark, d):
-    return P.fixed_grid(spark, 103, 201, 4, 4).select(F.col("tile_id").cast("long"), "y0", "y1", "x0", "x1")
+    return P.fixed_grids(_images(spark, d), 4, 4).drop("height", "width")
 
 
-@query("search_window", """WITH g AS (SELECT CAST(y.i * 5 + x.i AS INT) AS tile_id, x.i * 400 AS x0, least(x.i * 400 + 520, 2000) AS x1, y.i * 400 AS y0, least(y.i * 400 + 520, 2000) AS y1 FROM range(0, 5) x(i), range(0, 5) y(i)),
-    p AS (SELECT *, 0.01::DOUBLE * ((y0 + y1) / 2.0) + 12.5 AS dx, -0.02::DOUBLE * ((y0 + y1) / 2.0) - 3.25 AS dy FROM g)
-    SELECT tile_id, CAST(greatest(0, round_even(x0 + dx, 0) - 200) AS BIGINT) AS wx0, CAST(least(1900, round_even(x1 + dx, 0) + 200) AS BIGINT) AS wx1, CAST(greatest(0, round_even(y0 + dy, 0) - 200) AS BIGINT) AS wy0, CAST(least(1900, round_even(y1 + dy, 0) + 200) AS BIGINT) AS wy1 FROM p""")
+@query("search_window", f"""WITH {_GRIDS}, p AS (SELECT g.*, i.height, i.width, (image % 5 - 2) / 100.0::DOUBLE * ((y0 + y1) / 2.0::DOUBLE) + (12.5::DOUBLE + image % 7) AS dx, -0.02::DOUBLE * ((y0 + y1) / 2.0::DOUBLE) - 3.25::DOUBLE AS dy FROM g JOIN images i USING (image)),
+    w AS (SELECT image, tile_id, CAST(greatest(0, round_even(x0 + dx, 0) - 200) AS BIGINT) AS wx0, CAST(least(width, round_even(x1 + dx, 0) + 200) AS BIGINT) AS wx1, CAST(greatest(0, round_even(y0 + dy, 0) - 200) AS BIGINT) AS wy0, CAST(least(height, round_even(y1 + dy, 0) + 200) AS BIGINT) AS wy1 FROM p)
+    SELECT * FROM w WHERE wx1 > wx0 AND wy1 > wy0""")
 def search_window(spark, d):
-    w = P.search_windows(P.tile_grid(spark, 2000, 2000, 520, 400), (0.01, -0.02), (12.5, -3.25), 200, 1900, 1900)
-    return w.select("tile_id", *(F.col(c).cast("long").alias(c) for c in ("wx0", "wx1", "wy0", "wy1")))
+    """Every image's tiles, each moved by its own image's drift."""
+    tiles, k = P.tile_grids(_images(spark, d), 520, 400), F.col("image")
+    w = P.search_windows(tiles, ((k % 5 - 2) / 100.0, -0.02), (12.5 + k % 7, -3.25), 200, F.col("height"), F.col("width"))
+    return w.select("image", "tile_id", *(F.col(c).cast("long").alias(c) for c in ("wx0", "wx1", "wy0", "wy1")))
 
 
 @query("padding_rule", """SELECT p_partkey, CASE WHEN p_size / 100.0 < 0.05 THEN 700 WHEN p_size / 100.0 < 0.15 THEN 500 WHEN p_retailprice > 800 OR p_size * 400 > 8000 THEN CAST(least(1200, greatest(600, floor(0.04 * p_size * 400))) AS INT) ELSE 200 END AS padding,
@@ -241,9 +264,9 @@ def layer_rmse(spark, d):
     return P.layer_rmse(residuals(spark, d), F.col("dx"), F.col("dy")).select(r("rmse", 8).alias("rmse"))
 
 
-@query("strip_samples", "SELECT CAST(i AS INT) AS strip_idx, CAST(floor((i + 0.5) * 27001 / 10) AS INT) AS \"row\", CAST(greatest(0, least(24953, floor((i + 0.5) * 27001 / 10) - 1024)) AS INT) AS y0, CAST(greatest(0, least(24953, floor((i + 0.5) * 27001 / 10) - 1024)) + 2048 AS INT) AS y1 FROM range(0, 10) t(i)")
+@query("strip_samples", f"WITH {_SIZES}, r AS (SELECT image, height, i AS strip_idx, CAST(floor((i + 0.5::DOUBLE) * (height * 3) / 10) AS INT) AS \"row\", height * 3 AS h FROM images, range(0, 10) t(i)) SELECT image, CAST(strip_idx AS INT) AS strip_idx, \"row\", CAST(greatest(0, least(h - least(2048, h), \"row\" - least(2048, h) // 2)) AS INT) AS y0, CAST(greatest(0, least(h - least(2048, h), \"row\" - least(2048, h) // 2)) + least(2048, h) AS INT) AS y1 FROM r")
 def strip_samples(spark, d):
-    return P.strip_samples(spark, 27001)
+    return P.strips_of(_images(spark, d).select("image", (F.col("height") * 3).alias("height"))).drop("height")
 
 
 _STRIPS = """s AS (SELECT event_id % 200 AS strip, avg(value) AS vdx, avg(value) * 0.5 AS vdy, avg(value) + (event_id % 200) / 4.0 AS fdx, avg(value) * 0.5 AS fdy, count(*) % 11 AS votes, (event_id % 200) / 200.0 AS response FROM events GROUP BY event_id % 200),
