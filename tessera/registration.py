@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
-from tessera.operators import footprints
+from tessera.functions.descriptors import dense_matcher
+from tessera.operators import footprints, rasters
 from tessera.operators import georeference as G
 from tessera.operators import points as P
 from tessera.operators import tiles as T
@@ -24,7 +25,8 @@ SENSORS_SRC, SENSORS_REF = ("OHRC", "TMC", "TMC_FWD", "TMC_AFT", "IIRS"), ("NAC"
 
 
 #: Known methods: of matching; of the coarse stage (auto tries a thumbnail first and then both others); of structural maps.
-METHODS, COARSE, STRUCTURAL = ("dense",), ("auto", "fft", "crater"), ("none", "phase_congruency", "gradient", "hybrid")
+MATCHERS = {"dense": K.grid_matcher, "descriptors": dense_matcher}
+METHODS, COARSE, STRUCTURAL = tuple(MATCHERS), ("auto", "fft", "crater"), ("none", "phase_congruency", "gradient", "hybrid")
 #: Points from which an inverse model has a spline (fixed value of the interface).
 LEAST_INVERSE = 25
 
@@ -377,8 +379,44 @@ def model_or_shift(refined_points: np.ndarray, candidates: np.ndarray, drift: Co
 # ---------------------------------------------------------------- verification
 
 
-def verify(spark: SparkSession, model: Model, shape: tuple[int, int], config: RunConfig) -> DataFrame:
-    """One row of measures and the verdict. Without tie points measures are null: nothing is made up."""
+@dataclass(frozen=True)
+class Active:
+    """What of a scene both rasters have data in: its share, and the cells of the grid of which over a hundredth has."""
+
+    share: float
+    cells: int
+
+
+def active_area(registered: DataFrame, reference: DataFrame, shape: tuple[int, int], config: RunConfig, most: int = 1024) -> Active | None:
+    """Of averages of blocks, at most most to a side, of both rasters' tiles; none if they have nothing in common."""
+    k = max(1, -(-max(shape) // most))
+    h, w = -(-shape[0] // k), -(-shape[1] // k)
+    a, b = (decimated(t, k).select("row", "col", F.col("v").alias(n)) for t, n in ((registered, "a"), (reference, "b")))
+    both = written(a.join(b, ["row", "col"]).where((F.col("row") < h) & (F.col("col") < w)).select("row", "col", ((F.col("a") > 0) & (F.col("b") > 0)).alias("ok")), "active")
+    n = both.agg(F.count_if("ok")).first()[0]
+    return Active(n / (h * w), P.active_cells(both, config.grid_rows, config.grid_cols, h, w).first()["active"]) if n else None
+
+
+def wide_angle_tiles(lines: DataFrame, config: RunConfig, image_id: str = "wac", size: int = 512) -> DataFrame:
+    """The run's band (wac_band) of a push-frame stream (line, sample, v) as tiles."""
+    import pandas as pd
+
+    rows = rasters.deinterleave(lines, config.wac_band)
+    at = rows.select((F.floor(F.col("row") / size)).cast("int").alias("ty"), F.floor(F.col("sample") / size).cast("int").alias("tx"), F.col("row").cast("int").alias("row"), F.col("sample").cast("int").alias("col"), F.col("v").cast("double").alias("v"))
+    at = at.join(at.groupBy("ty", "tx").agg(F.max("row").alias("bottom"), F.max("col").alias("right")), ["ty", "tx"])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = int(pdf["ty"].iloc[0]) * size, int(pdf["tx"].iloc[0]) * size
+        a = np.zeros((int(pdf["bottom"].iloc[0]) - y + 1, int(pdf["right"].iloc[0]) - x + 1))
+        a[pdf["row"] - y, pdf["col"] - x] = pdf["v"]
+        return pd.DataFrame({"image_id": [image_id], "row_off": [y], "col_off": [x], "h": [a.shape[0]], "w": [a.shape[1]], "dtype": [a.dtype.str], "px": [a.tobytes()]})
+
+    return at.groupBy("ty", "tx").applyInPandas(pack, T.TILE)
+
+
+def verify(spark: SparkSession, model: Model, shape: tuple[int, int], config: RunConfig, active: Active | None = None) -> DataFrame:
+    """One row of measures and the verdict; the hull's share and the most that the entropy can be are those of the active area, if it is
+    known. Without tie points measures are null: nothing is made up."""
     s, r = np.array(model.source).reshape(-1, 2), np.array(model.reference).reshape(-1, 2)
     if len(s) < 3:
         return spark.range(1).select(F.lit("UNCERTAIN (No valid tie-point model residuals)").alias("verdict"), *(F.lit(None).cast("double").alias(c) for c in ("rmse", "rmse_cv", "entropy", "hull", "score")), F.lit(0).cast("long").alias("inliers"), F.lit("fallback_estimate").alias("provenance"))
@@ -393,10 +431,11 @@ def verify(spark: SparkSession, model: Model, shape: tuple[int, int], config: Ru
         held = spark.createDataFrame(np.column_stack([s, drift]).tolist(), "sx double, sy double, dx double, dy double")
         out = T.cross_validated(held, smoothing=config.tps_smoothing).agg(F.sqrt(F.sum("sum_sq") / F.sum("n"))).first()
         cv = out[0]
-    hull = K.hull_share(r, float(h * w))
+    hull = K.hull_share(r, float(h * w) * (1.0 if active is None else max(0.1, active.share)))
+    cells = config.grid_rows * config.grid_cols if active is None else active.cells
     one = stats.crossJoin(F.broadcast(entropy)).withColumns({"rmse_cv": F.lit(cv).cast("double"), "hull": F.lit(hull), "inliers": F.lit(len(s)).cast("long"), "ratio": F.lit(len(s) / max(1, model.stats.get("total_points", len(s))))})
     eff = P.effective_rmse(F.col("rmse"), F.col("rmse_cv"))
-    score = P.composite_score(eff, F.col("entropy") / float(np.log2(max(2, config.grid_rows * config.grid_cols))), F.col("ratio"), F.col("inliers"), F.col("hull"))
+    score = P.composite_score(eff, F.col("entropy") / float(np.log2(max(2, cells))), F.col("ratio"), F.col("inliers"), F.col("hull"))
     judged = one.withColumns({"effective_rmse": eff, "score": score})
     return judged.select(P.verdict(F.col("inliers"), F.col("hull"), F.col("entropy"), F.col("effective_rmse"), F.col("score"), target=config.target_rmse).alias("verdict"), "rmse", "rmse_cv", "entropy", "hull", "score", "inliers", P.precision_tier(F.col("effective_rmse")).alias("tier"), F.lit("tie_point_model_residuals").alias("provenance"))
 
@@ -461,13 +500,14 @@ def register(source: DataFrame, reference: DataFrame, shape: tuple[int, int], re
         one = on_one_grid(source, places[0], reference, places[1], config.sensor_ref == "WAC")
         source, reference = (written(x, "harmonised").withColumn("image_id", F.lit(n)) for x, n in ((one.source, "source"), (one.reference, "reference")))
         shape = ref_shape = (one.grid.height, one.grid.width)
-    drift = coarse(source, reference, min(shape[0], ref_shape[0]), min(shape[1], ref_shape[1]), config)
-    candidates = match(source, reference, shape, ref_shape, drift, config).persist()
+    matcher = MATCHERS[config.method]
+    drift = coarse(source, reference, min(shape[0], ref_shape[0]), min(shape[1], ref_shape[1]), config, matcher=matcher)
+    candidates = written(match(source, reference, shape, ref_shape, drift, config, matcher), "candidates")
     rows = lambda df: df.select("sx", "sy", "rx", "ry").orderBy("sy", "sx").toPandas().to_numpy()
     few = P.uniform_subsample(candidates, ["sy", "sx", "ry", "rx"], config.most_points)
     fine = refined(source, reference, candidates, shape, ref_shape, config)
     model = model_or_shift(rows(fine), rows(few), drift, shape, config)
     back = model.inverse()
     spline = back._spline()
-    out = T.warp(source, lambda p: back.predict(p, spline=False), *ref_shape, order=config.warp_order, spline=spline)
-    return Registration(drift, candidates, model, out, verify(source.sparkSession, model, ref_shape, config))
+    out = written(T.warp(source, lambda p: back.predict(p, spline=False), *ref_shape, order=config.warp_order, spline=spline), "registered")
+    return Registration(drift, candidates, model, out, verify(source.sparkSession, model, ref_shape, config, active_area(out, reference, ref_shape, config)))

@@ -173,3 +173,24 @@ def test_wide_percentiles_end(spark):
     df = spark.createDataFrame([(x,) for x in v], "v double")
     got = exact_percentiles(df, "v", (0.0, 0.25, 0.5, 1.0))
     assert got == [np.percentile(v, 0), np.percentile(v, 25), np.percentile(v, 50), np.inf]
+
+
+def test_grids_of_tables(spark):
+    """Grids and strips by column expressions are those of the single images."""
+    sizes = [(1, 5), (199, 200), (200, 520), (2000, 2000), (521, 919), (999, 1321), (4001, 37)]
+    images = spark.createDataFrame([(k, h, w) for k, (h, w) in enumerate(sizes)], "image int, height int, width int")
+    columns = ["x0", "x1", "xcore0", "xcore1", "y0", "y1", "ycore0", "ycore1"]
+    for size, step in ((520, 400), (300, 300), (100, 160)):
+        got = {(r["image"], r["tile_id"]): tuple(r[c] for c in columns) for r in P.tile_grids(images, size, step).collect()}
+        want = {}
+        for k, (h, w) in enumerate(sizes):
+            xs = P.axis_tiles(w, size, step)
+            for y in P.axis_tiles(h, size, step):
+                for x in xs:
+                    want[k, y[0] * len(xs) + x[0]] = (*x[1:], *y[1:])
+        assert got == want
+    for k, (h, w) in enumerate(sizes):
+        fixed = P.fixed_grids(images.where(f"image = {k}"), 4, 3).select("tile_id", "y0", "y1", "x0", "x1")
+        assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, P.fixed_grid(spark, h, w, 4, 3).select("tile_id", "y0", "y1", "x0", "x1").collect()))
+        strips = P.strips_of(images.where(f"image = {k}")).select("strip_idx", "row", "y0", "y1")
+        assert sorted(map(tuple, strips.collect())) == sorted(map(tuple, P.strip_samples(spark, h).collect()))

@@ -103,3 +103,59 @@ def test_rasters_of_two_scales_meet_on_one_grid(spark):
     assert crop.native[1].gsd == 2.0 and crop.native[1].width == 4 * crop.grid.width
     with pytest.raises(ValueError):
         R.on_one_grid(None, at, None, R.Place(8.0, 9e6, -8.0, 4920.0, 10, 10))
+
+
+def test_active_area(spark):
+    """A scene of which a quarter has data in both: share and cells of that alone, and a verdict that is not the whole scene's."""
+    import numpy as np
+
+    from tessera import registration as R
+    from tessera.operators import tiles as T
+
+    a, b = np.zeros((80, 120), np.uint8), np.full((80, 120), 9, np.uint8)
+    a[:40, :60] = 5
+    b[:, :10] = 0
+    config = R.RunConfig(grid_rows=4, grid_cols=4)
+    got = R.active_area(T.tiles_of(spark, "a", a, 32), T.tiles_of(spark, "b", b, 50), (80, 120), config)
+    assert got.cells == 4 and got.share == ((a > 0) & (b > 0)).mean()
+    assert R.active_area(T.tiles_of(spark, "a", a * 0, 32), T.tiles_of(spark, "b", b, 50), (80, 120), config) is None
+    s = np.stack(np.meshgrid(np.arange(12, 58, 5.0), np.arange(2, 38, 5.0)), -1).reshape(-1, 2)
+    model = R.Model([[1, 0, 0], [0, 1, 0]], source=s.tolist(), reference=s.tolist())
+    whole, part = (R.verify(spark, model, (80, 120), config, x).first() for x in (None, got))
+    assert part["hull"] > 3 * whole["hull"] and part["score"] > whole["score"] and part["entropy"] == whole["entropy"]
+
+
+def test_wide_angle_band(spark):
+    import numpy as np
+
+    from tessera import registration as R
+    from tessera.operators import rasters
+    from tessera.operators import tiles as T
+
+    lines = spark.range(78 * 4 * 20).selectExpr("cast(id / 20 as int) as line", "cast(id % 20 as int) as sample", "cast(id as double) as v")
+    for band, rows in ((7, 56), (1, 16)):
+        got = T.array_of(R.wide_angle_tiles(lines, R.RunConfig(wac_band=band), size=16), rows, 20)
+        want = np.zeros((rows, 20))
+        for r in rasters.deinterleave(lines, band).collect():
+            want[r["row"], r["sample"]] = r["v"]
+        assert (got == want).all()
+
+
+def test_descriptors_as_the_run_s_matcher(spark):
+    """A reference that is turned by a degree and a half."""
+    import numpy as np
+
+    from tessera import registration as R
+    from tessera.functions import kernels as K
+    from tessera.operators import tiles as T
+
+    base = sum(K.gaussian(np.random.default_rng(3).normal(size=(420, 420)), s) * s for s in (1.5, 3, 6))
+    base = (base - base.min()) / np.ptp(base) * 200 + 30
+    turn, c = np.deg2rad(1.5), 209.5
+    yy, xx = np.mgrid[0:420, 0:420] - c
+    ref = K.sample(base, -np.sin(turn) * xx + np.cos(turn) * yy + c, np.cos(turn) * xx + np.sin(turn) * yy + c, 3)
+    src, ref = (np.clip(x[40:380, 40:380], 1, 255).astype(np.uint8) for x in (base, ref))
+    out = R.register(T.tiles_of(spark, "a", src, 200), T.tiles_of(spark, "b", ref, 200), src.shape, ref.shape, R.RunConfig(method="descriptors", tile_size=260, step_size=200))
+    report, got = out.report.first(), T.array_of(out.registered, *ref.shape)
+    assert report["inliers"] >= 10 and report["rmse"] < 0.5
+    assert np.corrcoef(got[30:-30, 30:-30].ravel(), ref[30:-30, 30:-30].ravel())[0, 1] > 0.95
