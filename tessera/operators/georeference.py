@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
 from tessera.functions.numeric import SPHERE_RADIUS_M
+from tessera.operators import footprints
 from tessera.operators import points as P
 from tessera.operators import tiles as T
 
@@ -54,6 +55,15 @@ def by_control_points(tiles: DataFrame, gcps: DataFrame, grid: Grid, order: int
     return T.warp(tiles, inverse, grid.height, grid.width, block, order, "|u1", spline=spline)
 
 
+def by_corners(tiles: DataFrame, labels: DataFrame, grid: Grid, block: int = 512) -> DataFrame | None:
+    """The image on a grid by its label's four corners alone (width, height and ul, ur, ll, lr with _lat, _lon), where nothing better is
+    known; none if the label lacks a corner or there is no label."""
+    row = labels.limit(1).collect()
+    if not row or any(row[0][f"{k}_{v}"] is None for k in ("ul", "ur", "ll", "lr") for v in ("lat", "lon")):
+        return None
+    return by_control_points(tiles, footprints.corner_points(labels.limit(1)), grid, block=block)
+
+
 def common_grid(box: tuple[float, float, float, float], gsd: float) -> Grid:
     left, bottom, right, top = box
     return Grid(left, top, gsd, max(1, round((right - left) / gsd)), max(1, round((top - bottom) / gsd)))
@@ -61,7 +71,7 @@ def common_grid(box: tuple[float, float, float, float], gsd: float) -> Grid:
 
 def harmonised(tiles: DataFrame, geotransform: tuple[float, float, float, float], grid: Grid, method: str = "bilinear", block: int = 512) -> DataFrame:
     """The image (a, c, e, f: its pixel sizes and origin) on a grid. average first takes means of whole blocks of pixels, as many
-    as fit the grid's pixel, and then bilinear values of those; lanczos is met by cubic splines."""
+    as fit the grid's pixel, and then bilinear values of those; lanczos has lobes of the grid's pixel, where that is the larger one."""
     from tessera.sources.raw import decimated
 
     a, c, e, f = geotransform
@@ -71,7 +81,10 @@ def harmonised(tiles: DataFrame, geotransform: tuple[float, float, float, float]
         tiles = _packed(small)
         a, e = a * k, e * k
     inverse = lambda p: np.column_stack([(grid.metres(p)[:, 0] - c) / a - 0.5, (grid.metres(p)[:, 1] - f) / e - 0.5])
-    return T.warp(tiles, inverse, grid.height, grid.width, block, 3 if method == "lanczos" else 1)
+    if method == "lanczos":
+        stretch = max(1.0, grid.gsd / abs(a))
+        return T.warp(tiles, inverse, grid.height, grid.width, block, margin=int(np.ceil(3 * stretch)) + 2, sampler=lambda image, y, x: K.lanczos(image, y, x, stretch))
+    return T.warp(tiles, inverse, grid.height, grid.width, block, 1)
 
 
 def _packed(rows: DataFrame, size: int = 512) -> DataFrame:

@@ -29,6 +29,13 @@ def spatial_entropy(points: DataFrame, x: str, y: str, width: float, height: flo
     return sums.select(*by, F.greatest(h, F.lit(0.0)).alias("entropy"))
 
 
+def image_coverage(points: DataFrame, hull: DataFrame, height: Column, by: Sequence[str]) -> DataFrame:
+    """(by, hull_pct, span_pct): how much of an image each group's hull (share, of the image's area) covers, and how much of its rows
+    the points span."""
+    span = points.groupBy(*by).agg((F.max("sy") - F.min("sy")).alias("__span"), F.any_value(height).alias("__height"))
+    return hull.join(span, list(by)).select(*by, (100 * F.col("share")).alias("hull_pct"), F.least(F.lit(100.0), 100 * F.col("__span") / F.col("__height")).alias("span_pct"))
+
+
 def populated_cells(points: DataFrame, tile: str, least: int = 5) -> DataFrame:
     """How many tiles have least points or more."""
     return points.groupBy(tile).count().where(F.col("count") >= least).agg(F.count("*").alias("populated"))

@@ -107,6 +107,13 @@ def percentile_stretch(df: DataFrame, low: float = 0.02, high: float = 0.98, lea
     return held.select(*df.columns, F.when(F.col("n") < least, to_byte(F.coalesce(F.col("v"), F.lit(0.0)))).otherwise(F.floor(scaled)).cast("int").alias("u8"))
 
 
+def centre_crop(df: DataFrame, size: int, height: Column | int, width: Column | int) -> DataFrame:
+    """Pixels (row, col) of the size x size box in the middle of images of height x width, places within the box; smaller images stay whole."""
+    top, left = (F.greatest(F.lit(0), F.floor((F.lit(n) - size) / 2)) for n in (height, width))
+    inside = df.where((F.col("row") >= top) & (F.col("row") < top + size) & (F.col("col") >= left) & (F.col("col") < left + size))
+    return inside.withColumns({"row": (F.col("row") - top).cast("int"), "col": (F.col("col") - left).cast("int")})
+
+
 def minmax_byte(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     stats = df.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     held = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))

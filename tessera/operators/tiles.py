@@ -306,10 +306,11 @@ def cross_validated(points: DataFrame, residual: Sequence[str] = ("dx", "dy"), s
 # ---------------------------------------------------------------- warping
 
 
-def warp(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], height: int, width: int, block: int = 512, order: int = 3, dtype: str = "|u1", margin: int = 4, spline: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def warp(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], height: int, width: int, block: int = 512, order: int = 3, dtype: str = "|u1", margin: int = 4, spline: Callable[[np.ndarray], np.ndarray] | None = None, sampler: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The source image (tiles) on an output grid: rows (row_off, col_off, h, w, dtype, px), a block each.
 
-    inverse maps output places (x, y) to source places; spline, if any, is a smooth addition found on a sub-grid. Each block's
+    inverse maps output places (x, y) to source places; spline, if any, is a smooth addition found on a sub-grid; sampler (image, y, x)
+    takes the place of splines of an order, and reaches margin pixels at most. Each block's
     source box is known from its mapped places; source tiles join the blocks they touch by box, and a block is resampled
     from those alone. Blocks that map outside everywhere are nodata."""
     spark = tiles.sparkSession
@@ -352,7 +353,8 @@ def warp(tiles: DataFrame, inverse: Callable[[np.ndarray], np.ndarray], height:
                 y, x = int(t.row_off) - r0, int(t.col_off) - c0
                 image[y : y + int(t.h), x : x + int(t.w)] = pixels_of(int(t.h), int(t.w), t.dtype, t.px)
             at = source(np.arange(y0, y0 + bh, dtype=float), np.arange(x0, x0 + bw, dtype=float))
-            out = K.sample(image, at[..., 1] - r0, at[..., 0] - c0, order)
+            at = at[..., 1] - r0, at[..., 0] - c0
+            out = K.sample(image, *at, order) if sampler is None else sampler(image, *at)
         return pd.DataFrame({"row_off": [y0], "col_off": [x0], "h": [bh], "w": [bw], "dtype": [dtype], "px": [K.cast_pixels(out, dtype).tobytes()]})
 
     return kept.groupBy("y0", "x0").applyInPandas(resample, "row_off int, col_off int, h int, w int, dtype string, px binary")

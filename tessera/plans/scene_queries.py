@@ -132,3 +132,39 @@ def circles_scene(spark, d):
     near = (F.hypot(F.col("fx") - F.col("cx"), F.col("fy") - F.col("cy")) <= 3) & (F.abs(F.col("fr") - F.col("r")) <= 3)
     held = table(spark, d, "supplier").select("s_suppkey").join(rings.select("s_suppkey", "cx", "cy", "r"), "s_suppkey").join(found, "s_suppkey", "left")
     return held.groupBy("s_suppkey").agg(F.count("fx").alias("n"), F.bool_or(F.coalesce(near, F.lit(False))).alias("found"))
+
+
+_TAPS = "taps AS (SELECT o, w / sum(w) OVER () AS w FROM (SELECT o, sin(pi() * d / 2) / (pi() * d / 2) * sin(pi() * d / 6) / (pi() * d / 6) AS w FROM (SELECT i AS o, i - 0.5::DOUBLE AS d FROM range(-5, 7) t(i))))"
+
+
+def _halved(source: str, axis: str, to: str) -> str:
+    """A CTE of half as many places along an axis, by the taps, borders mirrored."""
+    other, last = ("col", "h - 1") if axis == "row" else ("row", "63")
+    at = "(2 * n.i + o)"
+    return f"""{to} AS MATERIALIZED (SELECT CAST(k.i AS INT) AS "{axis}", s."{other}", sum(k.w * s.v) AS v
+        FROM (SELECT n.i, w, CASE WHEN {at} < 0 THEN -{at} WHEN {at} > {last} THEN 2 * ({last}) - {at} ELSE {at} END AS at FROM size, range({"(SELECT h // 2 FROM size)" if axis == "row" else "32"}) n(i), taps) k
+        JOIN {source} s ON s."{axis}" = k.at GROUP BY k.i, s."{other}")"""
+
+
+@query("lanczos_scene", f"""WITH {IMAGE}, {_TAPS}, {_halved("img", "row", "l1")}, {_halved("l1", "col", "l2")}, o AS (SELECT "row" * 2 AS "row", greatest(0, least(255, round_even(v, 0))) AS v FROM l2)
+    {_BY_PATCH.format("o")}""")
+def lanczos_scene(spark, d):
+    """The raster at half its scale by sincs of three lobes, block by block."""
+    from tessera.operators import georeference as G
+
+    tiles, height = _image(spark, d)
+    out = G.harmonised(tiles, (1.0, 0.0, -1.0, float(height)), G.Grid(0.0, float(height), 2.0, 32, height // 2), "lanczos", 48)
+    v = S.pixels(out.select(F.lit("half").alias("image_id"), "row_off", "col_off", "h", "w", "dtype", "px"))
+    return v.groupBy((F.col("row") * 2 / 64).cast("long").alias("patch")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).select("patch", r("mean").alias("mean"), r("sd").alias("sd"))
+
+
+@query("geotiff_crop", f"WITH {IMAGE} SELECT CAST(\"row\" - 70 AS INT) AS \"row\", CAST(col - 9 AS INT) AS col, floor(v) AS v FROM img WHERE \"row\" BETWEEN 70 AND 169 AND col BETWEEN 9 AND 58")
+def geotiff_crop(spark, d):
+    """A window as a file of its own, whose corner is the window's; read back."""
+    from tessera.sources.geotiff import layout_of, write_window
+
+    tiles, height = _image(spark, d)
+    path = new_folder(spark, "tiff") + "/crop.tif"
+    write_window(T.each_patch(tiles, lambda a: np.floor(a).astype("|u1")), path, (70, 9, 100, 50), geotransform=(500.0, 2.0, 0.0, 900.0, 0.0, -2.0), tile=48)
+    assert layout_of(path).geotransform == (518.0, 2.0, 0.0, 760.0, 0.0, -2.0)
+    return S.pixels(read_geotiff(spark, path)).select("row", "col", "v")

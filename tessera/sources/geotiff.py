@@ -264,6 +264,17 @@ def write_geotiff(
     rows.write.format("geotiff").options(**{k: str(v) for k, v in options.items()}).mode("overwrite" if overwrite else "append").save()
 
 
+def write_window(tiles: DataFrame, path: str, window: tuple[int, int, int, int], dtype: str = "|u1", nodata: float | None = 0, geotransform: X.Geotransform | None = None, **options) -> None:
+    """A window (row, column, height, width) of a raster as a file of its own, LZW-coded and without a reference system unless options say
+    otherwise; geotransform is the whole raster's, and is moved to the window's corner."""
+    y, x, height, width = window
+    inside = tiles.where((F.col("row_off") < y + height) & (F.col("row_off") + F.col("h") > y) & (F.col("col_off") < x + width) & (F.col("col_off") + F.col("w") > x))
+    moved = inside.withColumns({"row_off": F.col("row_off") - y, "col_off": F.col("col_off") - x})
+    g = geotransform
+    at = None if g is None else (g[0] + x * g[1] + y * g[2], g[1], g[2], g[3] + x * g[4] + y * g[5], g[4], g[5])
+    write_geotiff(moved, path, height, width, dtype, **({"compression": "lzw", "nodata": nodata, "geotransform": at} | options))
+
+
 #: What `described` says of a file.
 DESCRIBED = "path string, height int, width int, bands int, dtype string, chunk_h int, chunk_w int, chunks long, compression int, nodata double, projected boolean, geotransform array<double>, error string"
 

@@ -73,3 +73,50 @@ def test_events_are_appended(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/events").orderBy("event_id").collect()
     assert [r["progress_pct"] for r in rows] == [5, 18]
     telemetry.emit(spark, "no-such-scheme://x", 7, 0, "lost")
+
+
+def test_lanczos_of_a_window_is_that_of_the_whole(spark):
+    import numpy as np
+
+    from tessera.functions import kernels as K
+
+    y, x = np.mgrid[0:60:7j, 0:50:9j]
+    flat, wave = np.full((70, 64), 5.0), np.add.outer(np.sin(np.arange(70) / 6), np.cos(np.arange(64) / 5))
+    assert np.allclose(K.lanczos(flat, y, x, 2.5), 5.0)
+    assert np.abs(K.lanczos(wave, y, x) - (np.sin(y / 6) + np.cos(x / 5)))[1:-1, 1:-1].max() < 5e-3
+    assert np.allclose(K.lanczos(wave, *np.mgrid[3:9, 4:8].astype(float)), wave[3:9, 4:8])
+    assert K.lanczos(wave, np.array([-0.6]), np.array([0.0])).tolist() == [0.0]
+    stripes = np.tile([0.0, 10.0], (40, 20))  # finer than the new pixel: averaged away
+    assert np.abs(K.lanczos(stripes, *np.mgrid[10:30:4, 10:30:4].astype(float) + 0.5, 4.0) - 5).max() < 0.1
+
+
+def test_corners_alone(spark):
+    import numpy as np
+
+    from tessera.operators import georeference as G
+    from tessera.operators import tiles as T
+
+    per = 180 / np.pi / 1_737_400.0
+    a = np.arange(20 * 30, dtype=np.uint8).reshape(20, 30)
+    names = [f"{k}_{v}" for k in ("ul", "ur", "ll", "lr") for v in ("lat", "lon")]
+    corners = [0.0, 0.0, 0.0, 30 * per, -20 * per, 0.0, -20 * per, 30 * per]
+    schema = "width int, height int, " + ", ".join(f"{n} double" for n in names)
+    tiles, grid = T.tiles_of(spark, "a", a, 16), G.Grid(0.0, 0.0, 1.0, 30, 20)
+    assert (T.array_of(G.by_corners(tiles, spark.createDataFrame([(30, 20, *corners)], schema), grid), 20, 30) == a).all()
+    assert G.by_corners(tiles, spark.createDataFrame([(30, 20, None, *corners[1:])], schema), grid) is None
+    assert G.by_corners(tiles, spark.createDataFrame([], schema), grid) is None
+
+
+def test_coverage_and_crop(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import points as P
+    from tessera.operators import rasters as R
+    from tessera.operators import tiles as T
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 0.0), (1, 0.0, 20.0), (2, 5.0, 5.0)], "g int, sx double, sy double").withColumn("height", F.lit(40))
+    got = {r["g"]: (r["hull_pct"], r["span_pct"]) for r in P.image_coverage(points, T.hull_shares(points, "sx", "sy", 400.0, ["g"]), F.col("height"), ["g"]).collect()}
+    assert got == {1: (25.0, 50.0), 2: (0.0, 0.0)}
+    px = spark.range(35).selectExpr("cast(id / 7 as int) as row", "cast(id % 7 as int) as col", "id as v")
+    assert sorted(map(tuple, R.centre_crop(px, 3, 5, 7).collect())) == [(i, j, (i + 1) * 7 + j + 2) for i in range(3) for j in range(3)]
+    assert R.centre_crop(px, 99, 5, 7).count() == 35
