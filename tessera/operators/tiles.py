@@ -196,7 +196,12 @@ def _counted(models: np.ndarray, p: np.ndarray, threshold: float) -> np.ndarray:
     for k in range(0, len(p), step):
         b = p[k : k + step]
         places = np.column_stack([b[:, :2], np.ones(len(b))])
-        out += (np.hypot(places @ models[:, :3].T - b[:, 2:3], places @ models[:, 3:].T - b[:, 3:4]) <= threshold).sum(0)
+        dx, dy = places @ models[:, :3].T, places @ models[:, 3:].T
+        for d, to in ((dx, b[:, 2:3]), (dy, b[:, 3:4])):
+            d -= to
+            d *= d
+        dx += dy
+        out += np.count_nonzero(dx <= threshold * threshold, axis=0)
     return out
 
 
