@@ -9,10 +9,11 @@ import pytest
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Queries whose nested loop has one row (totals, medians, percentiles) or the few tiles of an axis on one side.
+#: Queries whose nested loop has one row (totals, medians, percentiles, or what is known of the one raster, whose id is a constant) or the
+#: few tiles of an axis on one side.
 ONE_ROW = {
-    "active_cells", "capped_drift", "cluster_count", "drift_filter", "event_stream_retention", "fixed_grid", "job_listing", "mad_inliers", "minmax_norm", "override_counts", "percentile_stretch", "percentile_stretch_all", "registration_report",
-    "residual_stats", "search_window", "shadow_mask", "sobel_gradient", "spatial_entropy", "stratified_consensus", "tile_grid", "tps_cv", "window_crop",
+    "active_cells", "capped_drift", "clahe_scene", "cluster_count", "drift_filter", "event_stream_retention", "fixed_grid", "job_listing", "mad_inliers", "minmax_norm", "override_counts", "percentile_stretch", "percentile_stretch_all", "phase_congruency_scene", "registration_report",
+    "residual_stats", "search_window", "shadow_mask", "sobel_gradient", "spatial_entropy", "stratified_consensus", "structural_scene", "tile_grid", "tps_cv", "unsharp_scene", "window_crop",
 }
 
 
