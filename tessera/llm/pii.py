@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import count, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,8 @@ _TRIGGER = re.compile(r"[\d@]+|\bdot\b|[\(\[]\s?(?:at|dot|\.)\s?[\)\]]", re.I)
 _TOKEN = re.compile(r"[^\W_]+|[^\S\n]+|\n|[^\w\s]|_")
 _RUN = re.compile(r"[^\W_]++|[^\S\n]++|")
 _UNBOUNDED = ("assigned", "key_like")
+_GOES_ON = re.compile(r"[^\s\"']*")
+_AT_SIGN = re.compile("@|at", re.I)
 _AT = r"(?:@|\s?[\(\[]\s?at\s?[\)\]]\s?)"
 _SAID_DOT = r"(?:\s?[\(\[]\s?(?:dot|\.)\s?[\)\]]\s?|\sdot\s)"
 _DOT = rf"(?:\.|{_SAID_DOT})"
@@ -108,11 +112,14 @@ _BEFORE = {
 }
 
 
-def _facts(text: str, start: int, end: int) -> list[str] | None:
-    """The features of a candidate segment, or None if it can't be an entity."""
+def _facts(text: str, start: int, end: int, shapes: Iterable[str] = tuple(_SHAPES), shapeless: bool = True) -> list[str] | None:
+    """The features of a candidate segment, or None if it can't be an entity: without one of the shapes it needs seven digits, and
+    shapeless ones to be asked for."""
+    found = [k for k in shapes if _SHAPES[k].fullmatch(text, start, end)]
+    if not found and not shapeless:
+        return None
     span = text[start:end]
     digits = sum(map(str.isdecimal, span))
-    found = [k for k, shape in _SHAPES.items() if shape.fullmatch(span)]
     if not found and digits < 7:
         return None
     out = ["any", *found]
@@ -134,18 +141,27 @@ def _facts(text: str, start: int, end: int) -> list[str] | None:
     return out
 
 
-def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], dict[int, list[tuple[int, list[str]]]]]:
-    """Token edges of text[lo:hi], and by the index of its last edge each candidate's first edge and features."""
+def _candidates(text: str, lo: int, hi: int, shapeless: bool = True) -> tuple[list[int], dict[int, list[tuple[int, list[str]]]]]:
+    """Token edges of text[lo:hi], and by the index of its last edge each candidate's first edge and features. The shapes that a
+    segment may have are looked for once at each first edge; where there are none, only shapeless candidates begin."""
     edges = [lo + m.start() for m in _TOKEN.finditer(text[lo:hi])] + [hi]
     blank = [text[e].isspace() if e < len(text) else True for e in edges]
+    ats, next_at = [m.start() for m in _AT_SIGN.finditer(text, lo, hi)], 0
     out: dict[int, list[tuple[int, list[str]]]] = {}
     for i in range(len(edges) - 1):
         if blank[i]:
             continue
+        start, limit = edges[i], min(hi, edges[i] + MOST_CHARS)
+        while next_at < len(ats) and ats[next_at] < start:
+            next_at += 1
+        no_at = next_at == len(ats) or ats[next_at] >= limit
+        shapes = [k for k, shape in _SHAPES.items() if not (no_at and k == "email_like") and shape.match(text, start, limit)]
+        if not shapes and not shapeless:
+            continue
         for j in range(i + 1, min(i + MOST_TOKENS, len(edges) - 1) + 1):
-            if edges[j] - edges[i] > MOST_CHARS or text[edges[j] - 1] == "\n":
+            if edges[j] > limit or text[edges[j] - 1] == "\n":
                 break
-            if not blank[j - 1] and (facts := _facts(text, edges[i], edges[j])):
+            if not blank[j - 1] and (facts := _facts(text, start, edges[j], shapes, shapeless)):
                 out.setdefault(j, []).append((i, facts))
     at = {e: k for k, e in enumerate(edges)}
     for shape in _UNBOUNDED:
@@ -163,9 +179,16 @@ def _score(weights: Weights, kind: str, facts: list[str]) -> float:
     return sum(weights.get((kind, f), 0.0) for f in facts)
 
 
+def _shapeless_may_win(weights: Weights) -> bool:
+    """Whether a segment without a shape can score over 0, whatever else is true of it."""
+    always, never = ("any", "no_shape"), (*_SHAPES, "luhn", "octets", "no_octets")
+    return any(sum(w for (k, f), w in weights.items() if k == kind and (f in always or (w > 0 and f not in never))) > 0 for kind in KINDS)
+
+
 def decode(text: str, lo: int, hi: int, weights: Weights) -> list[Span]:
-    """The best segmentation of text[lo:hi]: tokens outside of entities score 0, an entity what its features weigh."""
-    edges, ending = _candidates(text, lo, hi)
+    """The best segmentation of text[lo:hi]: tokens outside of entities score 0, an entity what its features weigh. Candidates that
+    can't score over 0, which no best segmentation has, aren't made."""
+    edges, ending = _candidates(text, lo, hi, _shapeless_may_win(weights))
     best, back = [0.0] * len(edges), [None] * len(edges)
     for j in range(1, len(edges)):
         best[j] = best[j - 1]
@@ -265,6 +288,19 @@ def trained(sentences: int = 400, rounds: int = 6, seed: int = 11) -> Weights:
     return weights
 
 
+class _Runs:
+    """Where the run of letters and digits, or of blanks, at a place ends. The last run is remembered, so that many places of a long
+    one cost one look."""
+
+    def __init__(self, text: str):
+        self.text, self.first, self.last = text, 0, 0
+
+    def end(self, at: int) -> int:
+        if not self.first <= at < self.last:
+            self.first, self.last = at, _RUN.match(self.text, at).end()
+        return self.last
+
+
 def islands(text: str) -> list[tuple[int, int]]:
     """The parts of a text that hold all candidates: MOST_CHARS around each trigger, and whole unbounded shapes. Their edges are
     edges of the text's tokens."""
@@ -272,11 +308,12 @@ def islands(text: str) -> list[tuple[int, int]]:
     for shape in _UNBOUNDED:
         found += [m.span() for m in _SHAPES[shape].finditer(text)]
     out: list[list[int]] = []
+    before, after = _Runs(text), _Runs(text)
     for a, b in sorted(found):
         lo, hi = max(0, a - MOST_CHARS), min(len(text), b + MOST_CHARS)
-        if lo and (run := _RUN.match(text, lo - 1)).end() > lo:  # no candidate begins so far before its trigger
-            lo = run.end()
-        hi = max(hi, _RUN.match(text, hi - 1).end())  # a run of letters and digits, or of blanks, isn't cut
+        if lo:
+            lo = max(lo, before.end(lo - 1))  # no candidate begins so far before its trigger
+        hi = max(hi, after.end(hi - 1))  # a run of letters and digits, or of blanks, isn't cut
         if lo >= hi:
             continue
         if out and lo <= out[-1][1]:
@@ -287,15 +324,22 @@ def islands(text: str) -> list[tuple[int, int]]:
 
 
 def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), by kind and then start. Spans that the field finds over a base span are that one's."""
+    """(base spans, all spans), by kind and then start. Spans that the field finds over a base span are that one's, but for secrets,
+    which may hold or meet one: what is around it is secret too. An assigned secret goes on to the next blank or quote, whatever
+    else is in it, but for punctuation at its end."""
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
-    more, k = [], 0
+    more, k, reached = [], 0, 0
     for lo, hi in islands(text):
         for kind, s, e in decode(text, lo, hi, weights):
+            if e <= reached:
+                continue
+            if kind == "secret" and _SHAPES["assigned"].fullmatch(text, s, e):
+                e = reached = e + len(_GOES_ON.match(text, e)[0].rstrip(".,;:!?)]>"))
             while k < len(taken) and taken[k][1] <= s:
                 k += 1
-            if not any(a < e and s < b for a, b in taken[k : k + 16]):
+            over = takewhile(lambda n, e=e: n < len(taken) and taken[n][0] < e, count(k))
+            if kind == "secret" or not any(s < taken[n][1] for n in over):
                 more.append((kind, s, e))
     order = {kind: k for k, kind in enumerate(KINDS)}
     return base, sorted(set(base + more), key=lambda x: (order[x[0]], x[1], x[2]))
