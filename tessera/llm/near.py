@@ -20,8 +20,9 @@ SHINGLE, LINKED = 5, (4, 5)
 BANDS, ROWS = 32, 4
 #: Rounds that compare each class of a key with one of them, before all with all of those not joined yet.
 STARS = 2
-#: Classes under one key that a task compares; larger groups are dealt out as pairs of tiles this size.
-TILE = 4096
+#: Classes under one key, and shingles in their sets together, that a task compares; larger groups are dealt out as pairs of tiles
+#: of about this size (a set larger than that is a tile of its own size).
+TILE, TILE_SHINGLES = 4096, 1 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,7 +99,7 @@ def _across(cls: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> list[
     sorted once; a class's shared ones with all others are counted from their places."""
     p, q = LINKED
     sizes = np.array([len(x) for x in found])
-    flat, owner = np.concatenate(found), np.repeat(np.arange(len(cls)), sizes)
+    flat, owner = np.concatenate(found), np.repeat(np.arange(len(cls), dtype=np.int32), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     roots, counts = np.unique(root, return_counts=True)
@@ -115,11 +116,11 @@ def _across(cls: np.ndarray, root: np.ndarray, found: list[np.ndarray]) -> list[
 
 def _compared(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links between classes of different roots under one key (key, cls, n, root), all with all. Pairs are made and held
-    against the exact similarity inside a task, and only links leave it; a key with over TILE classes is dealt out by tile, each pair
-    of tiles a group of its own, so a task's memory is bounded by two tiles' sets."""
-    counts = open_keys.groupBy("key").agg(F.count("*").alias("k"))
-    tiles, own = F.ceil(F.col("k") / F.lit(TILE)).cast("int"), F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    dealt = open_keys.join(counts, "key").withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    against the exact similarity inside a task, and only links leave it; a key with over TILE classes, or TILE_SHINGLES shingles in
+    their sets, is dealt out by tile, each pair of tiles a group of its own, so a task's memory is bounded by two tiles' sets."""
+    counts = open_keys.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.least(F.count("*"), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)))).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    dealt = open_keys.join(counts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "root").join(sets, "cls").select("grp", "cls", "root", "found")
 
     def compare(batches):
@@ -142,7 +143,7 @@ def _compared(open_keys: DataFrame, sets: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= 2 * TILE:
+            if sum(t.num_rows for t in held) >= 2 * TILE or sum(t.column(3).nbytes for t in held) >= 2 * 8 * TILE_SHINGLES:
                 whole = pa.concat_tables(held)
                 grp = whole.column(0).to_numpy()
                 cut = int(np.searchsorted(grp, grp[-1]))  # the last group may go on

@@ -53,9 +53,10 @@ def test_all_open_pairs_are_compared(spark, monkeypatch):
                 words[rng.randrange(120)] = word()
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_components(rows)
     assert 6 < len(set(want.values())) < len(rows)
-    for stars, tile in ((1, 4096), (1, 5), (2, 4096)):
+    for stars, tile, shingles in ((1, 4096, 1 << 20), (1, 5, 1 << 20), (1, 4096, 300), (2, 4096, 1 << 20)):
         monkeypatch.setattr(near, "STARS", stars)
         monkeypatch.setattr(near, "TILE", tile)
+        monkeypatch.setattr(near, "TILE_SHINGLES", shingles)
         assert {r["id"]: r["component_id"] for r in near.clusters(docs.withColumn("x", F.lit(1))).collect()} == want
 
 
