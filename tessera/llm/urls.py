@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: (verdict, host, path); a rule fits its host and all subdomains, where the url's path starts with its path.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: ROUNDS is what op10's SQL fixes; elsewhere ranks are settled to TOLERANCE, or refused after MOST_ROUNDS.
 ROUNDS, WRITE_EACH, DAMPING, MOST_DISTRUST = 8, 4, 0.85, 0.5
 TOLERANCE, MOST_ROUNDS = 1e-4, 1000
