@@ -459,23 +459,24 @@ def radius_votes(source: DataFrame, reference: DataFrame, most_offset: float, bi
     """Votes for offsets (bx, by, votes) by pairs of circles (cx, cy, r) whose radii differ by up to tolerance of the larger and
     that lie less than most_offset apart on both axes; by: keys that both circles of a pair share.
 
-    Both sides are keyed by the radius's logarithmic bucket and by a grid cell most_offset wide; one side also visits the
-    neighbouring buckets and cells, which hold every circle that can pair. So the pairs come from an equi-join, not from a
-    nested loop, and votes are summed before they move. Radii up to 1 share the lowest buckets, as the tolerance is relative
-    to at least 1."""
+    Equal circles are one row with their number first, and a pair of rows votes by the product, so copies aren't expanded. Both
+    sides are keyed by the radius's logarithmic bucket and by a grid cell most_offset wide; one side also visits the neighbouring
+    buckets and cells, which hold every circle that can pair. So the pairs come from an equi-join, not from a nested loop (and
+    not from a broadcast, as neither side is bounded), and votes are summed before they move. Radii up to 1 share the lowest
+    buckets, as the tolerance is relative to at least 1."""
     width = -np.log(1 - tolerance)
     bucket = lambda r: F.floor(F.log(F.greatest(r, F.lit(1.0 - tolerance))) / F.lit(float(width))).cast("int")
-    s = source.select(*by, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").cast("double").alias("ar"))
-    t = reference.select(*by, F.col("cx").alias("bx0"), F.col("cy").alias("by0"), F.col("r").cast("double").alias("br"))
+    s = source.groupBy(*by, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("r").cast("double").alias("ar")).agg(F.count("*").alias("an"))
+    t = reference.groupBy(*by, F.col("cx").alias("bx0"), F.col("cy").alias("by0"), F.col("r").cast("double").alias("br")).agg(F.count("*").alias("bn"))
     grid = lambda v: F.floor(v / F.lit(float(most_offset)))
     near = F.array(*(F.struct((bucket(F.col("ar")) + d).alias("k"), (grid(F.col("ax")) + i).alias("gx"), (grid(F.col("ay")) + j).alias("gy")) for d in (-1, 0, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    s = s.select(*by, "ax", "ay", "ar", F.inline(near))
+    s = s.select(*by, "ax", "ay", "ar", "an", F.inline(near))
     t = t.withColumns({"k": bucket(F.col("br")), "gx": grid(F.col("bx0")), "gy": grid(F.col("by0"))})
     dx, dy = F.col("bx0") - F.col("ax"), F.col("by0") - F.col("ay")
-    pairs = s.join(t, [*by, "k", "gx", "gy"]).where((F.abs(F.col("ar") - F.col("br")) <= tolerance * F.greatest("ar", "br", F.lit(1.0))) & (F.abs(dx) < most_offset) & (F.abs(dy) < most_offset))
+    pairs = s.hint("merge").join(t, [*by, "k", "gx", "gy"]).where((F.abs(F.col("ar") - F.col("br")) <= tolerance * F.greatest("ar", "br", F.lit(1.0))) & (F.abs(dx) < most_offset) & (F.abs(dy) < most_offset))
     n = int(2 * most_offset / bin_size)
     place = lambda d: F.least(F.floor((d + most_offset) / bin_size), F.lit(n - 1)).cast("int")
-    return pairs.groupBy(*by, place(dx).alias("bx"), place(dy).alias("by")).agg(F.count("*").alias("votes"))
+    return pairs.groupBy(*by, place(dx).alias("bx"), place(dy).alias("by")).agg(F.sum(F.col("an") * F.col("bn")).alias("votes"))
 
 
 def vote_peak(votes: DataFrame, most_offset: float, bin_size: float = 4.0, by: Sequence[str] = ()) -> DataFrame:
