@@ -197,6 +197,7 @@ def judged_traps(spark, scenes: DataFrame | None = None) -> DataFrame:
     points = spark.createDataFrame([(t, float(x), float(y)) for t in TRAPS for x, y in trap_points(t)], "trap string, x double, y double")
     by = ["trap"]
     if scenes is not None:
+        scenes = T.dealt(scenes, "scene", 4096)
         by, each = ["scene", "trap"], lambda rows: F.inline(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(r, rows.columns, strict=True))) for r in rows.collect())))
         points = scenes.select("scene", "mirrored", each(points)).withColumn("x", F.when(F.col("mirrored"), TRAP_SIDE - F.col("x")).otherwise(F.col("x"))).drop("mirrored")
         traps = scenes.select("scene", each(traps)).withColumns({c: F.col(c).cast("double") for c in ("source_azimuth", "reference_azimuth")})

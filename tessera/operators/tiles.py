@@ -132,29 +132,88 @@ def found_circles(patches: DataFrame, key: str, smallest: int = 15, largest: int
 # ---------------------------------------------------------------- point sets
 
 
-def hull_shares(points: DataFrame, x: str, y: str, area: float, by: Sequence[str]) -> DataFrame:
-    """(by, share) of each group's hull in an area.
+#: Rows of a group in one batch from which on they are cut down to their hull's corners, and rows that the last step looks at together.
+_MANY, _TOGETHER = 32, 1 << 16
 
-    A hull's corners are corners of any part's hull: parts of a group are cut down to theirs first, so a group meets in one
-    task as a few corners per part, however many points it has."""
-    keys = list(by)
-    parts = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.lit(64)).cast("int"))
-    kinds = ", ".join(f"{k} {t}" for k, t in parts.select(*keys).dtypes)
 
-    cut = parts.groupBy(*keys, "__part").applyInPandas(_corner_rows(keys), f"{kinds}, x double, y double")
+def dealt(df: DataFrame, key: str, rows: int = 128) -> DataFrame:
+    """df in partitions of about rows rows, so that work which is far larger than the rows that it starts from is shared out; Spark
+    cuts small tables by their bytes alone."""
+    n = df.count()
+    return df.repartition(max(-(-n // rows), min(max(n, 1), df.sparkSession.sparkContext.defaultParallelism)), key)
 
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "share": [K.hull_share(pdf[["x", "y"]].to_numpy(), area)]})
-
-    return cut.groupBy(*keys).applyInPandas(share, f"{kinds}, share double")
 
+def hull_shares(points: DataFrame, x: str, y: str, area: float, by: Sequence[str]) -> DataFrame:
+    """(by, share) of each group's hull in an area.
 
-def _corner_rows(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = K.hull_ring(pdf[["x", "y"]].to_numpy())
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(ring) for k in keys}, "x": ring[:, 0], "y": ring[:, 1]})
+    A hull's corners are corners of any part's hull: what a batch has of a group is cut down to its corners before it moves, so a
+    large group meets in one task as a few corners of each batch. Groups then come sorted, and many are looked at together; one that
+    goes on for long is cut down again as it comes."""
+    keys = list(by)
+    places = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    kinds = "".join(f"{k} {t}, " for k, t in places.select(*keys).dtypes)
 
-    return run
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _cut_down(pa.table(batch.columns, names=batch.schema.names), len(keys)).combine_chunks().to_batches()
+
+    def shares(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        order, ends = _groups(t, len(keys))
+        xy = np.column_stack([t.column(len(keys) + k).to_numpy() for k in (0, 1)])[order]
+        found = [K.hull_share(xy[a:b], area) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        first = t.select(range(len(keys))).take(pa.array(order[ends[:-1]])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in first.columns), pa.array(found, pa.float64())], names=[*keys, "share"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.table(batch.columns, names=batch.schema.names))  # one schema, whatever can't be null
+            if sum(t.num_rows for t in held) < _TOGETHER:
+                continue
+            whole = pa.concat_tables(held)
+            order, ends = _groups(whole, len(keys))
+            last = next(k for k in range(len(ends) - 1) if (order[ends[k] : ends[k + 1]] == whole.num_rows - 1).any())
+            own = np.sort(order[ends[last] : ends[last + 1]])  # the last group may go on
+            rest = np.setdiff1d(np.arange(whole.num_rows), own, assume_unique=True)
+            if len(rest):
+                yield from shares(whole.take(pa.array(rest)))
+            held = [_cut_down(whole.take(pa.array(own)), len(keys))]
+        if held:
+            yield from shares(pa.concat_tables(held))
+
+    cut = places.mapInArrow(corners, f"{kinds}x double, y double")
+    met = cut.repartition(*keys).sortWithinPartitions(*keys) if keys else cut.coalesce(1)
+    return met.mapInArrow(run, f"{kinds}share double")
+
+
+def _groups(t: pa.Table, n_keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): rows of t by its first n_keys columns, and where each group starts and the last ends. Nulls are a key as others."""
+    code = np.zeros(t.num_rows, np.int64)
+    for k in range(n_keys):
+        column = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        pair = code * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(pair, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    return order, np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0, [True]]))
+
+
+def _cut_down(t: pa.Table, n_keys: int) -> pa.Table:
+    """t (keys, x, y) with each group of over _MANY rows cut down to its hull's corners."""
+    order, ends = _groups(t, n_keys)
+    size = np.diff(ends)
+    if not (size > _MANY).any():
+        return t
+    xy = np.column_stack([t.column(n_keys + k).to_numpy() for k in (0, 1)])[order]
+    at, out = [order[np.repeat(size <= _MANY, size)]], [xy[np.repeat(size <= _MANY, size)]]
+    for k in np.flatnonzero(size > _MANY):
+        ring = K.hull_ring(xy[ends[k] : ends[k + 1]])
+        at.append(np.full(len(ring), order[ends[k]]))
+        out.append(ring)
+    kept, place = t.take(pa.array(np.concatenate(at))), np.concatenate(out)
+    return pa.table([*(kept.column(k) for k in range(n_keys)), pa.array(place[:, 0]), pa.array(place[:, 1])], names=t.column_names)
 
 
 def robust_inliers(points: DataFrame, by: str, threshold: float, affine: bool = False, least: int = 4, most: int = 200_000) -> DataFrame:

@@ -19,3 +19,45 @@ def test_votes_of_equal_circles(spark):
     many = one.where("cx = 10").crossJoin(spark.range(100_000)).drop("id")
     got = P.radius_votes(many, many.withColumn("cx", F.col("cx") + 2), 16.0).collect()
     assert [(r["bx"], r["by"], r["votes"]) for r in got] == [(4, 4, 10**10)]
+
+
+def test_hulls_of_many_small_groups(spark):
+    """Groups are looked at many at a time, not one after another by a call each, and cut anywhere."""
+    import numpy as np
+
+    from tessera.functions import kernels as K
+    from tessera.operators import tiles as T
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 40, 30_000, 70_000, *rng.integers(1, 90, 300).tolist()]
+    rows = [(None if g == 3 else g, str(g % 2), float(x), float(y)) for g, n in enumerate(sizes) for x, y in rng.integers(0, 500, (n, 2))]
+    df = spark.createDataFrame(rows, "g int, part string, x double, y double").repartition(5, "x")
+    out = T.hull_shares(df, "x", "y", 1e6, ["g", "part"])
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    want = {(g, p): K.hull_share(np.array([(x, y) for a, _, x, y in rows if a == g]), 1e6) for g, p in {(r[0], r[1]) for r in rows}}
+    assert {(r["g"], r["part"]): r["share"] for r in out.collect()} == want
+    assert T.hull_shares(df, "x", "y", 1e6, []).collect()[0]["share"] == K.hull_share(np.array([r[2:] for r in rows]), 1e6)
+    own = spark.range(30_000).select("id", (F.col("id") * 7 % 501).cast("double").alias("x"), (F.col("id") * 11 % 503).cast("double").alias("y"), F.when(F.col("id") < 20_000, F.col("id")).otherwise(-1).alias("g"))
+    assert T.hull_shares(own, "x", "y", 1e6, ["g"]).where("share > 0").collect()[0]["g"] == -1  # keys that can't be null
+    assert T.hull_shares(df.limit(0), "x", "y", 1e6, ["g"]).count() == 0
+
+
+def test_box_maximum():
+    import numpy as np
+
+    from tessera.operators.circles import _box_maximum
+
+    a = np.random.default_rng(2).normal(size=(37, 50))
+    for r in (0, 1, 3, 4, 20, 60):
+        want = [[a[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].max() for x in range(50)] for y in range(37)]
+        assert (_box_maximum(a, r) == np.array(want)).all()
+
+
+def test_images_are_drawn_by_many_tasks(spark):
+    """A small table of keys stays in one partition by its bytes, whatever each row costs."""
+    from tessera.plans.kernel_queries import QUERIES, _rings
+
+    sf = "/root/testdata/sf0.1"
+    assert _rings(spark, sf).rdd.getNumPartitions() >= 8
+    for name in ("hough_circles", "dense_rotation"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
