@@ -69,6 +69,18 @@ def votes(found: DataFrame, radii: range) -> DataFrame:
     return found.mapInPandas(vote, "image_id string, r int, cx int, cy int, n long").groupBy("image_id", "r", "cx", "cy").agg(F.sum("n").alias("n"))
 
 
+def _box_maximum(a: np.ndarray, r: int) -> np.ndarray:
+    """The maximum within r of each place on both axes: of windows twice as long at each step, and of two that overlap at last."""
+    for axis in (0, 1):
+        a = np.moveaxis(a, axis, 0)
+        m, size = np.pad(a, ((r, r), (0, 0)), constant_values=-np.inf), 1
+        while 2 * size <= 2 * r + 1:
+            m, size = np.maximum(m[:-size], m[size:]), 2 * size
+        rest = 2 * r + 1 - size
+        a = np.moveaxis(np.maximum(m[: len(m) - rest], m[rest:]), 0, axis)
+    return a
+
+
 def maxima(counts: DataFrame, sizes: DataFrame, least_votes: float, size: int = 512) -> DataFrame:
     """(image_id, r, cx, cy, score): centres within the raster whose smoothed votes (the kernel's weights times 2 pi) are least_votes and
     more, and the most within r of them on both axes, the first by row and column of equal ones. A task has one radius in one cell."""
@@ -84,7 +96,7 @@ def maxima(counts: DataFrame, sizes: DataFrame, least_votes: float, size: int =
         acc = np.zeros((y1 - y0, x1 - x0))
         np.add.at(acc, (pdf["cy"].to_numpy() - y0, pdf["cx"].to_numpy() - x0), pdf["n"].to_numpy())
         acc = K.gaussian(acc, 1.0) * 2 * np.pi
-        ys, xs = np.nonzero(acc >= max(least_votes, 1))
+        ys, xs = np.nonzero((acc >= max(least_votes, 1)) & (acc > _box_maximum(acc, int(r)) * (1 - 1e-12)))
         out = []
         for y, x in zip(ys, xs, strict=True):
             if not (gy * size <= y + y0 < (gy + 1) * size and gx * size <= x + x0 < (gx + 1) * size):

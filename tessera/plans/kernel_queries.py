@@ -124,9 +124,14 @@ def dense_match(spark, d):
     return found.groupBy("patch").agg(F.median(F.col("rx") - F.col("sx")).alias("dx"), F.median(F.col("ry") - F.col("sy")).alias("dy")).select("patch", r("dx", 0).alias("dx"), r("dy", 0).alias("dy"))
 
 
+def _places(spark, d):
+    """Where each supplier's ring is; place and radius by its key."""
+    return table(spark, d, "supplier").select("s_suppkey", (70 + F.col("s_suppkey") % 20).alias("cx"), (85 - F.col("s_suppkey") % 15).alias("cy"), (20 + 2 * (F.col("s_suppkey") % 5)).alias("r"))
+
+
 def _rings(spark, d):
-    """A bright ring for each supplier; place and radius by its key."""
-    where = table(spark, d, "supplier").select("s_suppkey", (70 + F.col("s_suppkey") % 20).alias("cx"), (85 - F.col("s_suppkey") % 15).alias("cy"), (20 + 2 * (F.col("s_suppkey") % 5)).alias("r"))
+    """A bright ring for each supplier; a task has few, as an image is far larger than the row that it is drawn from."""
+    where = T.dealt(_places(spark, d), "s_suppkey")
 
     def draw(batches):
         yy, xx = np.mgrid[0:160, 0:160]
@@ -140,10 +145,9 @@ def _rings(spark, d):
 @query("hough_circles", "SELECT s_suppkey, true AS found FROM supplier")
 def hough_circles(spark, d):
     """Whether the strongest circle of each supplier's ring is that ring, within 3 pixels."""
-    rings = _rings(spark, d)
-    found = T.found_circles(rings.select("s_suppkey", "h", "w", "dtype", "px"), "s_suppkey", 15, 40).withColumnsRenamed({"cx": "fx", "cy": "fy", "r": "fr"})
+    found = T.found_circles(_rings(spark, d).select("s_suppkey", "h", "w", "dtype", "px"), "s_suppkey", 15, 40).withColumnsRenamed({"cx": "fx", "cy": "fy", "r": "fr"})
     near = (F.hypot(F.col("fx") - F.col("cx"), F.col("fy") - F.col("cy")) <= 3) & (F.abs(F.col("fr") - F.col("r")) <= 3)
-    return rings.select("s_suppkey", "cx", "cy", "r").join(found, "s_suppkey", "left").groupBy("s_suppkey").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("found"))
+    return _places(spark, d).join(found, "s_suppkey", "left").groupBy("s_suppkey").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("found"))
 
 
 @query("hull_area", f"""WITH {TP}, p AS MATERIALIZED (SELECT DISTINCT supp, okey % 16 AS part, sx, sy FROM tp),
@@ -329,7 +333,7 @@ def dense_rotation(spark, d):
                 rows.append((k, 96, 96, "<f8", a.tobytes(), 96, 96, "<f8", b.tobytes()))
             yield type(pdf)(rows, columns=["s_suppkey", "a_h", "a_w", "a_dtype", "a_px", "b_h", "b_w", "b_dtype", "b_px"])
 
-    pairs = table(spark, d, "supplier").select("s_suppkey").repartition("s_suppkey").mapInPandas(draw, "s_suppkey long, a_h int, a_w int, a_dtype string, a_px binary, b_h int, b_w int, b_dtype string, b_px binary")
+    pairs = T.dealt(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").mapInPandas(draw, "s_suppkey long, a_h int, a_w int, a_dtype string, a_px binary, b_h int, b_w int, b_dtype string, b_px binary")
     turn = F.radians(2 + F.col("s_suppkey") % 3)
     x, y = (F.col("sx") - 47.5) * 1.05, (F.col("sy") - 47.5) * 1.05
     away = F.hypot(F.cos(turn) * x - F.sin(turn) * y + 47.5 - F.col("rx"), F.sin(turn) * x + F.cos(turn) * y + 47.5 - F.col("ry"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import circles as C
 from tessera.operators import scenes as S
 from tessera.operators import tiles as T
-from tessera.plans.kernel_queries import PATCHES, _DISC, _image, _rings, r
+from tessera.plans.kernel_queries import PATCHES, _DISC, _image, _places, _rings, r
 from tessera.plans.views import table
 from tessera.sources.geotiff import read_geotiff, write_geotiff
 from tessera.sources.shared import new_folder
@@ -130,7 +130,7 @@ def circles_scene(spark, d):
     tiles = rings.select(F.lit("rings").alias("image_id"), place.alias("row_off"), F.lit(0).alias("col_off"), "h", "w", "dtype", "px")
     found = C.circles(tiles, 15, 40, size=256).select(F.floor(F.col("cy") / 160).alias("s_suppkey"), F.col("cx").alias("fx"), (F.col("cy") % 160).alias("fy"), F.col("r").alias("fr"))
     near = (F.hypot(F.col("fx") - F.col("cx"), F.col("fy") - F.col("cy")) <= 3) & (F.abs(F.col("fr") - F.col("r")) <= 3)
-    held = table(spark, d, "supplier").select("s_suppkey").join(rings.select("s_suppkey", "cx", "cy", "r"), "s_suppkey").join(found, "s_suppkey", "left")
+    held = table(spark, d, "supplier").select("s_suppkey").join(_places(spark, d), "s_suppkey").join(found, "s_suppkey", "left")
     return held.groupBy("s_suppkey").agg(F.count("fx").alias("n"), F.bool_or(F.coalesce(near, F.lit(False))).alias("found"))
 
 
