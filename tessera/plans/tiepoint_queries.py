@@ -144,10 +144,11 @@ def override_counts(spark, d):
     return P.override_counts(s, model).select("total_count", "clipped_count", F.col("inlier_count").cast("int"), "inlier_ratio")
 
 
-@query("uniform_subsample", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS k FROM lineitem)
+@query("uniform_subsample", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) - 1 AS k FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_quantity FROM o WHERE k IN (SELECT CAST(floor(i * n / 800.0) AS BIGINT) FROM range(800) t(i), (SELECT count(*) AS n FROM lineitem))""")
 def uniform_subsample(spark, d):
-    chosen = P.uniform_subsample(table(spark, d, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber"], 800)
+    """800 rows evenly along the order, whose last key tells apart all rows that differ in the result."""
+    chosen = P.uniform_subsample(table(spark, d, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"], 800)
     return chosen.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
