@@ -8,22 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import METRES_PER_DEGREE, clamp, equirectangular, half_even, wrap_longitude
+from tessera.sources.shared import written
 
 BOX = ("left", "bottom", "right", "top")
+#: Pairs of boxes that a task of overlaps() compares.
+TASK_PAIRS = 5_000_000
 
 
 def overlaps(a: DataFrame, b: DataFrame, cell: float, least_pct: float = 0.001) -> DataFrame:
     """Pairs of boxes (id, left, bottom, right, top) that share an area: (a_id, b_id, left, bottom, right, top, a_pct, b_pct).
 
     Boxes are dealt to the grid cells that they touch and joined by cell; a pair counts in the cell of its shared lower left
-    corner alone, so no distinct is needed. Touching edges share nothing. A pair goes only if its area is under least_pct of
+    corner alone, so no distinct is needed. A cell's pairs are counted first: a cell with over TASK_PAIRS is shared out by a's boxes,
+    and there are as many tasks as pairs ask for, since the boxes' bytes say little about them. Touching edges share nothing. A pair goes only if its area is under least_pct of
     both boxes."""
     def dealt(df: DataFrame, p: str) -> DataFrame:
         named = df.select(F.col("id").alias(f"{p}_id"), *(F.col(c).cast("double").alias(f"{p}_{c}") for c in BOX))
         cells = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}_{lo}") / cell).cast("long"), F.floor(F.col(f"{p}_{hi}") / cell).cast("long"))
         return named.withColumn("gx", F.explode(cells("left", "right"))).withColumn("gy", F.explode(cells("bottom", "top")))
 
-    pairs = dealt(a, "a").join(dealt(b, "b"), ["gx", "gy"])
+    left, right = dealt(a, "a"), dealt(b, "b")
+    sizes = left.groupBy("gx", "gy").agg(F.count("*").alias("n")).join(right.groupBy("gx", "gy").agg(F.count("*").alias("m")), ["gx", "gy"])
+    shares = written(sizes.select("gx", "gy", (F.col("n") * F.col("m")).alias("pairs"), F.ceil(F.col("n") * F.col("m") / F.lit(TASK_PAIRS)).cast("int").alias("shares")), "cell-sizes")
+    tasks = max(-(-(shares.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS), a.sparkSession.sparkContext.defaultParallelism)
+    keys = ["gx", "gy", "share"]
+    left = left.join(shares, ["gx", "gy"]).withColumn("share", F.pmod(F.xxhash64("a_id", *(f"a_{c}" for c in BOX)), F.col("shares")).cast("int"))
+    right = right.join(shares, ["gx", "gy"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    pairs = left.drop("pairs", "shares").repartition(tasks, *keys).hint("merge").join(right.drop("pairs", "shares").repartition(tasks, *keys), keys)
     shared = pairs.withColumns({
         "left": F.greatest("a_left", "b_left"), "bottom": F.greatest("a_bottom", "b_bottom"),
         "right": F.least("a_right", "b_right"), "top": F.least("a_top", "b_top"),
