@@ -197,7 +197,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
     every = map_columns(distinct.select("fp"), file, "key long, fp long")
     shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = every.join(shared, "key")
+    filed = every.join(shared.hint("merge"), "key")  # nothing that grows with the rows passes through the driver
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = (
@@ -238,11 +238,11 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = written(known, "rooted-fingerprints")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = known.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("id", "fp", "component_id")
+    by_fp = known.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(by_fp.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

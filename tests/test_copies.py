@@ -61,3 +61,34 @@ def test_images_are_drawn_by_many_tasks(spark):
     assert _rings(spark, sf).rdd.getNumPartitions() >= 8
     for name in ("hough_circles", "dense_rotation"):
         assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, sf))
+
+
+def test_boxes_of_one_cell_are_shared_out(spark, monkeypatch):
+    """All boxes in one cell: their pairs are cut into shares, and none is lost or found twice."""
+    from tessera.operators import footprints as G
+
+    monkeypatch.setattr(G, "TASK_PAIRS", 1000)
+    box = lambda k: (k, k % 7 * 1.0, k % 5 * 1.0, k % 7 + 3.0, k % 5 + 3.0)
+    rows = [box(k) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, left double, bottom double, right double, top double").repartition(1)
+    out = G.overlaps(df, df, 100.0)
+    want = sorted((a[0], b[0]) for a in rows for b in rows if max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4]))
+    assert sorted((r["a_id"], r["b_id"]) for r in out.collect()) == want
+    assert out.rdd.getNumPartitions() == 15
+    assert G.overlaps(df.limit(0), df, 100.0).count() == 0
+
+
+def test_links_and_components_pass_nothing_through_the_driver(spark, monkeypatch):
+    from tessera.llm import components, simhash
+
+    plans, written = [], components.written
+
+    def noted(df, name):
+        plans.append(plan(df))
+        return written(df, name)
+
+    for module in (components, simhash):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.createDataFrame([(k, f"one two three {k % 9}") for k in range(40)], "doc_id long, text string")
+    plans.append(plan(simhash.clusters(docs)))
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
