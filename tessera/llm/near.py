@@ -1,8 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, for the pipeline's stage (op9's query has a contract of its own).
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles, for the pipeline's stage (op9's query has a contract of its
+own).
 
-A text's set is the 64-bit hashes of its runs of SHINGLE words, ASCII letters lowered. Texts of equal sets are one class. Classes
-are filed under BANDS keys of ROWS minima each: a pair of similarity s shares none with probability (1 - s^ROWS)^BANDS, 5e-8 at
-0.8. Every pair filed together is held against the exact similarity, unless other links join it already."""
+A text's set is the 64-bit hashes of its runs of SHINGLE words, ASCII letters lowered. Texts of equal sets are one class. A class's
+fingerprint is the majority of its set's bits. Fingerprints are linked by simhash.links, through Golay keys and their Hamming
+distance, and the classes so found together are held against the exact similarity first.
+
+That alone would lose links: at a similarity of 0.8 fingerprints differ in about ten bits, more than Golay keys of 64 bits reach. So
+classes are also filed under BANDS keys of ROWS minima each: a pair of similarity s shares none with probability
+(1 - s^ROWS)^BANDS, 5e-8 at 0.8. Every pair filed together is held against the exact similarity, unless links, those of the
+fingerprints among them, join it already."""
 
 from __future__ import annotations
 
@@ -12,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import map_columns, mixed, raw_texts, run_hashes, word_hashes, written
 from .components import components
 
@@ -55,7 +62,8 @@ def _filed(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = [shingles(x) for x in raw_texts(batch.column(1))]  # the third column is the text's digest
     cls = pa.array(np.array([_class(x) for x in found], np.uint64).view(np.int64), pa.int64())
     keys = pa.array([band_keys(x).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array([len(x) for x in found], pa.int32()), keys], names=["id", "text_md5", "cls", "n", "keys"])
+    fp = pa.array(np.array([simhash.majority(x) for x in found], np.uint64).view(np.int64), pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cls, pa.array([len(x) for x in found], pa.int32()), fp, keys], names=["id", "text_md5", "cls", "n", "fp", "keys"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -64,18 +72,29 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cls, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["cls", "found"])
 
 
-def _rooted(filed: DataFrame, linked: DataFrame | None) -> DataFrame:
+def printed(classes: DataFrame) -> DataFrame:
+    """(a, b, n, m): of classes (cls, n, fp) those that fingerprints put together, with their sets' sizes: each with the least class of
+    its fingerprint, and the least ones of fingerprints linked. A fingerprint's classes aren't paired all with all; what that leaves
+    unlinked is left to the other keys."""
+    least = written(classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("c")).select("fp", F.col("c.cls").alias("b"), F.col("c.n").alias("m")), "near-fingerprints")
+    alike = classes.join(least.hint("merge"), "fp").where("cls != b").select(F.col("cls").alias("a"), "b", "n", "m")
+    linked = written(simhash.links(least.select("fp")).distinct(), "near-fingerprint-links")
+    left, right = least.select(F.col("fp").alias("a"), F.col("b").alias("x"), F.col("m").alias("n")), least.select(F.col("fp").alias("b"), F.col("b").alias("y"), "m")
+    across = linked.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m")
+    return alike.unionByName(across)
+
+
+def _rooted(filed: DataFrame, linked: DataFrame) -> DataFrame:
     """(key, cls, n, root) of the keys whose classes links don't join yet."""
-    roots = filed.withColumn("root", F.col("cls"))
-    if linked is not None:
-        roots = filed.join(components(linked).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = filed.join(components(linked).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = written(roots.select("key", "cls", "n", "root"), "near-rooted")
     return roots.join(roots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "key")
 
 
-def links(filed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that join the same classes as all pairs filed (key, cls, n) under one key whose sets (cls, found) are similar
-    enough. Rounds of stars join most; what they don't is compared all with all inside tasks, so no pair is left out."""
+def links(filed: DataFrame, sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(a, b): links that join the same classes as all pairs filed (key, cls, n) under one key, and the candidates (a, b, n, m), whose
+    sets (cls, found) are similar enough. Candidates and rounds of stars join most; what they don't is compared all with all inside
+    tasks, so no pair is left out."""
     x, y = sets.select(F.col("cls").alias("a"), F.col("found").alias("left")), sets.select(F.col("cls").alias("b"), F.col("found").alias("right"))
     p, q = LINKED
 
@@ -84,13 +103,12 @@ def links(filed: DataFrame, sets: DataFrame) -> DataFrame:
         shared, both = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
         return written(sized.join(x, "a").join(y, "b").where(q * shared >= p * (both - shared)).select("a", "b"), "near-links")
 
-    linked = None
+    linked = similar(candidates)
     for k in range(STARS):
         open_keys = _rooted(filed, linked)
         centres = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("h"), F.xxhash64("cls", F.lit(k)).alias("g"), "cls", "n", "root")).alias("c"))
         pairs = open_keys.join(centres.select("key", F.col("c.cls").alias("b"), F.col("c.n").alias("m"), F.col("c.root").alias("other")), "key").where("root != other")
-        new = similar(pairs.select(F.col("cls").alias("a"), "b", "n", "m"))
-        linked = new if linked is None else linked.unionByName(new)
+        linked = linked.unionByName(similar(pairs.select(F.col("cls").alias("a"), "b", "n", "m")))
     return linked.unionByName(written(_compared(_rooted(filed, linked), sets), "near-links"))
 
 
@@ -160,13 +178,15 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, text_md5, root): a row for each of docs, root the same for all rows that links join. A null text is an empty one."""
     kind = docs.select(id_col).dtypes[0][1]
     rows = docs.select(id_col, text_col, F.md5(F.coalesce(text_col, F.lit(""))).alias("md5"))
-    prints = written(map_columns(rows, _filed, f"id {kind}, text_md5 string, cls long, n int, keys array<long>"), "near-prints")
-    distinct = written(prints.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "near-classes")
+    prints = written(map_columns(rows, _filed, f"id {kind}, text_md5 string, cls long, n int, fp long, keys array<long>"), "near-prints")
+    distinct = written(prints.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "near-classes")
     every = distinct.select("cls", "n", F.explode("keys").alias("key"))
     filed = written(every.join(every.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key").select("key", "cls", "n"), "near-filed")
+    candidates = written(printed(distinct.select("cls", "n", "fp")), "near-candidates")
     of = map_columns(docs.select(text_col), _sets, "cls long, found array<long>")
-    sets = written(of.join(filed.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.any_value("found").alias("found")), "near-sets")
-    roots = components(links(filed, sets)).withColumnRenamed("node", "cls")
+    asked = filed.select("cls").unionByName(candidates.select(F.col("a").alias("cls"))).unionByName(candidates.select(F.col("b").alias("cls"))).distinct()
+    sets = written(of.join(asked, "cls", "left_semi").groupBy("cls").agg(F.any_value("found").alias("found")), "near-sets")
+    roots = components(links(filed, sets, candidates)).withColumnRenamed("node", "cls")
     known = written(distinct.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "near-roots")
     return prints.join(known, "cls").select("id", "text_md5", "root")
 

@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near
 from .common import map_columns, raw_texts, table, written
 from .components import components
 
@@ -40,8 +39,16 @@ _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the bina
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def majority(h: np.ndarray) -> int:
+    """64 bits: bit k is set if over half of h have it. Of none: 0."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 14):
+        total += np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes) -> int:
-    """The 64 bits of a text's UTF-8: bit k is set if over half of its shingles' hashes have it. No word: 0."""
+    """The 64 bits of a text's UTF-8: those that over half of its shingles' hashes have. No word: 0."""
     words = text.translate(_LOWER).split()
     if not words:
         return 0
@@ -51,11 +58,7 @@ def fingerprint(text: bytes) -> int:
         return digest(line, 42)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts, ends = [0, *(ends[:-SHINGLE] + 1).tolist()], ends[SHINGLE - 1 :].tolist()
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    total = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 14):
-        total += np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +255,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each component of near-duplicates (near.rooted: five-word shingles, similarity of 0.8 and more) one
-    row with all its columns, that of the smallest doc_id. Rows with one doc_id and unlike texts are judged apart; null texts are
+    """The pipeline's stage: of each component of near-duplicates (near.rooted: fingerprints of five-word shingles, filed under Golay
+    keys, and an exact similarity of 0.8 and more) one row with all its columns, that of the smallest doc_id. Rows with one doc_id and unlike texts are judged apart; null texts are
     empty, and all empty texts are alike; a component whose ids are all null keeps one; an empty table stays empty."""
+    from . import near  # which takes fingerprints and their links from here
+
     return near.kept(docs)
