@@ -53,7 +53,7 @@ def active_cells(valid_pixels: DataFrame, rows: int, cols: int, height: int, wid
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """med_* of each column. passes: by passes of binned counts, for groups too large for one aggregate's state; unless told, large
     tables go that way."""
-    if by_passes(df, passes):
+    if by_passes(df, passes, by):
         if not by:
             return df.sparkSession.range(1).select(*(F.lit(exact_percentiles(df, c, (0.5,))[0]).cast("double").alias(f"med_{c}") for c in columns))
         each = [grouped_percentiles(df, c, (0.5,), by).withColumnRenamed("q0", f"med_{c}") for c in columns]
@@ -69,7 +69,7 @@ def _beside(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 def mad_inliers(df: DataFrame, columns: Sequence[str], floor: float, factor: float = 3.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """Rows within max(factor * MAD, floor) of the median on all columns; passes as for medians(). A row with a NaN or null stays
     out."""
-    passes = by_passes(df, passes)
+    passes = by_passes(df, passes, by)
     held = _beside(df, medians(df, columns, by, passes), by)
     away = held.withColumns({f"dev_{c}": F.abs(F.col(c) - F.col(f"med_{c}")) for c in columns})
     devs = medians(away, [f"dev_{c}" for c in columns], by, passes)
@@ -298,7 +298,7 @@ def padding(confidence: Column, drift: Column, height: Column, base: int = 200)
 def drift_regression(df: DataFrame, row: str = "sy", by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """Slope and intercept of the offsets (dx, dy) on a row, with the number of points, means and medians (as medians() finds them)."""
     dx, dy = F.col("rx") - F.col("sx"), F.col("ry") - F.col("sy")
-    if by_passes(df, passes):
+    if by_passes(df, passes, by):
         held = df.withColumns({"dx": dx, "dy": dy})
         med = medians(held, ["dx", "dy"], by, True).withColumnsRenamed({"med_dx": "dx_median", "med_dy": "dy_median"})
         lines = held.groupBy(*by).agg(F.count("*").alias("n"), *(f(c, row).alias(f"{c}_{n}") for c in ("dx", "dy") for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))))
@@ -395,7 +395,7 @@ def layer_rmse(df: DataFrame, dx: Column, dy: Column) -> DataFrame:
 def residual_stats(df: DataFrame, clip: float = 3.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """Of residuals (dx, dy): medians, MADs, inliers within clip of the median, and RMSE, mean and maximum of the distance over
     inliers (all points where there are none)."""
-    many = by_passes(df, passes)
+    many = by_passes(df, passes, by)
     held = _beside(df, medians(df, ("dx", "dy"), by, many), by).withColumn("dist", F.hypot("dx", "dy"))
     inlier = F.hypot(F.col("dx") - F.col("med_dx"), F.col("dy") - F.col("med_dy")) <= clip
     held = held.withColumn("inlier", inlier)

@@ -16,14 +16,22 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import written
 
-#: Rows up to which Spark's exact aggregate, whose state is a group's different values, is used.
-MOST_HELD = 20_000_000
+#: Rows up to which Spark's exact aggregate, whose state is a group's different values, is used; of larger tables it is used where no
+#: group has over MOST_HELD / HELD_GROUPS rows, as a task has the states of HELD_GROUPS groups (Spark's
+#: spark.sql.objectHashAggregate.sortBased.fallbackThreshold) at once and goes on with one at a time.
+MOST_HELD, HELD_GROUPS = 20_000_000, 128
 _LOW = np.int64((1 << 63) - 1)
 
 
-def by_passes(df: DataFrame, passes: bool | None) -> bool:
-    """Whether percentiles of df are to be found by passes of counts: as told, or from MOST_HELD rows on. Both ways give the same."""
-    return df.count() > MOST_HELD if passes is None else passes
+def by_passes(df: DataFrame, passes: bool | None, by: Sequence[str] = ()) -> bool:
+    """Whether percentiles of df by groups are to be found by passes of counts: as told, or of over MOST_HELD rows, unless all groups
+    are small. Both ways give the same."""
+    if passes is not None:
+        return passes
+    if not by:
+        return df.count() > MOST_HELD
+    total, largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return (total or 0) > MOST_HELD and largest > MOST_HELD // HELD_GROUPS
 
 
 def number(c: str | Column) -> Column:

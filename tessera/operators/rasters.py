@@ -91,7 +91,7 @@ def percentile_stretch(df: DataFrame, low: float = 0.02, high: float = 0.98, lea
     aggregate's state can't hold a group's different values; unless told, large tables go that way."""
     q = lambda x, share: F.percentile(number(x), F.lit(share))
     ok = F.when(valid("v"), F.col("v"))
-    passes = by_passes(df, passes)
+    passes = by_passes(df, passes, by)
     if passes and by:
         only = df.where(valid("v"))
         lo, hi = (grouped_percentiles(x, "v", (share,), by).withColumnRenamed("q0", n) for x, share, n in ((only, low, "lo"), (df if high_of_all else only, high, "hi")))
@@ -140,7 +140,7 @@ def sobel(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def shadow_mask(df: DataFrame, share: float = 0.05, radius: int = 3, least: int = 100, nodata: float = 0.0, by: Sequence[str] = (), passes: bool | None = None) -> DataFrame:
     """(by, row, col, ok): pixels of each image (by) that are neither shadow nor without data. Shadow is what lies at or under the valid values'
     share percentile, grown by a disc of radius; under least valid pixels all are ok."""
-    if by_passes(df, passes):
+    if by_passes(df, passes, by):
         only, n = df.where(valid("v")), df.groupBy(*by).agg(F.count_if(valid("v")).alias("n"))
         stats = n.join(grouped_percentiles(only, "v", (share,), by).withColumnRenamed("q0", "floor"), list(by), "left") if by else n.withColumn("floor", F.lit(exact_percentiles(only, "v", (share,))[0]).cast("double"))
     else:
