@@ -10,14 +10,31 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions import kernels as K
 from tessera.operators.tiles import TILE, pixels_of
 from tessera.sources.shared import written
 
 PLACE = ["image_id", "row_off", "col_off"]
+#: Tiles that a task has in pandas at once.
+HELD = 32
+
+
+def few_at_once(tiles: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """tiles through f as mapInPandas does it, but f gets HELD of them at a time. Of an Arrow batch, which Spark fills up to
+    spark.sql.execution.arrow.maxBytesPerBatch, there is so no second copy in pandas, nor a third of what f makes of it."""
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(batch.slice(k, HELD).to_pandas() for batch in batches for k in range(0, batch.num_rows, HELD)):
+            yield pa.RecordBatch.from_pandas(out, made, preserve_index=False)
+
+    return tiles.mapInArrow(run, schema)
 
 
 def each_tile(tiles: DataFrame, f: Callable[..., np.ndarray], *extra: str) -> DataFrame:
@@ -31,7 +48,7 @@ def each_tile(tiles: DataFrame, f: Callable[..., np.ndarray], *extra: str) -> Da
                 out.append((t.image_id, t.row_off, t.col_off, *a.shape, a.dtype.str, a.tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TILE.split(", ")])
 
-    return tiles.select(*(c.split()[0] for c in TILE.split(", ")), *(c for c in extra if c not in PLACE)).mapInPandas(run, TILE)
+    return few_at_once(tiles.select(*(c.split()[0] for c in TILE.split(", ")), *(c for c in extra if c not in PLACE)), run, TILE)
 
 
 def sizes(tiles: DataFrame) -> DataFrame:
@@ -48,7 +65,7 @@ def pixels(tiles: DataFrame) -> DataFrame:
                 y, x = np.divmod(np.arange(t.h * t.w), t.w)
                 yield pd.DataFrame({"image_id": t.image_id, "row": (y + t.row_off).astype(np.int32), "col": (x + t.col_off).astype(np.int32), "v": pixels_of(t.h, t.w, t.dtype, t.px).ravel().astype(float)})
 
-    return tiles.select(*(c.split()[0] for c in TILE.split(", "))).mapInPandas(run, "image_id string, row int, col int, v double")
+    return few_at_once(tiles.select(*(c.split()[0] for c in TILE.split(", "))), run, "image_id string, row int, col int, v double")
 
 
 # ---------------------------------------------------------------- order statistics
@@ -89,7 +106,7 @@ def percentiles(tiles: DataFrame, shares: Sequence[float], positive: bool = True
     wanted = None
     for shift in (48, 32, 16, 0):
         prefixes = tiles.select("image_id").distinct().withColumn("prefixes", F.array(F.lit(0).cast("long"))) if wanted is None else wanted.groupBy("image_id").agg(F.collect_set("prefix").alias("prefixes"))
-        seen = tiles.select("image_id", "h", "w", "dtype", "px").join(prefixes, "image_id").mapInPandas(counting(shift), "image_id string, prefix long, level long, n long")
+        seen = few_at_once(tiles.select("image_id", "h", "w", "dtype", "px").join(prefixes, "image_id"), counting(shift), "image_id string, prefix long, level long, n long")
         counts = written(seen.groupBy("image_id", "prefix", "level").agg(F.sum("n").alias("n")), "levels")
         if wanted is None:
             total = counts.groupBy("image_id").agg(F.sum("n").alias("total"))
@@ -138,9 +155,10 @@ def stretched(tiles: DataFrame, low: float = 2, high: float = 98, least: int = 1
 
 def _mirrored(first: int, end: int, size: int, padded: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, source): places up to padded, beyond size mirrored, whose sources are from first to end."""
-    source = K._folded(np.arange(padded), size)
-    place = np.flatnonzero((source >= first) & (source < end))
-    return place, source[place] - first
+    place = np.concatenate([np.arange(first, end), np.arange(size, padded)])  # others are their own sources
+    source = K._folded(place, size)
+    own = (source >= first) & (source < end)
+    return place[own], source[own] - first
 
 
 def equalised(tiles: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
@@ -160,7 +178,7 @@ def equalised(tiles: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
                 level, n = np.unique(key, return_counts=True)
                 yield pd.DataFrame({"image_id": t.image_id, "cell": (level // 256).astype(np.int32), "level": (level % 256).astype(np.int32), "n": n})
 
-    hist = sized.mapInPandas(count, "image_id string, cell int, level int, n long").groupBy("image_id", "cell", "level").agg(F.sum("n").alias("n"))
+    hist = few_at_once(sized, count, "image_id string, cell int, level int, n long").groupBy("image_id", "cell", "level").agg(F.sum("n").alias("n"))
     cells = hist.groupBy("image_id", "cell").agg(F.collect_list(F.struct("level", "n")).alias("counts"))  # 256 at most
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +261,7 @@ def filtered(tiles: DataFrame, margin: int, f: Callable[[np.ndarray], np.ndarray
             out.append((image if name is None else f"{image}#{name}", int(y0), int(x0), *a.shape, a.dtype.str, a.tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TILE.split(", ")])
 
-    pieces = sized.mapInPandas(cut, "image_id string, gy int, gx int, height int, width int, y int, x int, h int, w int, dtype string, px binary")
+    pieces = few_at_once(sized, cut, "image_id string, gy int, gx int, height int, width int, y int, x int, h int, w int, dtype string, px binary")
     return pieces.groupBy("image_id", "gy", "gx").applyInPandas(run, TILE)
 
 
@@ -265,7 +283,7 @@ def gradient(tiles: DataFrame, size: int = 512) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"image_id": pdf["image_id"], "m": [float(pixels_of(*x).max()) for x in zip(pdf["h"], pdf["w"], pdf["dtype"], pdf["px"], strict=True)]})
 
-    most = raw.select("image_id", "h", "w", "dtype", "px").mapInPandas(top, "image_id string, m double").groupBy("image_id").agg(F.max("m").alias("most"))
+    most = few_at_once(raw.select("image_id", "h", "w", "dtype", "px"), top, "image_id string, m double").groupBy("image_id").agg(F.max("m").alias("most"))
     return each_tile(raw.join(most, "image_id"), lambda a, m: a / m if m > 0 else a, "most")
 
 
