@@ -37,6 +37,27 @@ def few_at_once(tiles: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator
     return tiles.mapInArrow(run, schema)
 
 
+def each_cell(pieces: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f of the pieces of each cell (image_id, gy, gx) of a grid, as applyInPandas has it. Cells come sorted, and a task holds one at a
+    time; applyInPandas opens a stream for each group, which takes longer than most f of a cell."""
+    key = ["image_id", "gy", "gx"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for pdf in batches:
+            places = list(zip(*(pdf[c] for c in key), strict=True))
+            starts = [k for k in range(len(places)) if not k or places[k] != places[k - 1]]
+            for a, b in zip(starts, [*starts[1:], len(places)], strict=True):
+                if held and places[a] != at:
+                    yield f(pd.concat(held, ignore_index=True))
+                    held = []
+                held, at = [*held, pdf.iloc[a:b]], places[a]
+        if held:
+            yield f(pd.concat(held, ignore_index=True))
+
+    return few_at_once(pieces.repartition(*key).sortWithinPartitions(*key), run, schema)
+
+
 def each_tile(tiles: DataFrame, f: Callable[..., np.ndarray], *extra: str) -> DataFrame:
     """tiles with their pixels replaced by f(pixels, *values of the extra columns)."""
 
@@ -225,13 +246,12 @@ def equalised(tiles: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
 # ---------------------------------------------------------------- margins
 
 
-def filtered(tiles: DataFrame, margin: int, f: Callable[[np.ndarray], np.ndarray | Sequence[np.ndarray]], size: int = 512, names: Sequence[str] | None = None) -> DataFrame:
-    """f of every tile with margin pixels around it, cut back to the tile, on a grid of tiles of size.
+def with_margins(tiles: DataFrame, margin: int, f: Callable[..., pd.DataFrame], schema: str, size: int = 512) -> DataFrame:
+    """f(image_id, row_off, col_off, h, w, pixels) of every tile of a grid of tiles of size, its pixels with margin more on each side.
 
     Tiles of any cut send each cell of the grid that part of themselves which it needs; beyond a raster's borders its pixels are
-    mirrored, without repeating the border. A margin as wide as f reaches makes the result that of the whole raster. With names, f
-    gives an array for each, and their rows have image ids with "#name" added."""
-    sized = tiles.join(sizes(tiles), "image_id")
+    mirrored, without repeating the border."""
+    sized = tiles.join(F.broadcast(sizes(tiles)), "image_id")  # a row for each raster; tiles don't move for it
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -254,15 +274,27 @@ def filtered(tiles: DataFrame, margin: int, f: Callable[[np.ndarray], np.ndarray
         for p in pdf.itertuples(index=False):
             whole[p.y - top : p.y - top + p.h, p.x - left : p.x - left + p.w] = pixels_of(p.h, p.w, p.dtype, p.px)
         ys, xs = K._folded(np.arange(y0 - margin, y1 + margin), height) - top, K._folded(np.arange(x0 - margin, x1 + margin), width) - left
-        made = f(whole[np.ix_(ys, xs)])
+        return f(image, int(y0), int(x0), int(y1 - y0), int(x1 - x0), whole[np.ix_(ys, xs)])
+
+    pieces = few_at_once(sized, cut, "image_id string, gy int, gx int, height int, width int, y int, x int, h int, w int, dtype string, px binary")
+    return each_cell(pieces, run, schema)
+
+
+def filtered(tiles: DataFrame, margin: int, f: Callable[[np.ndarray], np.ndarray | Sequence[np.ndarray]], size: int = 512, names: Sequence[str] | None = None) -> DataFrame:
+    """f of every tile with margin pixels around it (see with_margins), cut back to the tile, on a grid of tiles of size.
+
+    A margin as wide as f reaches makes the result that of the whole raster. With names, f gives an array for each, and their rows
+    have image ids with "#name" added."""
+
+    def run(image: str, row_off: int, col_off: int, h: int, w: int, whole: np.ndarray) -> pd.DataFrame:
+        made = f(whole)
         out = []
         for name, a in zip(names or [None], made if names else [made], strict=True):
-            a = np.ascontiguousarray(a[margin : margin + y1 - y0, margin : margin + x1 - x0])
-            out.append((image if name is None else f"{image}#{name}", int(y0), int(x0), *a.shape, a.dtype.str, a.tobytes()))
+            a = np.ascontiguousarray(a[margin : margin + h, margin : margin + w])
+            out.append((image if name is None else f"{image}#{name}", row_off, col_off, *a.shape, a.dtype.str, a.tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TILE.split(", ")])
 
-    pieces = few_at_once(sized, cut, "image_id string, gy int, gx int, height int, width int, y int, x int, h int, w int, dtype string, px binary")
-    return pieces.groupBy("image_id", "gy", "gx").applyInPandas(run, TILE)
+    return with_margins(tiles, margin, run, TILE, size)
 
 
 def sharpened(tiles: DataFrame, size: int = 512) -> DataFrame:

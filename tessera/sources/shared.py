@@ -25,8 +25,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation. A task that reads large
+    values holds a row group of them, of row_group bytes if given."""
     at = new_folder(df.sparkSession, name)
-    df.write.parquet(at)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
