@@ -109,14 +109,22 @@ def subpixel(pairs: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
 def matched(pairs: DataFrame, key: str, matcher: Callable = K.grid_matcher) -> DataFrame:
     """(key, sx, sy, rx, ry, score): what a matcher (array, array) -> (points, points, confidence) finds; one that fails on a
     pair finds nothing there."""
-    def run(a: np.ndarray, b: np.ndarray) -> list[tuple]:
-        try:
-            p, q, c = matcher(a.astype(float), b.astype(float))
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-            return []
-        return [(*map(float, (*u, *v)), float(x)) for u, v, x in zip(p, q, c, strict=True)]
+    names = ["sx", "sy", "rx", "ry", "score"]
 
-    return _pairs(pairs, key, "sx double, sy double, rx double, ry double, score double", run)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    p, q, c = matcher(pixels_of(r.a_h, r.a_w, r.a_dtype, r.a_px).astype(float), pixels_of(r.b_h, r.b_w, r.b_dtype, r.b_px).astype(float))
+                except (ValueError, FloatingPointError, np.linalg.LinAlgError):
+                    p = q = c = ()
+                found.append(np.column_stack([np.asarray(p, float).reshape(-1, 2), np.asarray(q, float).reshape(-1, 2), np.asarray(c, float)]))
+            rows = pd.DataFrame(np.concatenate([*found, np.zeros((0, 5))]), columns=names)
+            rows.insert(0, key, pdf[key].repeat([len(x) for x in found]).reset_index(drop=True))
+            yield rows
+
+    return pairs.mapInPandas(run, f"{key} {pairs.select(key).dtypes[0][1]}, {', '.join(f'{c} double' for c in names)}")
 
 
 def found_circles(patches: DataFrame, key: str, smallest: int = 15, largest: int = 200, least_votes: int = 25) -> DataFrame:
